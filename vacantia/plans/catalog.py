@@ -166,7 +166,9 @@ def page_cutoff(spark, sf):
 
 @query
 def union_sources(spark, sf):
-    found = {feed: feeds.normalise(raw_records(spark, sf, feed), feed) for feed in feeds.NORMALISERS}
+    recs = {feed: raw_records(spark, sf, feed) for feed in feeds.NORMALISERS}
+    recs["remoteok"] = recs["remoteok"].filter(feeds.is_job(c("rec")))
+    found = {feed: feeds.normalise(df, feed) for feed, df in recs.items()}
     found["weworkremotely"] = feeds.weworkremotely(feeds.parse_rss(view(spark, sf, "raw_rss"), "item_xml"))
     narrow = {name: df.select("ord", *FEED_COLUMNS) for name, df in found.items()}
     return registry.union_sources(narrow, PARAMS).select("ord", "source_ord", "source", "title", "company", "url", "remote_type")
@@ -214,8 +216,7 @@ def state_write(spark, sf):
 def fx_scan(spark, sf):
     parsed = FX.parse_fx(view(spark, sf, "fx_payloads"))
     inr = F.try_element_at("fx.rates", F.lit("INR"))
-    return parsed.select("payload_id", F.map_size("fx.rates").alias("n_rates") if hasattr(F, "map_size") else
-                         F.cardinality("fx.rates").alias("n_rates"), inr.alias("inr"),
+    return parsed.select("payload_id", F.size(F.map_keys("fx.rates")).alias("n_rates"), inr.alias("inr"),
                          c("fx.time_last_update_utc").alias("stamp"))
 
 
