@@ -34,11 +34,15 @@ def hard_filter_reason(title: Column, description: Column, employment: Column, p
     return F.coalesce(employment_reason(employment, params), keyword_reason(lowered, params))
 
 
-def is_product_role(title: Column, description: Column, params: Params) -> Column:
-    """Role wording in the title or in the opening of the description."""
+def role_text(title: Column, description: Column) -> Column:
+    """Title and opening of the description, lower-cased: where a role is named."""
     opening = F.substring(text_or_empty(description), 1, P.ROLE_TEXT_CHARS)
-    lowered = F.lower(F.concat_ws(" ", text_or_empty(title), opening))
-    return contains_any(lowered, params.role_titles + P.ALWAYS_ROLE_TITLES)
+    return F.lower(F.concat_ws(" ", text_or_empty(title), opening))
+
+
+def is_product_role(role_words: Column, params: Params) -> Column:
+    """``role_words``: the column of :func:`role_text`."""
+    return contains_any(role_words, params.role_titles + P.ALWAYS_ROLE_TITLES)
 
 
 def marketing_hits(lowered_description: Column, params: Params) -> Column:
@@ -58,29 +62,36 @@ def marketing_reason(marketing: Column, product: Column) -> Column:
     return F.when((marketing >= P.MARKETING_MIN_HITS) & (marketing > product), text)
 
 
-def years_range(description: Column) -> Column:
-    """struct(lo, hi) of the years of experience asked for, NULL if none are stated.
+def with_years(df: DataFrame, out: str = "years", only_if: Column | None = None) -> DataFrame:
+    """Add struct(lo, hi): the years of experience the description asks for, NULL if none.
 
-    Each pattern is searched once in the whole text; the numbers are then read
-    from the short piece that matched.
+    Each pattern runs at most once over the text and only where the earlier ones found
+    nothing; the numbers are read from the short piece that matched.
     """
-    text = text_or_empty(description)
-    found = [F.regexp_extract(text, "(?iU)" + spaced(p), 0) for p in (P.YEARS_SPAN, P.YEARS_FROM, P.YEARS_AT_LEAST)]
+    text = text_or_empty(F.col("description"))
+    cue = F.contains(F.lower(text), F.lit("year")) if only_if is None else only_if
 
-    def number(piece: Column, nth: int) -> Column:
-        return F.try_element_at(F.regexp_extract_all(piece, F.lit("(?U)" + _NUMBER), F.lit(1)), F.lit(nth)).try_cast("int")
+    def find(pattern: str) -> Column:
+        return F.regexp_extract(text, "(?iU)" + spaced(pattern), 0)
 
-    def pair(lo: Column, hi: Column) -> Column:
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
+    def number(piece: str, nth: int) -> Column:
+        found = F.regexp_extract_all(piece, F.lit("(?U)" + _NUMBER), F.lit(1))
+        return F.try_element_at(found, F.lit(nth)).try_cast("int")
 
-    span, at_from, at_least = found
-    return F.when(
-        span != "", pair(F.least(number(span, 1), number(span, 2)), F.greatest(number(span, 1), number(span, 2)))
-    ).when(at_from != "", pair(number(at_from, 1), F.lit(99))).when(at_least != "", pair(number(at_least, 1), F.lit(99)))
+    pieces = (
+        df.withColumn("_span", F.when(cue, find(P.YEARS_SPAN)))
+        .withColumn("_from", F.when(F.col("_span") == "", find(P.YEARS_FROM)))
+        .withColumn("_least", F.when(F.col("_from") == "", find(P.YEARS_AT_LEAST)))
+    )
+    numbers = pieces.withColumn("_one", F.coalesce(
+        *[F.when(F.col(piece) != "", number(piece, 1)) for piece in ("_span", "_from", "_least")]
+    )).withColumn("_two", F.when(F.col("_span") != "", number("_span", 2)).otherwise(F.lit(99)))
+    years = F.struct(F.least("_one", "_two").alias("lo"), F.greatest("_one", "_two").alias("hi"))
+    return numbers.select(*[f"`{c}`" for c in df.columns], F.when(F.col("_one").isNotNull(), years).alias(out))
 
 
 def seniority_of(title: Column, years: Column, params: Params) -> Column:
-    """``years``: result of :func:`years_range`."""
+    """``years``: the column of :func:`with_years`."""
     senior_title = F.rlike(text_or_empty(title), F.lit("(?iU)" + P.SENIOR_TITLE))
     return (
         F.when(senior_title, "senior")
@@ -165,25 +176,26 @@ def score_postings(postings: DataFrame, params: Params = Params()) -> DataFrame:
     lowered = postings.select(
         *kept,
         F.lower(text_or_empty(c("description"))).alias("_text"),
-        F.lower(text_or_empty(c("title"))).alias("_title"),
+        F.lower(F.concat_ws(" ", text_or_empty(c("title")), text_or_empty(c("description")))).alias("_both"),
+        role_text(c("title"), c("description")).alias("_opening"),
     )
     early = lowered.select(
         *kept, "_text",
         F.coalesce(
             employment_reason(c("employment_type"), params),
-            keyword_reason(F.concat_ws(" ", c("_title"), c("_text")), params),
-            F.when(~is_product_role(c("title"), c("description"), params), F.lit(P.REASON_ROLE)),
+            keyword_reason(c("_both"), params),
+            F.when(~is_product_role(c("_opening"), params), F.lit(P.REASON_ROLE)),
         ).alias("_early"),
     )
     open_ = c("_early").isNull()
-    counted = early.select(
-        *kept, "_text", "_early",
+    dated = with_years(early, "_years", open_ & F.contains(c("_text"), F.lit("year")))
+    counted = dated.select(
+        *kept, "_text", "_early", "_years",
         F.when(open_, marketing_hits(c("_text"), params)).alias("_marketing"),
         F.when(open_, product_hits(c("_text"))).alias("_product"),
         F.when(open_, phrase_hits(c("_text"), params.prioritised)).alias("_prioritised"),
         F.when(open_, phrase_hits(c("_text"), params.deprioritised)).alias("_deprioritised"),
         F.when(open_, phrase_hits(c("_text"), params.search_words)).alias("_search"),
-        F.when(open_ & F.contains(c("_text"), F.lit("year")), years_range(c("description"))).alias("_years"),
         location_tier(c("location"), c("remote_type"), params).alias("_tier"),
     )
     judged = counted.select(

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vacantia import params as P
 from vacantia.functions.text import spaced, text_or_empty
@@ -14,44 +14,57 @@ def _amount(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
 
-def parse_lpa(text: Column) -> Column:
-    """struct(currency='LPA', low, high) of the first "a-b LPA", NULL if absent or unreadable."""
+def _guarded(only_if: Column | None, value: Column) -> Column:
+    return value if only_if is None else F.when(only_if, value)
+
+
+def with_lpa(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add struct(currency='LPA', low, high) of the first "a-b LPA"; NULL if absent or unreadable."""
     pattern = "(?iU)" + spaced(P.LPA_SPAN)
-    piece = F.regexp_extract(text_or_empty(text), pattern, 0)
-    low, high = (F.regexp_extract(piece, pattern, g).try_cast("double") for g in (1, 2))
-    return F.when(
-        (piece != "") & low.isNotNull() & high.isNotNull(),
-        F.struct(F.lit("LPA").alias("currency"), low.alias("low"), high.alias("high")),
+    cue = F.contains(F.lower(F.col(text)), F.lit("lpa"))
+    piece = df.withColumn("_piece", F.when(cue, F.regexp_extract(text, pattern, 0)))
+    read = piece.select(
+        *[f"`{c}`" for c in df.columns],
+        *[F.regexp_extract("_piece", pattern, g).try_cast("double").alias(n) for g, n in ((1, "_low"), (2, "_high"))],
+    )
+    value = F.struct(F.lit("LPA").alias("currency"), F.col("_low").alias("low"), F.col("_high").alias("high"))
+    return read.select(
+        *[f"`{c}`" for c in df.columns],
+        F.when(F.col("_low").isNotNull() & F.col("_high").isNotNull(), value).alias(out),
     )
 
 
-def parse_range(text: Column) -> Column:
-    """struct(currency, low, high) of the first currency range.
+def with_range(df: DataFrame, text: str, out: str, only_if: Column | None = None) -> DataFrame:
+    """Add struct(currency, low, high) of the first currency range.
 
-    A ``k`` counts only after the upper amount and then scales both. Only the
-    first range is looked at: if its numbers are unreadable the result is NULL.
-    The pattern runs once over the whole text; its groups are then read from the
-    short matched piece.
+    A ``k`` counts only after the upper amount and then scales both. Only the first
+    range is looked at: if its numbers are unreadable the result is NULL. The pattern
+    runs once over the text; its groups are then read from the short matched piece.
     """
     pattern = "(?U)" + spaced(P.MONEY_SPAN)
-    piece = F.regexp_extract(text_or_empty(text), pattern, 0)
-    symbol = F.rtrim(F.lower(F.regexp_extract(piece, pattern, 1)), F.lit("."))
-    currency = F.lit(None).cast("string")
-    for sign, code in P.SYMBOL_CURRENCY.items():
-        currency = F.when(symbol == sign, code).otherwise(currency)
-    scale = F.when(F.regexp_extract(piece, pattern, 5) != "", 1000.0).otherwise(1.0)
-    low, high = _amount(F.regexp_extract(piece, pattern, 2)), _amount(F.regexp_extract(piece, pattern, 4))
-    return F.when(
-        (piece != "") & low.isNotNull() & high.isNotNull(),
-        F.struct(currency.alias("currency"), (low * scale).alias("low"), (high * scale).alias("high")),
+    kept = [f"`{c}`" for c in df.columns]
+    piece = df.withColumn("_piece", _guarded(only_if, F.regexp_extract(text, pattern, 0)))
+    symbol, low, high, thousand = (F.regexp_extract("_piece", pattern, g) for g in (1, 2, 4, 5))
+    known = F.create_map(*[F.lit(x) for pair in P.SYMBOL_CURRENCY.items() for x in pair])
+    read = piece.select(
+        *kept, F.try_element_at(known, F.rtrim(F.lower(symbol), F.lit("."))).alias("_currency"),
+        _amount(low).alias("_low"), _amount(high).alias("_high"),
+        F.when(thousand != "", 1000.0).otherwise(1.0).alias("_scale"),
+    )
+    value = F.struct(
+        F.col("_currency").alias("currency"), (F.col("_low") * F.col("_scale")).alias("low"),
+        (F.col("_high") * F.col("_scale")).alias("high"),
     )
+    readable = F.col("_low").isNotNull() & F.col("_high").isNotNull()
+    return read.select(*kept, F.when(readable, value).alias(out))
 
 
-def parse_salary(text: Column) -> Column:
-    """LPA wording first, then a currency range. The pattern is tried only where its cue occurs."""
-    text = text_or_empty(text)
-    lpa = F.when(F.contains(F.lower(text), F.lit("lpa")), parse_lpa(text))
-    return F.coalesce(lpa, parse_range(text))
+def with_salary(df: DataFrame, source: str, out: str, only_if: Column | None = None) -> DataFrame:
+    """LPA wording first, then a currency range."""
+    texts = df.withColumn("_text", _guarded(only_if, text_or_empty(F.col(source))))
+    lakhs = with_lpa(texts, "_text", "_lpa")
+    both = with_range(lakhs, "_text", "_money", F.col("_lpa").isNull())
+    return both.withColumn(out, F.coalesce("_lpa", "_money")).drop("_text", "_lpa", "_money")
 
 
 def rate_for(currency: Column, joined_rate: Column) -> Column:

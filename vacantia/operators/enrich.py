@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia import params as P
-from vacantia.functions.salary import LAKH, format_span, parse_salary, rate_for, stated_note
+from vacantia.functions.salary import LAKH, format_span, rate_for, stated_note, with_salary
 from vacantia.functions.text import cache_key, computed_once
 from vacantia.operators.plugins import ReplyFunction, estimate
 from vacantia.params import Params
@@ -15,9 +15,9 @@ def with_stated(rows: DataFrame, fx: DataFrame) -> DataFrame:
     ``fx`` holds one row per currency (four), so both joins are broadcast joins of
     fixed size. An amount in a currency without a rate counts as not stated.
     """
-    def priced(df: DataFrame, source: str, out: str, only_if: Column) -> DataFrame:
+    def priced(df: DataFrame, source: str, out: str, only_if: Column | None = None) -> DataFrame:
         rates = F.broadcast(fx.select(F.col("currency").alias("_cur"), F.col("rate_to_inr").alias("_rate")))
-        found = df.withColumn("_s", F.when(only_if, parse_salary(F.col(source))))
+        found = with_salary(df, source, "_s", only_if)
         joined = found.join(rates, F.col("_s.currency") == F.col("_cur"), "left")
         rate = rate_for(F.col("_s.currency"), F.col("_rate"))
         value = F.struct(
@@ -27,7 +27,7 @@ def with_stated(rows: DataFrame, fx: DataFrame) -> DataFrame:
         )
         return joined.withColumn(out, F.when(rate.isNotNull(), value)).drop("_s", "_cur", "_rate")
 
-    first = priced(rows, "salary_text", "_in_field", F.lit(True))
+    first = priced(rows, "salary_text", "_in_field")
     both = priced(first, "description", "_in_text", F.col("_in_field").isNull())
     return both.withColumn("stated", computed_once(F.coalesce("_in_field", "_in_text"))).drop("_in_field", "_in_text")
 

@@ -157,31 +157,29 @@ def score(
     return judged.filter(~F.col("failed")).drop("failed")
 
 
-def parse_estimate(reply: Column) -> dict[str, Column]:
-    """Pay estimate of a reply; all NULL unless both bounds are numbers."""
-    v = V.first_object(reply)
-    low, high = (
-        F.when(~V.kind(v, key).isin("STRING", "BOOLEAN", "VOID"), V.text(v, key).try_cast("double"))
-        for key in ("min_lpa", "max_lpa")
-    )
+def parse_estimates(df: DataFrame, reply: str = "reply") -> DataFrame:
+    """Add the pay estimate of a reply; all NULL unless both bounds are numbers."""
+    read, f = V.with_fields(df.withColumn("_v", V.first_object(F.col(reply))), "_v", ["min_lpa", "max_lpa", "basis"])
+    for name, key in (("_low", "min_lpa"), ("_high", "max_lpa")):
+        number = ~f[key].kind.isin("STRING", "BOOLEAN", "VOID")
+        read = read.withColumn(name, F.when(number, f[key].text.try_cast("double")))
+    low, high = F.col("_low"), F.col("_high")
     both = low.isNotNull() & high.isNotNull()
-    basis = V.shown(v, "basis", missing=P.DEFAULT_BASIS)
-    return {
-        "salary_display": F.when(both, format_span(F.when(both, F.lit("estimated")), F.lit(""), low, high)),
-        "salary_min_inr": F.when(both, low * LAKH),
-        "salary_max_inr": F.when(both, high * LAKH),
-        "source_note": F.when(both, F.concat(
-            F.lit("AI-estimated ("), basis,
+    return read.select(
+        *[c for c in df.columns if c != reply],
+        format_span(F.when(both, "estimated"), F.lit(""), low, high).alias("salary_display"),
+        F.when(both, low * LAKH).alias("salary_min_inr"),
+        F.when(both, high * LAKH).alias("salary_max_inr"),
+        F.when(both, F.concat(
+            F.lit("AI-estimated ("), f["basis"].shown(missing=P.DEFAULT_BASIS),
             F.lit(") - not a live Glassdoor/AmbitionBox/Levels.fyi query"),
-        )),
-    }
+        )).alias("source_note"),
+    )
 
 
 def estimate(missed: DataFrame, fn: ReplyFunction) -> DataFrame:
     """Estimates per distinct ``cache_key``; ``missed`` has one row per key with the
     posting fields the prompt needs. Keys without an estimate are left out."""
     prompts = missed.select("cache_key", estimate_prompt().alias("prompt"))
-    parsed = ask(prompts, "cache_key", fn).select(
-        "cache_key", *[col.alias(name) for name, col in parse_estimate(F.col("reply")).items()]
-    )
-    return parsed.filter("salary_display IS NOT NULL")
+    replies = ask(prompts, "cache_key", fn).drop("error")
+    return parse_estimates(replies).filter("salary_display IS NOT NULL")

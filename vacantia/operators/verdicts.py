@@ -9,22 +9,30 @@ from vacantia.functions.text import computed_once
 from vacantia.params import Params
 
 
-def verdict_fields(v: Column) -> dict[str, Column]:
+VERDICT_KEYS = [
+    "is_technical_product_role", "is_marketing_flavored", "seniority_signal", "employer_type",
+    "sponsorship_confidence", "sponsorship_evidence", "reason", "role_fit_score",
+]
+
+
+def verdict_fields(f: dict[str, V.Field]) -> dict[str, Column]:
     """Typed fields of a verdict. A missing role flag means true, a null one false;
     a missing score means 0, one that is no number is NULL (= a failed verdict)."""
-    score, kind = V.text(v, "role_fit_score"), V.kind(v, "role_fit_score")
-    whole = F.when(kind == "BOOLEAN", score.try_cast("boolean").cast("int"))
-    whole = whole.when(kind != "STRING", score.try_cast("double").try_cast("int"))
-    whole = whole.otherwise(F.when(F.rlike(score, F.lit(r"^\s*[+-]?\d+\s*$")), F.trim(score).try_cast("int")))
+    score, kind = f["role_fit_score"].text, f["role_fit_score"].kind
+    whole = (
+        F.when(kind == "STRING", F.when(F.rlike(score, F.lit(r"^\s*[+-]?\d+\s*$")), F.trim(score).try_cast("int")))
+        .when(kind == "BOOLEAN", score.try_cast("boolean").cast("int"))
+        .otherwise(score.try_cast("double").try_cast("int"))
+    )
     return {
-        "is_technical_product_role": V.truthy(v, "is_technical_product_role", missing=True),
-        "is_marketing_flavored": V.truthy(v, "is_marketing_flavored"),
-        "seniority_signal": V.text(v, "seniority_signal"),
-        "employer_type": V.text(v, "employer_type"),
-        "sponsorship_confidence": V.text(v, "sponsorship_confidence"),
-        "sponsorship_evidence": V.text(v, "sponsorship_evidence"),
-        "reason": V.get_text(v, "reason"),
-        "role_fit_score": F.when(V.is_missing(v, "role_fit_score"), F.lit(0)).otherwise(whole),
+        "is_technical_product_role": f["is_technical_product_role"].truthy(missing=True),
+        "is_marketing_flavored": f["is_marketing_flavored"].truthy(),
+        "seniority_signal": f["seniority_signal"].text,
+        "employer_type": f["employer_type"].text,
+        "sponsorship_confidence": f["sponsorship_confidence"].text,
+        "sponsorship_evidence": f["sponsorship_evidence"].text,
+        "reason": f["reason"].get(),
+        "role_fit_score": F.when(f["role_fit_score"].missing, F.lit(0)).otherwise(whole),
     }
 
 
@@ -41,8 +49,9 @@ def apply_verdicts(postings: DataFrame, params: Params = Params(), reply: str =
         *kept, keyword.alias("_keyword"), V.first_object(c(reply)).alias("_v"),
         rules.location_tier(c("location"), c("remote_type"), params).alias("_tier"),
     )
-    fields = F.struct(*[col.alias(name) for name, col in verdict_fields(c("_v")).items()])
-    typed = parsed.select(*kept, "_keyword", "_tier", F.when(c("_v").isNotNull(), fields).alias("f"))
+    read, found = V.with_fields(parsed, "_v", VERDICT_KEYS)
+    fields = F.struct(*[col.alias(name) for name, col in verdict_fields(found).items()])
+    typed = read.select(*kept, "_keyword", "_tier", F.when(c("_v").isNotNull(), fields).alias("f"))
     early = F.coalesce(
         F.when(~c("f.is_technical_product_role"), P.REASON_NOT_PRODUCT),
         F.when(c("f.is_marketing_flavored"), P.REASON_MARKETING),

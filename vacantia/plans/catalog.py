@@ -12,7 +12,7 @@ from vacantia.functions.report import employer_label
 from vacantia.operators import dedup, enrich, plugins, ranking, upsert, verdicts
 from vacantia.params import Params
 from vacantia.plans.daily import score_queue, stage, ts
-from vacantia.plans.views import table, view
+from vacantia.plans.views import spread, table, view
 from vacantia.schema import CANONICAL, MATCHES, MATCH_COLUMNS, POSTINGS, SALARIES, SALARY_CACHE
 from vacantia.sources import feeds, fx as FX, registry, state as S
 from vacantia.sources.report_files import write_report
@@ -129,7 +129,7 @@ def src_himalayas(spark, sf):
 
 @query
 def src_remoteok(spark, sf):
-    recs = raw_records(spark, sf, "remoteok").filter(feeds.is_job(c("rec")))
+    recs = feeds.jobs_only(raw_records(spark, sf, "remoteok"))
     return feeds.normalise(recs, "remoteok").select("ord", *FEED_COLUMNS)
 
 
@@ -167,7 +167,7 @@ def page_cutoff(spark, sf):
 @query
 def union_sources(spark, sf):
     recs = {feed: raw_records(spark, sf, feed) for feed in feeds.NORMALISERS}
-    recs["remoteok"] = recs["remoteok"].filter(feeds.is_job(c("rec")))
+    recs["remoteok"] = feeds.jobs_only(recs["remoteok"])
     found = {feed: feeds.normalise(df, feed) for feed, df in recs.items()}
     found["weworkremotely"] = feeds.weworkremotely(feeds.parse_rss(view(spark, sf, "raw_rss"), "item_xml"))
     narrow = {name: df.select("ord", *FEED_COLUMNS) for name, df in found.items()}
@@ -266,8 +266,8 @@ def keyword_exclude(spark, sf):
 
 @query
 def product_role_gate(spark, sf):
-    return sightings(spark, sf).select(
-        "ord", rules.is_product_role(c("title"), c("description"), PARAMS).alias("is_product_role"))
+    words = sightings(spark, sf).select("ord", rules.role_text(c("title"), c("description")).alias("words"))
+    return words.select("ord", rules.is_product_role(c("words"), PARAMS).alias("is_product_role"))
 
 
 def _lowered(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,8 +283,8 @@ def marketing_gate(spark, sf):
 
 @query
 def seniority(spark, sf):
-    years = rules.years_range(c("description"))
-    return sightings(spark, sf).select("ord", rules.seniority_of(c("title"), years, PARAMS).alias("seniority"))
+    dated = rules.with_years(sightings(spark, sf).select("ord", "title", "description"))
+    return dated.select("ord", rules.seniority_of(c("title"), c("years"), PARAMS).alias("seniority"))
 
 
 @query
@@ -329,9 +329,9 @@ def gate_ladder(spark, sf):
 
 
 def _scored_parts(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _hits(spark, sf).select(
+    hits = rules.with_years(_hits(spark, sf)).select(
         "ord", "title", (c("search") + c("prioritised")).alias("hits"),
-        rules.seniority_of(c("title"), rules.years_range(c("description")), PARAMS).alias("seniority"),
+        rules.seniority_of(c("title"), c("years"), PARAMS).alias("seniority"),
         rules.employer_type(c("prioritised"), c("deprioritised")).alias("employer"),
     )
     return hits.withColumn("raw_score", rules.raw_score(c("hits"), c("seniority"), c("title")))
@@ -408,7 +408,7 @@ def ttl_lookup(spark, sf):
 
 
 def _parsed_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return sightings(spark, sf).select("ord", salary.parse_range(c("description")).alias("s")).select("ord", "s.*")
+    return salary.with_range(sightings(spark, sf).select("ord", "description"), "description", "s").select("ord", "s.*")
 
 
 @query
@@ -419,7 +419,7 @@ def fx_join(spark, sf):
 
 @query
 def page_fallback(spark, sf):
-    pages = table(spark, sf, "pages").select("url", "html")
+    pages = spread(table(spark, sf, "pages").select("url", "html"))
     teasers = pages.select("url", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("description"))
     return feeds.with_page_text(teasers, html_pages.main_text(pages), PARAMS).select("url", "description")
 
@@ -538,12 +538,12 @@ def digest_order(spark, sf):
 
 @query
 def html_strip(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.strip_html(c("html")).alias("body"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", X.strip_html(c("html")).alias("body"))
 
 
 @query
 def html_main_text(spark, sf):
-    return html_pages.main_text(table(spark, sf, "pages").select("page_id", "html"))
+    return html_pages.main_text(spread(table(spark, sf, "pages").select("page_id", "html")))
 
 
 @query
@@ -555,13 +555,13 @@ def title_split(spark, sf):
 
 @query
 def years_range(spark, sf):
-    return sightings(spark, sf).select("ord", rules.years_range(c("description")).alias("y")).select("ord", "y.*")
+    return rules.with_years(sightings(spark, sf).select("ord", "description")).select("ord", "years.*")
 
 
 @query
 def salary_lpa(spark, sf):
-    both = F.concat_ws(" ", "salary_text", "description")
-    return sightings(spark, sf).select("ord", salary.parse_lpa(both).alias("s")).select(
+    both = sightings(spark, sf).select("ord", F.concat_ws(" ", "salary_text", "description").alias("both"))
+    return salary.with_lpa(both, "both", "s").select(
         "ord", (c("s.low") * salary.LAKH).alias("min_inr"), (c("s.high") * salary.LAKH).alias("max_inr"))
 
 
@@ -615,19 +615,21 @@ def salary_cascade(spark, sf):
 @query
 def noisy_json(spark, sf):
     rows = view(spark, sf, "verdicts").select("ord", V.first_object(c("reply")).alias("v"))
-    return rows.select("ord", c("v").isNotNull().alias("found"), V.text(c("v"), "role_fit_score").alias("score_text"))
+    score = F.try_variant_get("v", "$.role_fit_score", "string")
+    return rows.select("ord", c("v").isNotNull().alias("found"), score.alias("score_text"))
 
 
 @query
 def verdict_fields(spark, sf):
-    rows = view(spark, sf, "verdicts").select("ord", V.first_object(c("reply")).alias("v")).filter("v IS NOT NULL")
-    return rows.select("ord", *[col.alias(name) for name, col in verdicts.verdict_fields(c("v")).items()])
+    found = X.computed_once(V.first_object(c("reply")))
+    rows = view(spark, sf, "verdicts").select("ord", found.alias("v")).filter("v IS NOT NULL")
+    read, fields = V.with_fields(rows, "v", verdicts.VERDICT_KEYS)
+    return read.select("ord", *[col.alias(name) for name, col in verdicts.verdict_fields(fields).items()])
 
 
 @query
 def estimate_parse(spark, sf):
-    rows = view(spark, sf, "estimate_replies")
-    return rows.select("ord", *[col.alias(n) for n, col in plugins.parse_estimate(c("reply")).items()])
+    return plugins.parse_estimates(view(spark, sf, "estimate_replies"))
 
 
 @query
@@ -659,7 +661,7 @@ def defaults(spark, sf):
 @query
 def employer_label_(spark, sf):
     v = V.first_object(c("reply"))
-    return view(spark, sf, "verdicts").select("ord", employer_label(V.text(v, "employer_type")).alias("label"))
+    return view(spark, sf, "verdicts").select("ord", employer_label(F.try_variant_get(v, "$.employer_type", "string")).alias("label"))
 
 
 QUERIES["employer_label"] = QUERIES.pop("employer_label_")

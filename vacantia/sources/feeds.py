@@ -59,108 +59,114 @@ def records(payloads: DataFrame, feed: str) -> DataFrame:
     return payloads.select(*kept, F.posexplode(items).alias("pos", "rec"))
 
 
-# ---- normalisers: VARIANT record -> canonical columns -----------------------
+# ---- normalisers: fields of a record -> canonical columns -------------------
 
 def _salary(low: Column, high: Column, currency: Column, period: Column) -> Column:
     return strip(F.concat(currency, F.lit(" "), low, F.lit("-"), high, F.lit(" "), period))
 
 
-def himalayas(rec: Column) -> dict[str, Column]:
-    stated = V.truthy(rec, "minSalary") | V.truthy(rec, "maxSalary")
-    places = F.concat_ws(", ", V.array(rec, "locationRestrictions", "string"))
-    restricted = V.truthy(rec, "locationRestrictions")
-    open_wording = F.contains(F.lower(places), F.lit("worldwide")) | F.contains(F.lower(places), F.lit("india"))
+def himalayas(f: dict[str, V.Field]) -> dict[str, Column]:
+    stated = f["minSalary"].truthy() | f["maxSalary"].truthy()
+    places = F.concat_ws(", ", V.array(F.col("rec"), "locationRestrictions", "string"))
+    restricted = f["locationRestrictions"].truthy()
+    open_wording = F.rlike(places, F.lit("(?i)worldwide|india"))
     return {
-        "title": strip(V.get_text(rec, "title")),
-        "company": strip(V.get_text(rec, "companyName")),
+        "title": strip(f["title"].get()),
+        "company": strip(f["companyName"].get()),
         "location": F.when(restricted, places).otherwise(P.ANYWHERE),
-        "description": F.coalesce(V.text_if_truthy(rec, "description"), V.text_if_truthy(rec, "excerpt"), F.lit("")),
-        "url": F.coalesce(
-            V.text_if_truthy(rec, "applicationLink"), F.concat(F.lit(HIMALAYAS_URL), V.shown(rec, "guid"))
-        ),
+        "description": F.coalesce(f["description"].if_truthy(), f["excerpt"].if_truthy(), F.lit("")),
+        "url": F.coalesce(f["applicationLink"].if_truthy(), F.concat(F.lit(HIMALAYAS_URL), f["guid"].shown())),
         "source": F.lit("himalayas"),
-        "posted_date": V.text(rec, "pubDate"),
+        "posted_date": f["pubDate"].text,
         "remote_type": F.when(~restricted | open_wording, "remote"),
-        "employment_type": V.text(rec, "employmentType"),
+        "employment_type": f["employmentType"].text,
         "salary_text": F.when(stated, _salary(
-            V.shown_if_truthy(rec, "minSalary"), V.shown_if_truthy(rec, "maxSalary"),
-            V.shown_if_truthy(rec, "currency"), V.shown_if_truthy(rec, "salaryPeriod"),
+            f["minSalary"].shown_if_truthy(), f["maxSalary"].shown_if_truthy(),
+            f["currency"].shown_if_truthy(), f["salaryPeriod"].shown_if_truthy(),
         )),
     }
 
 
-def remoteok(rec: Column) -> dict[str, Column]:
-    stated = V.truthy(rec, "salary_min") | V.truthy(rec, "salary_max")
-    job_id = F.coalesce(V.text_if_truthy(rec, "id"), V.text_if_truthy(rec, "slug"))
+def remoteok(f: dict[str, V.Field]) -> dict[str, Column]:
+    stated = f["salary_min"].truthy() | f["salary_max"].truthy()
+    job_id = F.coalesce(f["id"].if_truthy(), f["slug"].if_truthy())
     return {
-        "title": strip(text_or_empty(V.text_if_truthy(rec, "position"))),
-        "company": strip(text_or_empty(V.text_if_truthy(rec, "company"))),
-        "location": F.coalesce(V.text_if_truthy(rec, "location"), F.lit(P.ANYWHERE)),
-        "description": strip_html(V.text(rec, "description")),
-        "url": F.coalesce(V.text_if_truthy(rec, "url"), F.concat(F.lit(REMOTEOK_URL), job_id), F.lit("")),
+        "title": strip(text_or_empty(f["position"].if_truthy())),
+        "company": strip(text_or_empty(f["company"].if_truthy())),
+        "location": F.coalesce(f["location"].if_truthy(), F.lit(P.ANYWHERE)),
+        "description": strip_html(f["description"].text),
+        "url": F.coalesce(f["url"].if_truthy(), F.concat(F.lit(REMOTEOK_URL), job_id), F.lit("")),
         "source": F.lit("remoteok"),
-        "posted_date": V.text(rec, "date"),
+        "posted_date": f["date"].text,
         "remote_type": F.lit("remote"),
         "salary_text": F.when(stated, F.concat(
-            F.lit("$"), V.shown_if_truthy(rec, "salary_min"), F.lit("-"), V.shown_if_truthy(rec, "salary_max"),
+            F.lit("$"), f["salary_min"].shown_if_truthy(), F.lit("-"), f["salary_max"].shown_if_truthy(),
         )),
     }
 
 
-def jsearch(rec: Column) -> dict[str, Column]:
-    stated = V.truthy(rec, "job_min_salary") | V.truthy(rec, "job_max_salary")
-    place = F.concat_ws(", ", V.text_if_truthy(rec, "job_city"), V.text_if_truthy(rec, "job_country"))
+def jsearch(f: dict[str, V.Field]) -> dict[str, Column]:
+    stated = f["job_min_salary"].truthy() | f["job_max_salary"].truthy()
+    place = F.concat_ws(", ", f["job_city"].if_truthy(), f["job_country"].if_truthy())
     return {
-        "title": V.get_text(rec, "job_title"),
-        "company": V.get_text(rec, "employer_name"),
+        "title": f["job_title"].get(),
+        "company": f["employer_name"].get(),
         "location": or_default(place, "Not specified"),
-        "description": V.get_text(rec, "job_description"),
-        "url": V.get_text(rec, "job_apply_link"),
+        "description": f["job_description"].get(),
+        "url": f["job_apply_link"].get(),
         "source": F.lit("jsearch"),
-        "posted_date": V.text(rec, "job_posted_at_datetime_utc"),
-        "remote_type": F.when(V.truthy(rec, "job_is_remote"), "remote"),
-        "employment_type": V.text(rec, "job_employment_type"),
+        "posted_date": f["job_posted_at_datetime_utc"].text,
+        "remote_type": F.when(f["job_is_remote"].truthy(), "remote"),
+        "employment_type": f["job_employment_type"].text,
         "salary_text": F.when(stated, _salary(
-            V.shown(rec, "job_min_salary"), V.shown(rec, "job_max_salary"),
-            V.shown(rec, "job_salary_currency"), V.shown(rec, "job_salary_period"),
+            f["job_min_salary"].shown(), f["job_max_salary"].shown(),
+            f["job_salary_currency"].shown(), f["job_salary_period"].shown(),
         )),
     }
 
 
-def adzuna(rec: Column, country: Column) -> dict[str, Column]:
-    stated = V.truthy(rec, "salary_min") | V.truthy(rec, "salary_max")
-    place = F.when(V.truthy(rec, "location"), V.text(rec, "location.display_name"))
-    company_given = V.truthy(rec, "company") & V.item(rec, "company.display_name").isNotNull()
+def adzuna(f: dict[str, V.Field]) -> dict[str, Column]:
+    country = F.col("country")
+    stated = f["salary_min"].truthy() | f["salary_max"].truthy()
+    place = F.when(f["location"].truthy(), f["location.display_name"].text)
+    company_given = f["company"].truthy() & ~f["company.display_name"].missing
     return {
-        "title": V.get_text(rec, "title"),
-        "company": F.when(company_given, V.text(rec, "company.display_name")).otherwise(""),
+        "title": f["title"].get(),
+        "company": F.when(company_given, f["company.display_name"].text).otherwise(""),
         "location": or_default(place, F.upper(country)),
-        "description": V.get_text(rec, "description"),
-        "url": V.get_text(rec, "redirect_url"),
+        "description": f["description"].get(),
+        "url": f["redirect_url"].get(),
         "source": F.concat(F.lit("adzuna_"), country),
-        "posted_date": V.text(rec, "created"),
-        "employment_type": F.when(V.truthy(rec, "contract_type"), V.text(rec, "contract_type"))
-        .otherwise(V.text(rec, "contract_time")),
-        "salary_text": F.when(stated, F.concat(V.shown(rec, "salary_min"), F.lit("-"), V.shown(rec, "salary_max"))),
+        "posted_date": f["created"].text,
+        "employment_type": F.when(f["contract_type"].truthy(), f["contract_type"].text).otherwise(f["contract_time"].text),
+        "salary_text": F.when(stated, F.concat(f["salary_min"].shown(), F.lit("-"), f["salary_max"].shown())),
     }
 
 
-def arbeitnow(rec: Column) -> dict[str, Column]:
+def arbeitnow(f: dict[str, V.Field]) -> dict[str, Column]:
     return {
-        "title": V.get_text(rec, "title"),
-        "company": V.get_text(rec, "company_name"),
-        "location": F.coalesce(V.text_if_truthy(rec, "location"), F.lit("Europe")),
-        "description": strip_html(V.text(rec, "description")),
-        "url": V.get_text(rec, "url"),
+        "title": f["title"].get(),
+        "company": f["company_name"].get(),
+        "location": F.coalesce(f["location"].if_truthy(), F.lit("Europe")),
+        "description": strip_html(f["description"].text),
+        "url": f["url"].get(),
         "source": F.lit("arbeitnow"),
-        "posted_date": V.text_if_truthy(rec, "created_at"),
-        "visa_sponsorship": F.try_variant_get(rec, "$.visa_sponsorship", "boolean"),
-        "remote_type": F.when(V.truthy(rec, "remote"), "remote").otherwise("onsite"),
-        "employment_type": F.try_element_at(V.array(rec, "job_types", "string"), F.lit(1)),
+        "posted_date": f["created_at"].if_truthy(),
+        "visa_sponsorship": F.when(f["visa_sponsorship"].kind == "BOOLEAN", f["visa_sponsorship"].text == "true"),
+        "remote_type": F.when(f["remote"].truthy(), "remote").otherwise("onsite"),
+        "employment_type": F.try_element_at(V.array(F.col("rec"), "job_types", "string"), F.lit(1)),
     }
 
 
-NORMALISERS: dict[str, Callable[..., dict[str, Column]]] = {
+class _Asked(dict):
+    """Notes which keys a normaliser asks for, so that just those are extracted."""
+
+    def __missing__(self, key: str) -> V.Field:
+        self[key] = V.Field(F.lit(""), F.lit(""))
+        return self[key]
+
+
+NORMALISERS: dict[str, Callable[[dict[str, V.Field]], dict[str, Column]]] = {
     "himalayas": himalayas, "remoteok": remoteok, "jsearch": jsearch, "adzuna": adzuna, "arbeitnow": arbeitnow,
 }
 
@@ -184,14 +190,17 @@ def to_canonical(df: DataFrame) -> DataFrame:
 
 def normalise(recs: DataFrame, feed: str) -> DataFrame:
     """Canonical columns of every record, beside the position columns it came with."""
-    args = [F.col("rec")] + ([F.col("country")] if feed == "adzuna" else [])
-    columns = NORMALISERS[feed](*args) | {"raw": F.to_json("rec")}
-    return canonical(recs, columns, keep=[c for c in recs.columns if c != "rec"])
+    asked = _Asked()
+    NORMALISERS[feed](asked)
+    read, fields = V.with_fields(recs, "rec", list(asked))
+    columns = NORMALISERS[feed](fields) | {"raw": F.to_json("rec")}
+    return canonical(read, columns, keep=[c for c in recs.columns if c != "rec"])
 
 
-def is_job(rec: Column) -> Column:
-    """RemoteOK only: not the leading notice, and with a position."""
-    return V.is_missing(rec, "legal") & V.truthy(rec, "position")
+def jobs_only(recs: DataFrame) -> DataFrame:
+    """RemoteOK only: drop the leading notice and entries without a position."""
+    read, f = V.with_fields(recs, "rec", ["legal", "position"])
+    return read.filter(f["legal"].missing & f["position"].truthy()).select(*recs.columns)
 
 
 def searched(recs: DataFrame, feed: str, params: Params) -> DataFrame:
@@ -199,10 +208,10 @@ def searched(recs: DataFrame, feed: str, params: Params) -> DataFrame:
     rec = F.col("rec")
     if feed == "remoteok":
         tags = F.concat_ws(" ", V.array(rec, "tags", "string"))
-        wanted = F.concat_ws(" ", text_or_empty(V.text(rec, "position")), tags)
-        return recs.filter(is_job(rec) & matches_any(wanted, params.search_words))
+        wanted = F.concat_ws(" ", text_or_empty(F.try_variant_get(rec, "$.position", "string")), tags)
+        return jobs_only(recs).filter(matches_any(wanted, params.search_words))
     if feed == "arbeitnow":
-        return recs.filter(matches_any(V.text(rec, "title"), params.search_words))
+        return recs.filter(matches_any(F.try_variant_get(rec, "$.title", "string"), params.search_words))
     return recs
 
 
