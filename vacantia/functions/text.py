@@ -15,6 +15,8 @@ SPACES = (
 )
 # the same as a pattern; ranges keep the character test short
 SPACE_CLASS = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+RARE_BREAKS = r"[\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+RARE_BLANKS = r"[\x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 BREAK_CLASS = r"[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -110,16 +112,23 @@ def quoted(c: Column) -> Column:
 
 
 def clean_lines(c: Column) -> Column:
-    """Collapse blanks, trim every line and drop the empty ones."""
-    c = F.regexp_replace(c, "[ \t]+", " ")
-    c = F.regexp_replace(c, f"{SPACE_CLASS}*{BREAK_CLASS}{SPACE_CLASS}*", "\n")
-    return strip(c)
+    """Collapse blanks, trim every line and drop the empty ones.
+
+    A chain of small steps that mention their input once: rare line ends become line
+    feeds, rare blanks at line ends go, and the rest is plain replacement.
+    """
+    c = F.regexp_replace(c, "[ \t]{2,}|\t", " ")
+    c = F.regexp_replace(c, RARE_BREAKS, "\n")
+    c = F.regexp_replace(c, f"{RARE_BLANKS}{SPACE_CLASS}*\n", "\n")
+    c = F.replace(c, F.lit(" \n"), F.lit("\n"))
+    return strip(F.regexp_replace(c, f"\n{SPACE_CLASS}+", "\n"))
 
 
 def strip_html(c: Column) -> Column:
     """Cheap markup-to-text for bodies that arrive as HTML fragments."""
     c = text_or_empty(c)
-    c = F.regexp_replace(c, "</p>|<br>|<br/>|<br />|</li>|</div>", "\n")
+    for tag in ("</p>", "<br>", "<br/>", "<br />", "</li>", "</div>"):
+        c = F.replace(c, F.lit(tag), F.lit("\n"))
     c = F.regexp_replace(c, "<[^>]+>", "")
     for entity, char in (
         ("&amp;", "&"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&quot;", '"'),
