@@ -58,6 +58,11 @@ def passing(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.selected_matches(scored_latest(spark, sf), PARAMS)
 
 
+def passing_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a written table: the few survivors, for jobs that read them twice."""
+    return stage(passing(spark, sf), work_dir(spark, "passing"), 1, "passing")
+
+
 def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -511,14 +516,16 @@ def failure_cutoff(spark, sf):
     return verdicts.cut_after_failures(rows, "batch", "ord", "failed", PARAMS.max_failures_in_row)
 
 
-def _priceable(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed(spark, sf).select(
+def _price_base(spark: SparkSession, sf: str) -> DataFrame:
+    """Every storable sighting with its stated salary, as a written table (it is read three times)."""
+    rows = keyed(spark, sf).select(
         "ord", "url_hash", "title", "company", "location", "remote_type", "description", "salary_text")
+    return stage(enrich.price_base(rows, static_fx(spark)).drop("description"), work_dir(spark, "price"), 1, "base")
 
 
 @query
 def run_cache_reuse(spark, sf):
-    base = enrich.price_base(_priceable(spark, sf), static_fx(spark))
+    base = _price_base(spark, sf)
     settled = enrich.settle_keys(base, empty(spark, SALARY_CACHE), ts(SECOND_RUN), PARAMS)
     reused = F.coalesce(c("source_note") == P.CACHED_NOTE, F.lit(False))
     return enrich.priced_rows(base, settled).select("ord", "salary_display", reused.alias("reused"))
@@ -526,7 +533,7 @@ def run_cache_reuse(spark, sf):
 
 @query
 def tier_rank(spark, sf):
-    return ranking.tier_rank(passing(spark, sf)).select("location_tier", "rank", "role_fit_score", "url_hash")
+    return ranking.tier_rank(passing_table(spark, sf)).select("location_tier", "rank", "role_fit_score", "url_hash")
 
 
 @query
@@ -607,7 +614,7 @@ def cache_key(spark, sf):
 
 @query
 def salary_cascade(spark, sf):
-    base = enrich.price_base(_priceable(spark, sf), static_fx(spark))
+    base = _price_base(spark, sf)
     settled = enrich.settle_keys(base, view(spark, sf, "cache"), ts(SECOND_RUN), PARAMS)
     return enrich.priced_rows(base, settled)
 
@@ -764,13 +771,13 @@ def scorer_plugin(spark, sf):
 
 @query
 def estimator_plugin(spark, sf):
-    base = enrich.price_base(_priceable(spark, sf), static_fx(spark))
+    base = _price_base(spark, sf)
     settled = enrich.settle_keys(base, view(spark, sf, "cache"), ts(SECOND_RUN), PARAMS, stub_estimator)
     return enrich.priced_rows(base, settled)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Which postings pass all gates, scored and ranked within their tier."""
-    return ranking.tier_rank(passing(spark, sf)).select(
+    return ranking.tier_rank(passing_table(spark, sf)).select(
         "location_tier", "rank", "role_fit_score", "url_hash", "title", "company", "location", "match_reason",
         "employer_type", "sponsorship_confidence", "sponsorship_evidence")
