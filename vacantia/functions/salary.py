@@ -1,6 +1,8 @@
 """Reading stated pay ranges out of text, and printing them."""
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -39,11 +41,14 @@ def with_range(df: DataFrame, text: str, out: str, only_if: Column | None = None
 
     A ``k`` counts only after the upper amount and then scales both. Only the first
     range is looked at: if its numbers are unreadable the result is NULL. The pattern
-    runs once over the text; its groups are then read from the short matched piece.
+    runs once over texts that hold a currency sign at all; its groups are then read
+    from the short matched piece.
     """
     pattern = "(?U)" + spaced(P.MONEY_SPAN)
     kept = [f"`{c}`" for c in df.columns]
-    piece = df.withColumn("_piece", _guarded(only_if, F.regexp_extract(text, pattern, 0)))
+    cue = reduce(lambda a, b: a | b, [F.contains(text, F.lit(sign)) for sign in P.MONEY_SIGNS])
+    wanted = cue if only_if is None else only_if & cue
+    piece = df.withColumn("_piece", F.when(wanted, F.regexp_extract(text, pattern, 0)))
     symbol, low, high, thousand = (F.regexp_extract("_piece", pattern, g) for g in (1, 2, 4, 5))
     known = F.create_map(*[F.lit(x) for pair in P.SYMBOL_CURRENCY.items() for x in pair])
     read = piece.select(

@@ -65,6 +65,7 @@ SEARCH_WORDS = (
 )
 FALLBACK_FX = {"USD": 87.0, "EUR": 94.0, "GBP": 110.0}
 FALLBACK_FX_LABEL = "fallback static FX rates from config.yaml (live lookup unavailable)"
+MONEY_SIGNS = ("₹", "Rs", "INR", "$", "USD", "€", "EUR", "£", "GBP")  # how MONEY_SPAN can begin
 SYMBOL_CURRENCY = {
     "₹": "INR", "rs": "INR", "inr": "INR", "$": "USD", "usd": "USD",
     "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP",
