@@ -7,6 +7,16 @@ from vacantia import params as P
 from vacantia.functions.text import or_default, text_or_empty
 
 
+def run_date(at: Column) -> Column:
+    """``2026-01-31`` of a UTC timestamp. Read from its text, so no session time zone is involved."""
+    return F.substring(at.cast("string"), 1, 10)
+
+
+def run_stamp(at: Column) -> Column:
+    """``2026-01-31 03:00 UTC``."""
+    return F.concat(F.substring(at.cast("string"), 1, 16), F.lit(" UTC"))
+
+
 def employer_label(employer: Column) -> Column:
     label = F.lit("Unknown")
     for kind, shown in P.EMPLOYER_LABELS.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vacantia import params as P
-from vacantia.functions.report import posting_block
+from vacantia.functions.report import posting_block, run_stamp
 from vacantia.params import Params
 
 MATCH_FIELDS = [
@@ -101,7 +101,7 @@ def document(rows: DataFrame, fx_label: Column, now: Column) -> DataFrame:
     header = total.select(
         F.lit(0).alias("section"), F.lit(0).alias("part"), F.lit(0).alias("score"), no_key,
         F.concat(
-            F.lit("# Job Digest — "), F.date_format(now, "yyyy-MM-dd HH:mm"), F.lit(" UTC\n\n"),
+            F.lit("# Job Digest — "), run_stamp(now), F.lit("\n\n"),
             F.col("n").cast("string"),
             F.lit(" posting(s) matched above threshold. All compensation figures are in INR; "
                   "foreign-currency conversions use "), fx_label, F.lit("."),

@@ -7,8 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacantia import params as P
-from vacantia.functions import html_pages, rules, salary, text as X, variant as V
-from vacantia.functions.report import employer_label
+from vacantia.functions import html_pages, report, rules, salary, text as X, variant as V
 from vacantia.operators import dedup, enrich, plugins, ranking, upsert, verdicts
 from vacantia.params import Params
 from vacantia.plans.daily import score_queue, stage, ts
@@ -654,8 +653,7 @@ def prompt_render(spark, sf):
 def run_stamp(spark, sf):
     at = c("seen_at") + F.expr("make_dt_interval(0, 0, CAST(ord % 1440 AS INT))")
     return sightings(spark, sf).select(
-        "ord", F.concat(F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit(" UTC")).alias("stamp"),
-        F.date_format(at, "yyyy-MM-dd").alias("run_date"))
+        "ord", report.run_stamp(at).alias("stamp"), report.run_date(at).alias("run_date"))
 
 
 @query
@@ -668,7 +666,7 @@ def defaults(spark, sf):
 @query
 def employer_label_(spark, sf):
     v = V.first_object(c("reply"))
-    return view(spark, sf, "verdicts").select("ord", employer_label(F.try_variant_get(v, "$.employer_type", "string")).alias("label"))
+    return view(spark, sf, "verdicts").select("ord", report.employer_label(F.try_variant_get(v, "$.employer_type", "string")).alias("label"))
 
 
 QUERIES["employer_label"] = QUERIES.pop("employer_label_")
