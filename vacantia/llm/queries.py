@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import bpe, mixing, quality, urls
+from vacantia.llm import bpe, jaccard, mixing, quality, toxicity, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -32,6 +32,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op2_url_filters"] = urls.ORACLE
 
 
+@query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
@@ -50,3 +55,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = quality.trusted_sample(table(spark, sf_dir, "labels"))
     return quality.scored(docs, quality.as_column(quality.log_ratios(docs, trusted)))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
