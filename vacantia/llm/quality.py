@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.words import words_of
@@ -107,13 +107,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     table = (
         keyed(marked).select("good", F.explode(grams(F.col("_keys"), F.col("_pairs"), buckets)).alias("bucket"))
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")))
-    sums = table.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target")).first()
-    n_raw, n_target = float(sums["n_raw"] or 1), float(sums["n_target"] or 0)
-    if not n_target:
-        return table.select("bucket", F.lit(0.0).alias("ratio"))
+    # one row per bucket, so a window over all of them is small
+    total = lambda c: F.sum(c).over(Window.partitionBy()).cast("double")
+    target = F.col("target") * F.coalesce(total("raw") / F.nullif(total("target"), F.lit(0.0)), F.lit(0.0))
     # both tables at the size of the raw one, then smoothed alike
-    return table.select("bucket", F.log(
-        (F.col("target") * (n_raw / n_target) + prior) / (F.col("raw") + prior)).alias("ratio"))
+    ratio = F.log((target + prior) / (F.col("raw") + prior))
+    return table.select("bucket", F.when(total("target") > 0, ratio).otherwise(F.lit(0.0)).alias("ratio"))
 
 
 def as_column(table: DataFrame, buckets: int = BUCKETS) -> Column:
