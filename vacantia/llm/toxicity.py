@@ -3,12 +3,13 @@
 A text's terms are its words (lower case, ASCII punctuation cut off) and their stems of 4 and 6
 bytes, each once. From labelled rows, a bounded sample with at most ``TOXIC_ROWS`` and
 ``CLEAN_ROWS`` rows by hash of their id, terms that tell the classes apart become voters: a lexicon
-voter is a word, a pattern voter a stem ("any word that begins so"). Voters vote toxic or abstain.
+voter is a word, a pattern voter a stem ("any word that begins so"). These vote toxic or abstain, and
+one more voter votes clean where all of them abstain; the row's own label is the last voter.
 
 The label model is generative: a hidden label, and for each voter the chance of a vote under either
-label, fitted by expectation maximisation. Voters that vote together more than their labels explain
-are correlated; a voter's evidence is divided by one plus its correlations with all others, so a
-word and its own stem count about once. The posterior labels train a logistic regression over all
+label, fitted by expectation maximisation; an abstention says nothing. Voters that vote together more
+than their labels explain are correlated; a voter's evidence is divided by the sum of its squared
+correlations with all voters, so a word and its own stem count about once. The posterior labels train a logistic regression over all
 telling terms, which scores every whole text; labels, language, source and id are no inputs.
 
 Defined cases: null and blank texts have no terms and get the classifier's base rate; repeated rows
@@ -33,6 +34,8 @@ from vacantia.llm.words import _PLACE as PLACE
 #: Bounds of the sample of labelled rows, and of what is learned from it.
 TOXIC_ROWS, CLEAN_ROWS, TERMS, VOTERS = 4_000, 8_000, 4_096, 200
 STEMS = (4, 6)
+#: How often a given label is taken to be right.
+LABEL_RIGHT = 0.9
 HELD_OUT = 5
 _CUT = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c", b" " * 36)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -104,6 +107,7 @@ class Model:
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Posterior chance of the label being 1 for each row of a 0/1 vote matrix."""
+    votes = np.column_stack((votes, votes.sum(1) == 0))  # the voter for clean
     chance = start.astype(float)
     n, m = votes.shape
     evidence = np.ones(m)
@@ -115,18 +119,16 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> np.nd
             # what is left of the votes once the labels are known
             left = votes - (chance[:, None] * rate1 + (1 - chance)[:, None] * rate0)
             spread = np.sqrt((left**2).mean(0)) + 1e-9
-            both = np.abs((left.T @ left) / n / spread[:, None] / spread[None, :])
-            both[both < 0.1] = 0  # within chance
-            evidence = 1 / both.sum(0).clip(1)
-        odds = np.log(ones + 1) - np.log(zeros + 1)
-        yes, no = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
-        odds = odds + votes @ (evidence * (yes - no)) + (evidence * no).sum()
+            related = ((left.T @ left) / n / spread[:, None] / spread[None, :]) ** 2
+            evidence[:-1] = 1 / related[:-1, :-1].sum(0).clip(1)
+        odds = np.log(ones + 1) - np.log(zeros + 1) + votes @ (evidence * np.log(rate1 / rate0))
+        odds = odds + (2 * start - 1) * np.log(LABEL_RIGHT / (1 - LABEL_RIGHT))
         chance = 1 / (1 + np.exp(-odds.clip(-30, 30)))
     return chance
 
 
 def regression(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int], goal: np.ndarray, weight: np.ndarray,
-               ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+               ridge: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on 0/1 features at (rows, columns) for soft goals, by Adam."""
     n, m = shape
     w, total = np.zeros(m + 1), weight.sum()
