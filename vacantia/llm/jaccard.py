@@ -6,7 +6,8 @@ is exact: each link between different sets is found or runs inside one component
 
 1. Equal sets meet by digest; only the smallest id of each goes on ("head").
 2. In hash order, let the prefix of a set of n hold its first n - ceil(0.75 n) + l(n) hashes. Linked
-   sets share at least l hashes of their prefixes, l being that of the smaller one. Heads with fewer
+   sets share at least l hashes of their prefixes, l being that of the smaller one (l is 1 + n / 16
+   here, 1 + n / 4 in the later steps, where few texts are left). Heads with fewer
    prefix hashes in common with all other texts together are alone, and their texts aren't read again.
    Tasks count hashes of a chunk of documents before anything is shuffled, so a hash in a third of all
    documents makes one row per chunk.
@@ -40,20 +41,22 @@ WIDTH = 5
 CHUNK = 2_000_000
 #: A hash of more groups than this opens no group by itself.
 HOT = 50
+#: Rounds in which documents without enough hashes of other groups leave.
+PRUNINGS = 2
 
 
-def extra(n):
-    """l(n): prefix hashes that a linked pair must share at least."""
-    return n // 16 + 1
+#: One of so many hashes of a set that a linked pair must share in its prefixes: over all texts, where
+#: a short prefix costs least, and over the few texts that are left, where a long one tells more.
+FAR, NEAR = 16, 4
 
 
-def prefix(n: int) -> int:
-    return min(n, n - (3 * n + 3) // 4 + extra(n))
+def prefix(n: int, part: int) -> int:
+    return min(n, n - (3 * n + 3) // 4 + n // part + 1)
 
 
-def least_shared(n: Column) -> Column:
+def least_shared(n: Column, part: int) -> Column:
     """l of the smallest set that can be linked with one of n."""
-    return F.floor(F.ceil(n * 0.75) / 16) + 1
+    return F.floor(F.ceil(n * 0.75) / part) + 1
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -116,7 +119,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             key = (*digest(tokens), len(tokens))
             if key not in sets:
-                sets[key] = (doc, tokens[: prefix(len(tokens))].copy())
+                sets[key] = (doc, tokens[: prefix(len(tokens), FAR)].copy())
                 size += len(sets[key][1])
             elif doc < sets[key][0]:
                 sets[key] = (doc, sets[key][1])
@@ -149,7 +152,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = batch.column(1).to_numpy()
-        parts = [_unpacked(t)[: prefix(n)] for t, n in zip(batch.column(2).to_pylist(), sizes.tolist(), strict=True)]
+        parts = [_unpacked(t)[: prefix(n, NEAR)] for t, n in zip(batch.column(2).to_pylist(), sizes.tolist(), strict=True)]
         times = [len(p) for p in parts]
         tokens = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         yield pa.RecordBatch.from_arrays(
@@ -187,11 +190,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def star_pairs(posts: DataFrame) -> DataFrame:
-    """Each document with the smallest one that shares a hash, if they share half of a prefix or more."""
+    """Each document with the smallest one that shares a hash, if they share a quarter of its hashes in the prefix."""
     first = posts.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
     met = posts.join(first, "token").filter("doc_id <> a")
     shared = met.groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    return shared.filter(F.col("k") * 6 >= F.col("n")).select("a", "b")
+    return shared.filter(F.col("k") * 4 >= F.col("n")).select("a", "b")
 
 
 def opened_pairs(posts: DataFrame, hot: int = HOT) -> DataFrame:
@@ -199,11 +202,15 @@ def opened_pairs(posts: DataFrame, hot: int = HOT) -> DataFrame:
 
     ``posts``: (token, doc_id, n, g), the hashes of each document's prefix and its group.
     """
-    matrix = posts.select("token", "g").distinct()
-    spread = stored(matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1"))
-    posts = stored(posts.join(spread, "token").withColumn("hot", F.col("groups") > hot).drop("groups"))
+    for _ in range(PRUNINGS):
+        # documents with too few hashes of other groups leave; then other hashes have one group only
+        spread = posts.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
+        posts = stored(posts.drop("groups").join(spread, "token"))
+        able = posts.groupBy("doc_id").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= least_shared(F.col("n"), NEAR))
+        posts = stored(posts.join(able.select("doc_id"), "doc_id", "left_semi"))
+    posts = posts.withColumn("hot", F.col("groups") > hot).drop("groups")
     load = posts.groupBy("doc_id").agg(F.count_if("hot").alias("h"), F.first("n").alias("n"), F.first("g").alias("g"))
-    load = stored(load.withColumn("heavy", F.col("h") >= least_shared(F.col("n"))))
+    load = stored(load.withColumn("heavy", F.col("h") >= least_shared(F.col("n"), NEAR)))
     cool = posts.filter("NOT hot").select("token", "doc_id", "g")
     warm = posts.filter("hot").join(load.filter("heavy").select("doc_id"), "doc_id", "left_semi").select("token", "doc_id", "g")
 
@@ -211,7 +218,7 @@ def opened_pairs(posts: DataFrame, hot: int = HOT) -> DataFrame:
         groups = p.select("token", F.col("g").alias("other")).distinct()
         met = p.join(groups, "token").filter("other < g")
         bound = met.groupBy("doc_id", "other").agg(F.count("*").alias("k")).join(load.select("doc_id", "n", "h"), "doc_id")
-        open_ = bound.filter(F.col("k") + slack >= least_shared(F.col("n"))).select("doc_id", "other")
+        open_ = bound.filter(F.col("k") + slack >= least_shared(F.col("n"), NEAR)).select("doc_id", "other")
         members = p.select("token", F.col("doc_id").alias("a"), F.col("g").alias("other"))
         return p.join(open_, "doc_id").select("token", "other", F.col("doc_id").alias("b")).join(members, ["token", "other"]).select("a", "b").distinct()
 
@@ -231,7 +238,7 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     weight = F.when(F.col("k") < 0, -F.col("k")).when((F.col("k") == 1) & (F.col("tasks") > 1), F.lit(1))
     shared = met.select("doc_id", weight.alias("w")).filter("w > 0").groupBy("doc_id").agg(F.sum("w").alias("w"))
     head = equal.filter("a = b").select(F.col("a").alias("doc_id"), "n")
-    going = shared.join(head, "doc_id").filter(F.col("w") >= least_shared(F.col("n"))).select("doc_id").distinct()
+    going = shared.join(head, "doc_id").filter(F.col("w") >= least_shared(F.col("n"), FAR)).select("doc_id").distinct()
     sets = stored(texts.join(stored(going), "doc_id").mapInArrow(_whole, "doc_id long, n long, tokens binary").dropDuplicates(["doc_id"]))
 
     posts = stored(sets.mapInArrow(_prefixes, "token long, doc_id long, n long"))
