@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a generation of kept chunks or pre-tokens, the longest of these, and text taken together.
-CACHE = 250_000
+CACHE = 450_000
 KEPT_CHARS = 64
 BLOCK_CHARS = 4_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_ODD_SPACES = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f\x85]")
 
 
 class RankQueue:
@@ -193,51 +191,57 @@ class Bpe:
             at = last + 1
         return out
 
-    def token_ids(self, tokens: list[str]) -> dict[str, bytes]:
+    def token_ids(self, tokens: Iterable[str]) -> dict[str, bytes]:
         """Ids of different pre-tokens; those not met lately are merged together."""
         found: dict[str, bytes] = {}
         new: list[str] = []
         for token in tokens:
-            ids = self.tokens.get(token)
+            ids = self.tokens.get(token) or self.chunks.get(token)
             if ids is None:
                 new.append(token)
             else:
                 found[token] = ids
-        for token, ids in zip(new, self.merge([t.encode("utf-8", "surrogatepass") for t in new]), strict=True):
-            found[token] = ids
-            self.tokens.put(token, ids)
+        found.update(zip(new, self.merge([t.encode("utf-8", "surrogatepass") for t in new]), strict=True))
         return found
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text.
 
         Where single spaces part runs of other characters, no pre-token reaches over a space but by
-        starting with it, so " word" is a chunk on its own. Any other text is a chunk as a whole.
+        starting with it, so " word" is a chunk on its own. A text with other spaces beside a space
+        or at an end is a chunk as a whole.
         """
         split: list[list[str]] = []
         new: dict[str, list[str]] = {}
+        whole: set[str] = set()
         known: dict[str, bytes] = {}
         kept = self.chunks
         for text in texts:
-            if not text:
-                chunks = []
-            elif _ODD_SPACES.search(text):
-                chunks = [text]
-            else:
-                chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-            split.append(chunks)
+            chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
             for chunk in set(chunks):
                 if chunk not in known and chunk not in new:
                     ids = kept.get(chunk)
-                    if ids is None:
-                        new[chunk] = self.find(chunk)
-                    else:
+                    if ids is not None:
                         known[chunk] = ids
-        ids_of = self.token_ids(list(dict.fromkeys(t for tokens in new.values() for t in tokens)))
+                        continue
+                    word = chunk[1:] if chunk[:1] == " " else chunk
+                    if not word or word[0].isspace() or word[-1].isspace():
+                        # such a chunk is never kept, so it is met again here
+                        chunks = [text]
+                        whole.add(text)
+                        new[text] = self.find(text)
+                        break
+                    new[chunk] = self.find(chunk)
+            split.append(chunks)
+        ids_of = self.token_ids(dict.fromkeys(t for tokens in new.values() for t in tokens))
         for chunk, tokens in new.items():
-            ids = b"".join([ids_of[t] for t in tokens])
-            known[chunk] = ids
-            kept.put(chunk, ids)
+            ids = known[chunk] = b"".join([ids_of[t] for t in tokens])
+            if chunk not in whole and "\0" not in chunk:
+                kept.put(chunk, ids)
+                if len(tokens) > 1:
+                    for token in tokens:
+                        if self.tokens.get(token) is None:
+                            self.tokens.put(token, ids_of[token])
         return [b"".join([known[c] for c in chunks]) for chunks in split]
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
