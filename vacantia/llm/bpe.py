@@ -211,9 +211,9 @@ class Bpe:
         starting with it, so " word" is a chunk on its own. A text with other spaces beside a space
         or at an end is a chunk as a whole.
         """
-        split: list[list[str]] = []
+        split: list[list[str] | None] = []
         new: dict[str, list[str]] = {}
-        whole: set[str] = set()
+        whole: dict[str, list[str]] = {}
         known: dict[str, bytes] = {}
         kept = self.chunks
         for text in texts:
@@ -227,22 +227,22 @@ class Bpe:
                     word = chunk[1:] if chunk[:1] == " " else chunk
                     if not word or word[0].isspace() or word[-1].isspace():
                         # such a chunk is never kept, so it is met again here
-                        chunks = [text]
-                        whole.add(text)
-                        new[text] = self.find(text)
+                        chunks = None
+                        whole[text] = self.find(text)
                         break
                     new[chunk] = self.find(chunk)
             split.append(chunks)
-        ids_of = self.token_ids(dict.fromkeys(t for tokens in new.values() for t in tokens))
+        ids_of = self.token_ids(dict.fromkeys(t for tokens in (*new.values(), *whole.values()) for t in tokens))
         for chunk, tokens in new.items():
             ids = known[chunk] = b"".join([ids_of[t] for t in tokens])
-            if chunk not in whole and "\0" not in chunk:
+            if "\0" not in chunk:
                 kept.put(chunk, ids)
                 if len(tokens) > 1:
                     for token in tokens:
                         if self.tokens.get(token) is None:
                             self.tokens.put(token, ids_of[token])
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        joined = {text: b"".join([ids_of[t] for t in tokens]) for text, tokens in whole.items()}
+        return [joined[text] if chunks is None else b"".join([known[c] for c in chunks]) for text, chunks in zip(texts, split, strict=True)]
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         held: list[str] = []
