@@ -11,12 +11,14 @@ is exact: each link between different sets is found or runs inside one component
    prefix hashes in common with all other texts together are alone, and their texts aren't read again.
    Tasks count hashes of a chunk of documents before anything is shuffled, so a hash in a third of all
    documents makes one row per chunk.
-3. Each remaining head is compared with the smallest head that shares a hash, if they share many: the
-   links found make the groups. A family of near copies becomes one group by as many comparisons.
-4. The token-group matrix holds for each group the union of its members' prefix hashes. A query
-   document's overlap with a group's union bounds its overlap with every member; groups below the
-   bound stay closed, and of the others only members that share a hash are compared exactly. Hashes
-   of more than ``HOT`` groups open nothing, unless they are so many of a document's prefix that a link
+3. Each remaining head is tied to the most central head it shares many hashes with; what hangs together
+   so is a family, the group of the method. Only the tied pairs are compared here.
+4. Inside a family that these links don't join already, the sets are compared in blocks by matrix
+   products, and a block pair gives only the links that join components, never all pairs.
+   Between families stands the token-group matrix: for each family the union of its members' prefix
+   hashes. A document's overlap with a union bounds its overlap with every member; families below the
+   bound stay closed; documents that open a family are compared with its members, again in blocks. Hashes
+   of more than ``HOT`` families open nothing, unless they are so many of a document's prefix that a link
    could rest on them alone; such documents are matched among each other by these hashes as well.
 5. Components over all links, by rounds of smallest neighbour and pointer jumping.
 
@@ -41,6 +43,8 @@ WIDTH = 5
 CHUNK = 2_000_000
 #: A hash of more groups than this opens no group by itself.
 HOT = 50
+#: Hashes in a block of a family.
+BLOCK_TOKENS = 200_000
 #: Rounds in which documents without enough hashes of other groups leave.
 PRUNINGS = 2
 
@@ -190,39 +194,127 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def star_pairs(posts: DataFrame) -> DataFrame:
-    """Each document with the smallest one that shares a hash, if they share a quarter of its hashes in the prefix."""
-    first = posts.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    met = posts.join(first, "token").filter("doc_id <> a")
-    shared = met.groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    return shared.filter(F.col("k") * 4 >= F.col("n")).select("a", "b")
+    """Each document with the central one that shares most of its hashes, if these are many.
+
+    Central is a document whose hashes many others have, as the original of a family of copies. What
+    this step doesn't tie together, the next ones find.
+    """
+    spread = posts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    met = posts.join(spread, "token")
+    centre = met.groupBy("doc_id").agg((F.sum("k") / F.first("n")).alias("weight"))
+    met = stored(met.drop("k").join(centre, "doc_id"))
+    first = met.groupBy("token").agg(F.max(F.struct("weight", -F.col("doc_id"))).alias("top")).select("token", (-F.col("top.col2")).alias("a"))
+    shared = met.join(first, "token").filter("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    best = shared.filter(F.col("k") >= least_shared(F.col("n"), NEAR)).groupBy("b").agg(F.max(F.struct("k", -F.col("a"))).alias("top"))
+    return best.select((-F.col("top.col2")).alias("a"), "b")
+
+
+def _rows() -> Column:
+    return F.struct("doc_id", "c", "n", "tokens").alias("row")
 
 
-def opened_pairs(posts: DataFrame, hot: int = HOT) -> DataFrame:
-    """Pairs of documents of different groups that the token-group matrix can't rule out.
+def family_blocks(members: DataFrame) -> DataFrame:
+    """(id, f, c, rows): the sets of each family that isn't one component yet, in blocks of some ``BLOCK_TOKENS``.
 
-    ``posts``: (token, doc_id, n, g), the hashes of each document's prefix and its group.
+    A component that fills blocks by itself has its own blocks, marked by c; the others share blocks.
+    """
+    parts = stored(members.groupBy("f", "c").agg(F.sum("n").alias("size")).withColumn("large", F.col("size") >= BLOCK_TOKENS))
+    mixed = parts.groupBy("f").agg(F.count("*").alias("parts"), F.sum(F.when(~F.col("large"), F.col("size"))).alias("rest")).filter("parts > 1")
+    plan = parts.join(mixed, "f").select(
+        "f", "c", "large", F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("rest")) / BLOCK_TOKENS).alias("blocks"))
+    placed = members.join(plan, ["f", "c"])
+    return placed.select("f", F.when(F.col("large"), F.col("c")).alias("c"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), _rows()).groupBy(
+        "f", "c", "block").agg(F.collect_list("row").alias("rows")).withColumn("id", F.xxhash64("f", F.coalesce("c", F.lit(-1)), "block"))
+
+
+def plain_blocks(rows: DataFrame, name: str) -> DataFrame:
+    """(f, rows as ``name``): rows (f, doc_id, c, n, tokens) in blocks of some ``BLOCK_TOKENS``."""
+    plan = rows.groupBy("f").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    placed = rows.join(plan, "f").select("f", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), _rows())
+    return placed.groupBy("f", "block").agg(F.collect_list("row").alias(name)).drop("block")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by matrix products over the hashes that both sides hold."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for sets, flat in ((left, a), (right, b)):
+        at = np.searchsorted(both, flat).clip(max=max(0, len(both) - 1))
+        keep = np.flatnonzero(both[at] == flat) if len(both) else np.empty(0, np.int64)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[keep]
+        order = np.argsort(at[keep], kind="stable")
+        places.append((row[order], at[keep][order]))
+    for low in range(0, len(both), 4096):
+        parts = []
+        for (row, at), sets in zip(places, (left, right), strict=True):
+            x, y = np.searchsorted(at, (low, low + 4096))
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[x:y], at[x:y] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components of two blocks, no more than it takes to join what they join."""
+    for batch in batches:
+        ones, twos = [], []
+        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+            both = overlaps([_unpacked(r["tokens"]) for r in left], [_unpacked(r["tokens"]) for r in right])
+            n, m = np.array([r["n"] for r in left]), np.array([r["n"] for r in right])
+            near = 100 * both >= 75 * (n[:, None] + m[None, :] - both)
+            near &= np.array([r["c"] for r in left])[:, None] != np.array([r["c"] for r in right])[None, :]
+            head = {r["c"]: r["c"] for r in (*left, *right)}
+
+            def root(c: int, head: dict[int, int] = head) -> int:
+                while head[c] != c:
+                    head[c] = c = head[head[c]]
+                return c
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                a, b = root(left[i]["c"]), root(right[j]["c"])
+                if a != b:
+                    head[a] = b
+                    ones.append(left[i]["doc_id"])
+                    twos.append(right[j]["doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], ["a", "b"])
+
+
+def family_links(blocks: DataFrame) -> DataFrame:
+    """Links inside families: each two blocks meet once, but for blocks of one component."""
+    names = blocks.select("f", "c", "id")
+    one, two = (names.select("f", F.col("c").alias(f"c{k}"), F.col("id").alias(f"id{k}")) for k in (1, 2))
+    pairs = one.join(two, "f").filter("id1 <= id2").filter(~F.coalesce(F.col("c1") == F.col("c2"), F.lit(False)))
+    left, right = (blocks.select(F.col("id").alias(f"id{k}"), F.col("rows").alias(side)) for k, side in ((1, "left"), (2, "right")))
+    return pairs.select("id1", "id2").join(left, "id1").join(right, "id2").select("left", "right").mapInArrow(_linked_blocks, "a long, b long")
+
+
+def opened(posts: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, f): the families but their own that the token-group matrix can't rule out for a document.
+
+    ``posts``: (token, doc_id, n, g), the hashes of each document's prefix and its family. Of two
+    families the one with the larger number asks the other.
     """
     for _ in range(PRUNINGS):
-        # documents with too few hashes of other groups leave; then other hashes have one group only
+        # documents with too few hashes of other families leave; then other hashes have one family only
         spread = posts.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
         posts = stored(posts.drop("groups").join(spread, "token"))
         able = posts.groupBy("doc_id").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= least_shared(F.col("n"), NEAR))
         posts = stored(posts.join(able.select("doc_id"), "doc_id", "left_semi"))
     posts = posts.withColumn("hot", F.col("groups") > hot).drop("groups")
-    load = posts.groupBy("doc_id").agg(F.count_if("hot").alias("h"), F.first("n").alias("n"), F.first("g").alias("g"))
+    load = posts.groupBy("doc_id").agg(F.count_if("hot").alias("h"), F.first("n").alias("n"))
     load = stored(load.withColumn("heavy", F.col("h") >= least_shared(F.col("n"), NEAR)))
     cool = posts.filter("NOT hot").select("token", "doc_id", "g")
     warm = posts.filter("hot").join(load.filter("heavy").select("doc_id"), "doc_id", "left_semi").select("token", "doc_id", "g")
 
-    def opened(p: DataFrame, slack: Column) -> DataFrame:
-        groups = p.select("token", F.col("g").alias("other")).distinct()
-        met = p.join(groups, "token").filter("other < g")
-        bound = met.groupBy("doc_id", "other").agg(F.count("*").alias("k")).join(load.select("doc_id", "n", "h"), "doc_id")
-        open_ = bound.filter(F.col("k") + slack >= least_shared(F.col("n"), NEAR)).select("doc_id", "other")
-        members = p.select("token", F.col("doc_id").alias("a"), F.col("g").alias("other"))
-        return p.join(open_, "doc_id").select("token", "other", F.col("doc_id").alias("b")).join(members, ["token", "other"]).select("a", "b").distinct()
+    def by(p: DataFrame, slack: Column) -> DataFrame:
+        union = p.select("token", F.col("g").alias("f")).distinct()
+        bound = p.join(union, "token").filter("f < g").groupBy("doc_id", "f").agg(F.count("*").alias("k"))
+        return bound.join(load, "doc_id").filter(F.col("k") + slack >= least_shared(F.col("n"), NEAR)).select("doc_id", "f")
 
-    return opened(cool, F.col("h")).union(opened(warm, F.col("n"))).distinct()
+    return by(cool, F.col("h")).union(by(warm, F.col("n"))).distinct()
 
 
 def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -242,12 +334,20 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     sets = stored(texts.join(stored(going), "doc_id").mapInArrow(_whole, "doc_id long, n long, tokens binary").dropDuplicates(["doc_id"]))
 
     posts = stored(sets.mapInArrow(_prefixes, "token long, doc_id long, n long"))
-    near = stored(verified(star_pairs(posts), sets))
-    groups = components(near)
-    grouped = posts.join(groups, F.col("doc_id") == F.col("v"), "left").select("token", "doc_id", "n", F.coalesce("c", "doc_id").alias("g"))
-    far = stored(verified(opened_pairs(grouped, hot), sets))
-
-    joined = components(equal.filter("a <> b").select("a", "b").union(near).union(far))
+    stars = stored(star_pairs(posts))
+    near = stored(verified(stars, sets))
+    families, groups = components(stars), components(near)
+    label = lambda table, name: table.select(F.col("v").alias("doc_id"), F.col("c").alias(name))
+    members = sets.join(label(families, "f"), "doc_id", "left").join(label(groups, "c"), "doc_id", "left")
+    members = stored(members.withColumn("f", F.coalesce("f", "doc_id")).withColumn("c", F.coalesce("c", "doc_id")))
+    inside = stored(family_links(stored(family_blocks(members))))
+    grouped = posts.join(members.select("doc_id", F.col("f").alias("g")), "doc_id")
+    asked = stored(opened(grouped, hot))
+    asking = plain_blocks(asked.join(members.drop("f"), "doc_id"), "left")
+    asked_for = plain_blocks(members.join(asked.select("f").distinct(), "f"), "right")
+    across = stored(asking.join(asked_for, "f").select("left", "right").mapInArrow(_linked_blocks, "a long, b long"))
+
+    joined = components(equal.filter("a <> b").select("a", "b").union(near).union(inside).union(across))
     return sized.join(joined, F.col("doc_id") == F.col("v"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
