@@ -36,6 +36,8 @@ SLOTS = (9, 16, 18, 19, 19)
 HEAD = 1 << 18
 BLOCK = 4_000_000
 PARTS, LEFT_OUT = 7, 2
+#: Tasks that turn counted runs into the predictors' tables, each as large as ``SLOTS`` say.
+COMBINE = 16
 END = 0xFF
 _PAD = bytes([END]) * 4
 _OFFSET = np.concatenate(([0], np.cumsum([1 << b for b in SLOTS])))
@@ -196,41 +198,48 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(b"\n".join([b" ".join(t.lower().split()) for t in texts]))
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (0, slot, zeros, ones) of the predictors and (1, word, count, 0), summed in the task as far as they fit."""
-    zeros, ones = np.zeros(TOTAL), np.zeros(TOTAL)
-    words: list[tuple[np.ndarray, np.ndarray]] = []
-    held = texts_seen = 0
+    """Rows (0, run, count, 0) and (1, word, count, 0), summed in the task as far as they fit."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+    seen = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in words]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([c for _, c in words]), len(keys))
+    def emptied(kind: int, keep: int = 0) -> Iterator[pa.RecordBatch]:
+        if held[kind]:
+            keys, counts = _merged(held[kind])
+            held[kind] = [(keys, counts)] if len(keys) <= keep else []
+            if not held[kind]:
+                yield from _rows(kind, keys, counts, np.zeros(len(keys)))
 
     for batch in batches:
         for texts in text_blocks(batch.column("text").to_pylist()):
-            texts_seen += len(texts)
-            runs, times = np.unique(real(*grams(texts)), return_counts=True)
-            for order in range(len(SLOTS)):
-                low, high = int(_OFFSET[order]), int(_OFFSET[order + 1])
-                for place, outcome in slots(runs, order):
-                    zeros[low:high] += np.bincount(place - low, times * (1 - outcome), high - low)
-                    ones[low:high] += np.bincount(place - low, times * outcome, high - low)
-            keys, counts = np.unique(_words(texts)[0], return_counts=True)
-            words.append((keys, counts.astype(float)))
-            held += len(keys)
-            if held > 3_000_000:
-                keys, counts = merged()
-                words, held = [(keys, counts)], len(keys)
-                if held > 1_500_000:
-                    yield from _rows(1, keys, counts, np.zeros(held))
-                    words, held = [], 0
-    if words:
-        keys, counts = merged()
-        yield from _rows(1, keys, counts, np.zeros(len(keys)))
-    if texts_seen:
-        yield from _rows(1, np.array([END_WORD], np.uint64), np.array([texts_seen]), np.zeros(1))
-        used = np.flatnonzero(zeros + ones)
-        yield from _rows(0, used.astype(np.uint64), zeros[used], ones[used])
+            seen += len(texts)
+            for kind, keys in ((0, real(*grams(texts))), (1, _words(texts)[0])):
+                keys, counts = np.unique(keys, return_counts=True)
+                held[kind].append((keys, counts.astype(float)))
+                if sum(len(k) for k, _ in held[kind]) > 3_000_000:
+                    yield from emptied(kind, 1_500_000)
+    if seen:
+        held[1].append((np.array([END_WORD], np.uint64), np.array([float(seen)])))
+    yield from emptied(0)
+    yield from emptied(1)
+
+
+def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (0, slot, zeros, ones): how the decisions of the counted runs fell."""
+    zeros, ones = np.zeros(TOTAL), np.zeros(TOTAL)
+    for batch in batches:
+        runs, times = batch.column("key").to_numpy().view(np.uint64), batch.column("a").to_numpy().astype(float)
+        for order in range(len(SLOTS)):
+            for place, outcome in slots(runs, order):
+                np.add.at(zeros, place, times * (1 - outcome))
+                np.add.at(ones, place, times * outcome)
+    used = np.flatnonzero(zeros + ones)
+    yield from _rows(0, used.astype(np.uint64), zeros[used], ones[used])
 
 
 @dataclass
@@ -245,10 +254,11 @@ def learned(training: DataFrame) -> Counts:
     """The model and the word counts of all training rows."""
     spark = training.sparkSession
     rows = training.select("text").mapInArrow(_counted, "kind byte, key long, a long, b long")
-    sums = stored(rows.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    sums = stored(rows.groupBy("kind", "key").agg(F.sum("a").alias("a")))
     words = sums.filter("kind = 1").select("key", "a")
     total = words.agg(F.count("*").alias("v"), F.sum("a").alias("n")).first()
-    table = sums.filter("kind = 0").select("key", "a", "b").toArrow()  # at most one row per slot
+    decided = sums.filter("kind = 0").select("key", "a").repartition(COMBINE).mapInArrow(_decisions, "kind byte, key long, a long, b long")
+    table = decided.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # at most one row per slot
     model = Model(np.zeros(TOTAL, np.float32), np.zeros(TOTAL, np.float32), start_weights(), np.empty(0))
     at = table.column("key").to_numpy()
     model.zeros[at], model.ones[at] = table.column("a").to_numpy(), table.column("b").to_numpy()
