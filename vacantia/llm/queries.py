@@ -6,9 +6,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import ann, bpe, jaccard, lm, mixing, quality, toxicity, urls
+from vacantia.llm import ann, bpe, jaccard, licenses, lm, mixing, packing, quality, toxicity, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+END_ID = 50_256  # free in this vocabulary
 PATTERN = public_tokenizers.PATTERN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.matrices(table(spark, sf_dir, "documents"), RANKS, PATTERN, END_ID))
+
+
 @query
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(table(spark, sf_dir, "pages"), urls.RULES)
@@ -69,6 +75,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
