@@ -43,8 +43,8 @@ WIDTH = 5
 CHUNK = 2_000_000
 #: A hash of more groups than this opens no group by itself.
 HOT = 50
-#: Hashes in a block of a family.
-BLOCK_TOKENS = 200_000
+#: Hashes in a block of a family, where a document counts as so many more: blocks are bounded in rows too.
+BLOCK_TOKENS, ROW_TOKENS = 200_000, 250
 #: Rounds in which documents without enough hashes of other groups leave.
 PRUNINGS = 2
 
@@ -218,7 +218,7 @@ def family_blocks(members: DataFrame) -> DataFrame:
 
     A component that fills blocks by itself has its own blocks, marked by c; the others share blocks.
     """
-    parts = stored(members.groupBy("f", "c").agg(F.sum("n").alias("size")).withColumn("large", F.col("size") >= BLOCK_TOKENS))
+    parts = stored(members.groupBy("f", "c").agg(F.sum(F.col("n") + ROW_TOKENS).alias("size")).withColumn("large", F.col("size") >= BLOCK_TOKENS))
     mixed = parts.groupBy("f").agg(F.count("*").alias("parts"), F.sum(F.when(~F.col("large"), F.col("size"))).alias("rest")).filter("parts > 1")
     plan = parts.join(mixed, "f").select(
         "f", "c", "large", F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("rest")) / BLOCK_TOKENS).alias("blocks"))
@@ -229,7 +229,7 @@ def family_blocks(members: DataFrame) -> DataFrame:
 
 def plain_blocks(rows: DataFrame, name: str) -> DataFrame:
     """(f, rows as ``name``): rows (f, doc_id, c, n, tokens) in blocks of some ``BLOCK_TOKENS``."""
-    plan = rows.groupBy("f").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    plan = rows.groupBy("f").agg(F.ceil(F.sum(F.col("n") + ROW_TOKENS) / BLOCK_TOKENS).alias("blocks"))
     placed = rows.join(plan, "f").select("f", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), _rows())
     return placed.groupBy("f", "block").agg(F.collect_list("row").alias(name)).drop("block")
 

@@ -5,8 +5,8 @@ lines make one block. Each block is compressed alone and with each template as a
 dictionary: the size a template saves says how much of the block's wording it knows. The best
 templates by saved share are then confirmed by their exact wording: the words of the closest notice
 of the template are aligned with the block's words, and the block is a match if no key word (a name
-or version that tells the template from the others) is missing and the other differences stay under
-``MAX_DIFFERENCE`` of the notice's words.
+or version that tells the template from the others) is missing, no other template's was put in, and
+the differences stay under ``MAX_DIFFERENCE`` of the notice's words.
 
 Defined cases: null and blank texts have no candidates and no license; a text may hold several
 licenses and each is reported once; equal savings go by template name; repeated rows are scanned
@@ -75,6 +75,7 @@ def candidates(text: str) -> list[str]:
 class Scanner:
     def __init__(self, templates: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> None:
         self.templates = {k: (keys, [words(n) for n in notices]) for k, (keys, notices) in templates.items()}
+        self.named = {key for keys, _ in templates.values() for key in keys}
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self.primed = {
             name: zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
@@ -108,6 +109,9 @@ class Scanner:
                 continue
             real = [r for r in runs if r.size]
             span = real[-1].b + real[-1].size - real[0].b
+            added = set(text[real[0].b : real[0].b + span]) - set(notice)
+            if added & self.named:
+                continue  # it names another license
             apart = len(notice) - len(held) + span - len(held)
             if apart <= MAX_DIFFERENCE * len(notice) and (best is None or apart < best):
                 best = apart
