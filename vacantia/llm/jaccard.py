@@ -193,18 +193,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("v", "c")
 
 
+def able(posts: DataFrame) -> DataFrame:
+    """(token, doc_id, n, weight): the shared hashes of documents that share as many as a link needs.
+
+    The weight tells how central a document is: how many documents have its hashes, on average.
+    """
+    met = stored(posts.withColumn("k", F.count("*").over(Window.partitionBy("token"))).filter("k > 1"))
+    each = met.groupBy("doc_id").agg(F.count("*").alias("shared"), (F.sum("k") / F.first("n")).alias("weight"), F.first("n").alias("n"))
+    each = each.filter(F.col("shared") >= least_shared(F.col("n"), NEAR)).select("doc_id", "weight")
+    return stored(met.drop("k").join(each, "doc_id"))
+
+
 def star_pairs(posts: DataFrame) -> DataFrame:
     """Each document with the central one that shares most of its hashes, if these are many.
 
-    Central is a document whose hashes many others have, as the original of a family of copies. What
-    this step doesn't tie together, the next ones find.
+    Most central is the original of a family of copies. What this step doesn't tie together, the next ones find.
     """
-    spread = posts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
-    met = posts.join(spread, "token")
-    centre = met.groupBy("doc_id").agg((F.sum("k") / F.first("n")).alias("weight"))
-    met = stored(met.drop("k").join(centre, "doc_id"))
-    first = met.groupBy("token").agg(F.max(F.struct("weight", -F.col("doc_id"))).alias("top")).select("token", (-F.col("top.col2")).alias("a"))
-    shared = met.join(first, "token").filter("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    first = posts.groupBy("token").agg(F.max(F.struct("weight", -F.col("doc_id"))).alias("top")).select("token", (-F.col("top.col2")).alias("a"))
+    shared = posts.join(first, "token").filter("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
     best = shared.filter(F.col("k") >= least_shared(F.col("n"), NEAR)).groupBy("b").agg(F.max(F.struct("k", -F.col("a"))).alias("top"))
     return best.select((-F.col("top.col2")).alias("a"), "b")
 
@@ -331,9 +337,9 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shared = met.select("doc_id", weight.alias("w")).filter("w > 0").groupBy("doc_id").agg(F.sum("w").alias("w"))
     head = equal.filter("a = b").select(F.col("a").alias("doc_id"), "n")
     going = shared.join(head, "doc_id").filter(F.col("w") >= least_shared(F.col("n"), FAR)).select("doc_id").distinct()
-    sets = stored(texts.join(stored(going), "doc_id").mapInArrow(_whole, "doc_id long, n long, tokens binary").dropDuplicates(["doc_id"]))
-
-    posts = stored(sets.mapInArrow(_prefixes, "token long, doc_id long, n long"))
+    sets = stored(texts.join(stored(going), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_whole, "doc_id long, n long, tokens binary"))
+    posts = able(sets.mapInArrow(_prefixes, "token long, doc_id long, n long"))
+    sets = stored(sets.join(posts.select("doc_id").distinct(), "doc_id", "left_semi"))
     stars = stored(star_pairs(posts))
     near = stored(verified(stars, sets))
     families, groups = components(stars), components(near)
@@ -341,7 +347,7 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     members = sets.join(label(families, "f"), "doc_id", "left").join(label(groups, "c"), "doc_id", "left")
     members = stored(members.withColumn("f", F.coalesce("f", "doc_id")).withColumn("c", F.coalesce("c", "doc_id")))
     inside = stored(family_links(stored(family_blocks(members))))
-    grouped = posts.join(members.select("doc_id", F.col("f").alias("g")), "doc_id")
+    grouped = posts.drop("weight").join(members.select("doc_id", F.col("f").alias("g")), "doc_id")
     asked = stored(opened(grouped, hot))
     asking = plain_blocks(asked.join(members.drop("f"), "doc_id"), "left")
     asked_for = plain_blocks(members.join(asked.select("f").distinct(), "f"), "right")
