@@ -82,6 +82,7 @@ def test_quality_reject_is_the_same_decision(docs, clashing, no_docs, labels):
     assert bag(r.doc_id for r in quality.reject(docs, ratios).collect()) == kept
     out = quality.reject(clashing, ratios)
     assert out.columns == clashing.columns and bag(r.doc_id for r in out.collect()) == kept
+    assert {tuple(r)[5:] for r in out.collect()} == {(7,) * (len(out.columns) - 5)}
     assert quality.log_ratios(no_docs, quality.trusted_sample(labels)).count() == 0
     assert quality.scored(no_docs, ratios).count() == 0
     none = quality.log_ratios(docs, quality.trusted_sample(labels.limit(0)))

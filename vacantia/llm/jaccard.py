@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.llm.columns import unwrapped, wrapped
 from vacantia.llm.stored import stored
 from vacantia.llm.words import blocks, gram_hashes, mix, word_hashes
 
@@ -360,7 +361,7 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component, once each; columns unchanged."""
-    keep = linked(docs).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.join(keep, docs["doc_id"] == keep["_kept"]).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_kept").orderBy("_kept"))).filter("_n = 1").select(*docs.columns)
-    return with_id.unionByName(docs.filter("doc_id IS NULL"))
+    keep = linked(docs).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
+    rows = wrapped(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    first = rows.join(keep, "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("n = 1")
+    return unwrapped(first.select("_row").union(rows.filter("doc_id IS NULL").select("_row")), docs.columns)

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.llm.columns import unwrapped, wrapped
 from vacantia.llm.words import n_words
 
 WEIGHTS = (5, 2, 1)
@@ -89,13 +90,9 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, columns unchanged."""
-    names = [f"c{i}" for i in range(len(docs.columns))]  # the input's columns may clash with ours
-    held = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"),
-        F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("_row"))
+    held = wrapped(docs, F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
     out = allotted(held, [F.col("_tie")], **options).filter("copies > 0")
-    out = out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[F.col(f"_row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    return unwrapped(out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
 
 
 ORACLE = r"""

@@ -17,6 +17,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.llm.columns import unwrapped, wrapped
 from vacantia.llm.words import words_of
 
 #: Size of the hashed n-gram tables; both fit in memory anywhere.
@@ -140,7 +141,7 @@ def scored(docs: DataFrame, ratios: Column, threshold: float = THRESHOLD, bucket
 def reject(docs: DataFrame, ratios: Column, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and the ratio test, columns unchanged."""
     size = F.size("_keys")
-    return (
-        keyed(docs).filter(size >= MIN_WORDS)
-        .filter(100 * repeated_words(F.col("_pairs")) <= MAX_REPEAT * size)
-        .filter(mean_ratio(ratios) >= threshold).select(*docs.columns))
+    kept = (
+        keyed(wrapped(docs, F.col("text"))).filter(size >= MIN_WORDS)
+        .filter(100 * repeated_words(F.col("_pairs")) <= MAX_REPEAT * size).filter(mean_ratio(ratios) >= threshold))
+    return unwrapped(kept, docs.columns)
