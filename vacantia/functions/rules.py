@@ -34,9 +34,11 @@ def hard_filter_reason(title: Column, description: Column, employment: Column, p
     return F.coalesce(employment_reason(employment, params), keyword_reason(lowered, params))
 
 
-def role_text(title: Column, description: Column) -> Column:
-    """Title and opening of the description, lower-cased: where a role is named."""
-    opening = F.substring(text_or_empty(description), 1, P.ROLE_TEXT_CHARS)
+def role_text(title: Column, description: Column, params: Params = Params()) -> Column:
+    """Title and description (or its opening), lower-cased: where a role is named."""
+    opening = text_or_empty(description)
+    if params.role_text_chars is not None:
+        opening = F.substring(opening, 1, params.role_text_chars)
     return F.lower(F.concat_ws(" ", text_or_empty(title), opening))
 
 
@@ -177,7 +179,7 @@ def score_postings(postings: DataFrame, params: Params = Params()) -> DataFrame:
         *kept,
         F.lower(text_or_empty(c("description"))).alias("_text"),
         F.lower(F.concat_ws(" ", text_or_empty(c("title")), text_or_empty(c("description")))).alias("_both"),
-        role_text(c("title"), c("description")).alias("_opening"),
+        role_text(c("title"), c("description"), params).alias("_opening"),
     )
     early = lowered.select(
         *kept, "_text",

@@ -93,8 +93,17 @@ def _format_span(style: pd.Series, currency: pd.Series, low: pd.Series, high: pd
 
 
 def format_span(style: Column, currency: Column, low_lakh: Column, high_lakh: Column) -> Column:
-    """Display text of a pay range in lakhs; style is ``stated``, ``converted`` or ``estimated``."""
-    return _format_span(style, currency, low_lakh, high_lakh)
+    """Display text of a pay range in lakhs; style is ``stated``, ``converted`` or ``estimated``.
+
+    Whole bounds below a million print as they are and stay on the JVM side; only the
+    other rows show Python anything but NULLs.
+    """
+    whole = lambda x: (x >= 0) & (x < 1_000_000) & (x == F.floor(x))
+    plain = F.coalesce(style.isin("stated", "estimated") & whole(low_lakh) & whole(high_lakh), F.lit(False))
+    span = F.concat(F.lit("₹"), low_lakh.cast("long").cast("string"), F.lit("-"), high_lakh.cast("long").cast("string"), F.lit(" LPA"))
+    shown = F.when(style == "stated", F.concat(span, F.lit(", stated"))).otherwise(F.concat(F.lit("Est. "), span))
+    rest = _format_span(*[F.when(~plain, x) for x in (style, currency, low_lakh, high_lakh)])
+    return F.when(plain, shown).otherwise(rest)
 
 
 def stated_note(currency: Column) -> Column:

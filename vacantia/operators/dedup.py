@@ -35,58 +35,62 @@ def distinct_last(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     )
 
 
-def cap_per_group(df: DataFrame, cap: int, group: str, order: Sequence[str]) -> DataFrame:
-    """The first ``cap`` rows per group. Each task keeps at most ``cap`` rows per
+def cap_per_group(df: DataFrame, cap: int | None, group: str, order: Sequence[str]) -> DataFrame:
+    """The first ``cap`` rows per group; all rows without a cap. Each task keeps at most ``cap`` rows per
     group before the shuffle (Spark plans a window group limit), so a hot group is harmless."""
+    if cap is None:
+        return df
     rank = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") <= cap).drop("_rn")
 
 
-def page_cutoff(pages: DataFrame, run: str, max_pages: int) -> DataFrame:
+def page_cutoff(pages: DataFrame, run: str, max_pages: int | None) -> DataFrame:
     """Pages a client would have read: pages 1.., stop before an empty page, stop
-    after ``last_page``, never beyond ``max_pages``.
+    after ``last_page``, and, if that is given, never beyond ``max_pages``.
 
     ``pages``: one row per (run, page) with ``n_jobs`` and nullable ``last_page``.
     """
-    inside = pages.filter(F.col("page").between(1, max_pages))
+    inside = pages.filter(F.col("page") >= 1 if max_pages is None else F.col("page").between(1, max_pages))
     stops = inside.groupBy(run).agg(
         F.min(F.when(F.col("n_jobs") == 0, F.col("page"))).alias("_empty"),
         F.min(F.when((F.col("last_page") != 0) & (F.col("page") >= F.col("last_page")), F.col("page"))).alias("_last"),
     )
-    read = (F.col("page") < F.coalesce("_empty", F.lit(max_pages + 1))) & (
-        F.col("page") <= F.coalesce("_last", F.lit(max_pages))
-    )
+    read = F.coalesce(F.col("page") < F.col("_empty"), F.lit(True)) & F.coalesce(F.col("page") <= F.col("_last"), F.lit(True))
     return inside.join(stops, run).filter(read).drop("_empty", "_last")
 
 
 def cap_by_round(
-    df: DataFrame, cap: int, group: str, url: str, round_: str, pos: str, keep: str = "first",
+    df: DataFrame, cap: int | None, group: str, url: str, round_: str, pos: str, keep: str = "first",
 ) -> DataFrame:
     """Keyword searches in rounds: stop after the round in which the distinct URLs
     reach ``cap``; dedup by URL among the rounds read (first or last record wins,
     the position is always the first one's); keep the first ``cap`` URLs.
 
-    Only narrow columns are shuffled. The winners are at most ``cap`` per group, so
-    they go back to the wide rows as a broadcast of proven size.
+    The stop is the first round of the cap-th distinct URL, so a group limit over
+    (group, URL, first position) gives the URLs to keep and the stop at once; each task
+    keeps ``cap`` rows per group before the shuffle. Only narrow columns are shuffled
+    until the winners meet their rows again.
     """
     narrow = df.select(group, url, round_, pos)
     if keep == "last":
         narrow = narrow.filter(F.col(url) != "")
-    first_round = narrow.groupBy(group, url).agg(F.min(round_).alias(round_))
-    per_round = first_round.groupBy(group, round_).agg(F.count(F.lit(1)).alias("_n"))
-    so_far = F.sum("_n").over(
-        Window.partitionBy(group).orderBy(round_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    full = per_round.withColumn("_total", so_far).filter(F.col("_total") >= cap)
-    stop = full.groupBy(group).agg(F.min(round_).alias("_stop"))  # one row per source
-    read = narrow.join(F.broadcast(stop), group, "left").filter(
-        F.col("_stop").isNull() | (F.col(round_) <= F.col("_stop"))
-    )
     at = F.struct(F.col(round_).alias("r"), F.col(pos).alias("p"))
-    urls = read.groupBy(group, url).agg(
-        F.min(at).alias("_first"), (F.min(at) if keep == "first" else F.max(at)).alias("_chosen")
-    )
-    winners = cap_per_group(urls, cap, group, ["_first"]).select(
+    first = narrow.groupBy(group, url).agg(F.min(at).alias("_first"))
+    kept = first
+    if cap is not None:
+        rank = Window.partitionBy(group).orderBy("_first")
+        limited = first.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") <= cap)
+        # at most cap rows per group are left; the cap-th one stops the reading
+        stop = F.max(F.when(F.col("_rn") == cap, F.col("_first.r"))).over(Window.partitionBy(group))
+        kept = limited.withColumn("_stop", stop).drop("_rn")
+    else:
+        kept = first.withColumn("_stop", F.lit(None).cast("int"))
+    if keep == "first":
+        chosen = kept.select(group, url, "_first", F.col("_first").alias("_chosen"))
+    else:
+        read = narrow.join(kept, [group, url]).filter(F.col("_stop").isNull() | (F.col(round_) <= F.col("_stop")))
+        chosen = read.groupBy(group, url).agg(F.first("_first").alias("_first"), F.max(at).alias("_chosen"))
+    winners = chosen.select(
         F.col(group).alias("_g"), F.col("_chosen.r").alias("_r"), F.col("_chosen.p").alias("_p"),
         F.col(url).alias("_u"), F.struct("_first.r", "_first.p").alias("first_pos"),
     )
@@ -94,7 +98,7 @@ def cap_by_round(
         (F.col(group) == F.col("_g")) & (F.col(url) == F.col("_u"))
         & (F.col(round_) == F.col("_r")) & (F.col(pos) == F.col("_p"))
     )
-    return df.join(F.broadcast(winners), same).drop("_g", "_r", "_p", "_u")
+    return df.join(winners, same).drop("_g", "_r", "_p", "_u")
 
 
 def with_key(postings: DataFrame) -> DataFrame:

@@ -8,24 +8,28 @@ from vacantia.functions.salary import LAKH, format_span, rate_for, stated_note,
 from vacantia.functions.text import cache_key, computed_once
 from vacantia.operators.plugins import ReplyFunction, estimate
 from vacantia.params import Params
+from vacantia.sources.fx import CURRENCIES
+
 
 def with_stated(rows: DataFrame, fx: DataFrame) -> DataFrame:
     """Add struct ``stated`` (currency, salary_min_inr, salary_max_inr): salary_text first, then the description.
 
-    ``fx`` holds one row per currency (four), so both joins are broadcast joins of
-    fixed size. An amount in a currency without a rate counts as not stated.
+    The rates (one per currency of ``fx``, four at most) are read once and become a literal
+    map, so rows never meet a join. An amount in a currency without a rate counts as not stated.
     """
+    table = fx.filter(F.col("currency").isin(*CURRENCIES)).groupBy("currency").agg(F.max("rate_to_inr").alias("rate")).collect()
+    pairs = [F.lit(x) for r in table if r["rate"] is not None for x in (r["currency"], float(r["rate"]))]
+    rates = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
+
     def priced(df: DataFrame, source: str, out: str, only_if: Column | None = None) -> DataFrame:
-        rates = F.broadcast(fx.select(F.col("currency").alias("_cur"), F.col("rate_to_inr").alias("_rate")))
         found = with_salary(df, source, "_s", only_if)
-        joined = found.join(rates, F.col("_s.currency") == F.col("_cur"), "left")
-        rate = rate_for(F.col("_s.currency"), F.col("_rate"))
+        rate = rate_for(F.col("_s.currency"), F.try_element_at(rates, F.col("_s.currency")))
         value = F.struct(
             F.col("_s.currency").alias("currency"),
             (F.col("_s.low") * rate).alias("salary_min_inr"),
             (F.col("_s.high") * rate).alias("salary_max_inr"),
         )
-        return joined.withColumn(out, F.when(rate.isNotNull(), value)).drop("_s", "_cur", "_rate")
+        return found.withColumn(out, F.when(rate.isNotNull(), value)).drop("_s")
 
     first = priced(rows, "salary_text", "_in_field")
     both = priced(first, "description", "_in_text", F.col("_in_field").isNull())

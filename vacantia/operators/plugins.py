@@ -7,6 +7,7 @@ never exceptions, so one bad answer does not fail the job.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +19,7 @@ from vacantia.functions.salary import LAKH, format_span
 from vacantia.functions.text import text_or_empty
 from vacantia.operators.verdicts import apply_verdicts
 from vacantia.params import Params
+from vacantia.sources.workdir import work_dir
 
 ReplyFunction = Callable[[Sequence[str]], Sequence["str | Exception"]]
 
@@ -61,7 +63,8 @@ Remote type: {remote_type}
 
 
 def truncate_description(description: Column, params: Params = Params()) -> Column:
-    return F.substring(text_or_empty(description), 1, params.max_description_chars)
+    whole = text_or_empty(description)
+    return whole if params.max_description_chars is None else F.substring(whole, 1, params.max_description_chars)
 
 
 def render(template: str, fields: dict[str, Column]) -> Column:
@@ -89,31 +92,18 @@ def estimate_prompt(template: str = ESTIMATE_PROMPT) -> Column:
     return render(template, {name: F.col(name) for name in ("title", "company", "location", "remote_type")})
 
 
-def ask(
-    df: DataFrame, key: str, fn: ReplyFunction, chunk: int = 16, max_failures: int | None = None,
-) -> DataFrame:
+def ask(df: DataFrame, key: str, fn: ReplyFunction, chunk: int = 16) -> DataFrame:
     """(key, reply, error) for every row of ``df`` (key, prompt).
 
-    With ``max_failures`` a task stops asking after that many failures in a row; its
-    remaining rows come back as not tried. Rows stream through in Arrow batches.
+    Rows stream through in Arrow batches, in calls of up to ``chunk`` prompts.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        in_row = 0
         for batch in batches:
             prompts = batch["prompt"].tolist()
             replies: list[str | None] = []
             errors: list[str | None] = []
-            while len(replies) < len(prompts):
-                start = len(replies)
-                if max_failures is not None and in_row >= max_failures:
-                    left = len(prompts) - start
-                    replies += [None] * left
-                    errors += [NOT_TRIED] * left
-                    break
-                # never hand out more prompts than failures are left, so a broken
-                # service is asked at most max_failures times in a row
-                size = chunk if max_failures is None else min(chunk, max_failures - in_row)
-                asked = prompts[start:start + size]
+            for start in range(0, len(prompts), chunk):
+                asked = prompts[start:start + chunk]
                 try:
                     answers = list(fn(asked))
                     if len(answers) != len(asked):
@@ -122,7 +112,6 @@ def ask(
                     answers = [failure] * len(asked)
                 for answer in answers:
                     good = isinstance(answer, str)
-                    in_row = 0 if good else in_row + 1
                     replies.append(answer if good else None)
                     errors.append(None if good else f"{type(answer).__name__}: {answer}")
             yield pd.DataFrame({
@@ -134,6 +123,43 @@ def ask(
     return df.select(key, "prompt").mapInPandas(run, f"{key} string, reply string, error string")
 
 
+def ask_until_failing(
+    df: DataFrame, key: str, fn: ReplyFunction, max_failures: int, chunk: int = 16, most: int = 100_000,
+) -> DataFrame:
+    """As :func:`ask`, but stops after ``max_failures`` failures in a row, in order of the key.
+
+    Prompts are asked in waves that are written before the next one starts. A wave is no
+    longer than failures are left to the limit, and doubles for every wave without a
+    failure (up to ``most``); so a broken service is asked ``max_failures`` times however
+    the rows are partitioned. The rows that weren't asked come back as not tried.
+    """
+    spark, root = df.sparkSession, work_dir(df.sparkSession, "waves")
+    queue = df.select(key, "prompt")
+    queue.write.parquet(f"{root}/queue")
+    queue = spark.read.schema(queue.schema).parquet(f"{root}/queue")
+    last, in_row, size, number = None, 0, max_failures, 0
+    answered: list[DataFrame] = []
+    while in_row < max_failures:
+        open_rows = queue if last is None else queue.filter(F.col(key) > last)
+        wave = open_rows.orderBy(key).limit(min(size, most))
+        ask(wave, key, fn, chunk).write.parquet(f"{root}/wave={number}")
+        done = spark.read.schema(f"{key} string, reply string, error string").parquet(f"{root}/wave={number}")
+        ends = done.agg(
+            F.count(F.lit(1)).alias("n"), F.max(key).alias("last"),
+            F.max(F.when(F.col("error").isNull(), F.col(key))).alias("good")).first()
+        if not ends["n"]:
+            break
+        # failures after the wave's last answer count on
+        after = done.filter(F.col(key) > ends["good"]).count() if ends["good"] is not None else in_row + ends["n"]
+        clean = ends["good"] is not None and after == 0
+        answered.append(done)
+        last, in_row, number = ends["last"], after, number + 1
+        size = size * 2 if clean else max(1, max_failures - in_row)
+    tried = reduce(lambda a, b: a.unionAll(b), answered) if answered else done
+    rest = queue if last is None else queue.filter(F.col(key) > last)
+    return tried.unionByName(rest.select(key, F.lit(None).cast("string").alias("reply"), F.lit(NOT_TRIED).alias("error")))
+
+
 def score(
     postings: DataFrame, params: Params = Params(), fn: ReplyFunction | None = None,
 ) -> DataFrame:
@@ -141,18 +167,23 @@ def score(
 
     ``heuristic``: the rule scorer. ``llm``: prompts go to ``fn``; rows the keyword
     gate already stops are never asked. Failed rows are left out (they stay queued).
+    Without a scorer nothing is scored: everything stays queued.
     """
     if params.mode == "heuristic":
         return score_postings(postings, params)
     if params.mode != "llm":
         raise ValueError(f"unknown scoring mode {params.mode!r}, expected 'heuristic' or 'llm'")
-    if fn is None:
-        raise ValueError("mode 'llm' needs a reply function")
     open_rows = postings.filter(
         hard_filter_reason(F.col("title"), F.col("description"), F.col("employment_type"), params).isNull()
     )
     prompts = open_rows.select("url_hash", scoring_prompt(params).alias("prompt"))
-    replies = ask(prompts, "url_hash", fn, max_failures=params.max_failures_in_row).drop("error")
+    if fn is None:
+        replies = prompts.select("url_hash", F.lit(None).cast("string").alias("reply")).limit(0)
+        postings = postings.limit(0)
+    elif params.max_failures_in_row is None:
+        replies = ask(prompts, "url_hash", fn).drop("error")
+    else:
+        replies = ask_until_failing(prompts, "url_hash", fn, params.max_failures_in_row).drop("error")
     judged = apply_verdicts(postings.join(replies, "url_hash", "left"), params)
     return judged.filter(~F.col("failed")).drop("failed")
 

@@ -28,7 +28,6 @@ PRODUCT_WORDS = (
     "wireframe", "user research", "a/b test", "feature",
 )
 MARKETING_MIN_HITS = 3
-ROLE_TEXT_CHARS = 300
 
 DOMESTIC_CITIES = ("Gurugram", "Gurgaon", "Bangalore", "Bengaluru", "Hyderabad", "Mumbai")
 INTERNATIONAL_REGIONS = ("Europe", "United States", "USA", "US")
@@ -103,12 +102,22 @@ NOT_DISCLOSED = "Not disclosed"
 CACHED_NOTE = "cached estimate"
 DEFAULT_BASIS = "AI market estimate"
 ANYWHERE = "Worldwide (remote)"
+
+# Cuts that a caller may ask for; a run without them reads, keeps and asks everything.
+CUTS = {
+    "role_text_chars": 300,
+    "max_description_chars": 12000,
+    "per_source_cap": 40,
+    "max_pages": 3,
+    "min_description_chars": 400,
+    "max_failures_in_row": 3,
+}
 # --- end of fixed values ----------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Params:
-    """Everything a run can be tuned with; defaults are the fixed values above."""
+    """Everything a run can be tuned with; defaults are the fixed values above. A cut of None means no cut."""
 
     role_titles: tuple[str, ...] = ROLE_TITLES
     dominant_themes: tuple[str, ...] = DOMINANT_THEMES
@@ -123,16 +132,17 @@ class Params:
     excluded_employment: tuple[str, ...] = EXCLUDED_EMPLOYMENT
     mode: str = "heuristic"
     score_threshold: int = 70
-    max_description_chars: int = 12000
+    max_description_chars: int | None = None
+    role_text_chars: int | None = None
     confirmed_phrases: tuple[str, ...] = CONFIRMED_PHRASES
     min_confidence: str = "likely"
     fallback_fx: dict[str, float] = field(default_factory=lambda: dict(FALLBACK_FX))
     cache_ttl_days: int = 30
     search_words: tuple[str, ...] = SEARCH_WORDS
-    per_source_cap: int = 40
-    max_pages: int = 3
-    min_description_chars: int = 400
-    max_failures_in_row: int = 3
+    per_source_cap: int | None = None
+    max_pages: int | None = None
+    min_description_chars: int | None = None
+    max_failures_in_row: int | None = None
     enabled_sources: tuple[str, ...] = ("himalayas", "remoteok", "weworkremotely", "arbeitnow")
 
     def with_(self, **changes: Any) -> "Params":

@@ -440,7 +440,7 @@ SELECT * FROM g a WHERE page <= 3 AND NOT EXISTS (SELECT 1 FROM g b WHERE b.run
  AND NOT EXISTS (SELECT 1 FROM g b WHERE b.run = a.run AND b.page < a.page AND b.page >= b.last_page)"""
     out["quarantine"] = f"""{check_views('raw_himalayas')} SELECT ord, 'invalid JSON' AS error FROM raw_himalayas WHERE NOT json_valid(raw)
 UNION ALL SELECT ord, 'company is null' FROM raw_himalayas WHERE json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END, '$.companyName') = 'NULL'"""
-    out["state_read"] = f"{ST} SELECT {POST} FROM st1"
+    out["state_read"] = f"{ST} SELECT {POST} FROM st2"
     out["state_write"] = f"""{STC} SELECT 'postings' AS state_table, count(*) AS stored, 2 AS generation FROM st2 UNION ALL SELECT 'matches', count(*), 2 FROM st1
 UNION ALL SELECT 'salaries', 0, 2 UNION ALL SELECT 'salary_lookup_cache', count(*), 2 FROM cache"""
     fx = "WITH fx_payloads AS (" + check_views("fx_payloads").split("fx_payloads AS (", 1)[1]
@@ -498,7 +498,7 @@ SELECT url, CASE WHEN length(teaser) < 400 AND url <> '' AND length(body) > leng
     out["verdict_join"] = f"""{VS},
 {LATEST}, lv AS (SELECT l.*, v.reply FROM latest l LEFT JOIN verdicts v ON v.ord = l.last_ord),
 {verdict_ctes('lv', 'jd')} SELECT url_hash, CASE WHEN failed THEN 'queued' ELSE 'saved' END AS outcome FROM jd"""
-    out["posting_lookup"] = f"""{ST} SELECT url_hash, url, title, status FROM st1 WHERE url_hash IN
+    out["posting_lookup"] = f"""{ST} SELECT url_hash, url, title, status FROM st2 WHERE url_hash IN
  (SELECT sha256(concat('https://jobs.example.com/j/', c_custkey)) FROM customer WHERE c_mktsegment = 'BUILDING')"""
 
     out["phrase_hits"] = f"{F} SELECT ord, pri AS prioritised, dep AS deprioritised, sea AS search FROM f"
@@ -599,7 +599,7 @@ WHERE cache_key NOT IN (SELECT cache_key FROM sal2_new)"""
 {LATEST},
 {scored('latest', 'sc')} SELECT url_hash, url, source, {last}, CASE WHEN hard_filtered THEN 'skipped' ELSE 'matched' END AS status,
  TIMESTAMP '{NOW2}' AS first_seen_at, TIMESTAMP '{NOW2}' AS last_seen_at FROM sc"""
-    out["scorer_plugin"] = f"""{ST}, sized AS (SELECT *, length({ASK_SCORE}) AS len FROM st1),
+    out["scorer_plugin"] = f"""{ST}, sized AS (SELECT *, length({ASK_SCORE}) AS len FROM st2),
 replied AS (SELECT * EXCLUDE (len), concat('{{"role_fit_score": ', len % 101, ', "reason": "length ', len, '", "is_technical_product_role": ', len % 7 <> 0, ', "employer_type": "',
  CASE WHEN len % 3 = 0 THEN 'service' ELSE 'product' END, '", "sponsorship_confidence": "likely", "sponsorship_evidence": null}}') AS reply FROM sized),
 {verdict_ctes('replied', 'jd')} SELECT url_hash, {MATCH} FROM jd"""

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vacantia import params as P
 from vacantia.operators import enrich, plugins, ranking, upsert
 from vacantia.operators.verdicts import match_totals
 from vacantia.params import Params
@@ -103,9 +104,11 @@ def run_daily(
     S.write_table(upsert.mark_queued(scored.postings, report), state_root, generation, "postings")
     path = None
     if report_root is not None:
-        label = fx.select("label").first()[0]  # one text, the same in the four rate rows
+        first = fx.select("label").first()  # one text, the same in all rate rows
+        label = first[0] if first else P.FALLBACK_FX_LABEL
         path = write_report(ranking.document(report, F.lit(label), at), report_root, now[:10])
     new, seen = upsert.dedup_totals(scored.upserted).first()
-    passed, queued = match_totals(scored.new_matches, scored.new_matches).first()
+    queue = upsert.match_queue(scored.upserted.drop("is_new", "sightings"), old["matches"])
+    passed, queued = match_totals(queue, scored.new_matches).first()
     S.commit(spark, state_root, generation, now)
     return RunResult(generation, path, {"new": new, "seen": seen, "passed": passed, "scored": queued})

@@ -17,19 +17,21 @@ from vacantia.functions.text import computed_once, matches_any, or_default, spli
 from vacantia.params import Params
 from vacantia.schema import CANONICAL, CANONICAL_FIELDS
 
-# --- Fixed values: where each feed keeps its records, and its default URLs ---
-RECORD_PATH = {
-    "himalayas": "$.jobs",
-    "remoteok": "$",
-    "jsearch": "$.data",
-    "adzuna": "$.results",
-    "arbeitnow": "$.data",
+# --- Fixed values: the key under which each feed keeps its records (None: the whole is the list), default URLs ---
+RECORD_KEY = {
+    "himalayas": "jobs",
+    "remoteok": None,
+    "jsearch": "data",
+    "adzuna": "results",
+    "arbeitnow": "data",
 }
 HIMALAYAS_URL = "https://himalayas.app/jobs/"
 REMOTEOK_URL = "https://remoteok.com/remote-jobs/"
 ADZUNA_COUNTRIES = ("in", "gb", "us")
 # --- end of fixed values ---
 
+#: Longer texts without a record list aren't parsed again to name their fault.
+LARGEST_CHECKED = 10_000_000
 _PARTITIONS = {"country": "string", "keyword_ord": "int", "page": "int"}
 
 
@@ -44,19 +46,29 @@ def read_payloads(spark: SparkSession, path: str, streaming: bool = False) -> Da
     return df
 
 
-def split_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parse ``value`` into VARIANT ``payload``; unreadable ones are set aside with an error."""
-    parsed = payloads.withColumn("payload", computed_once(F.try_parse_json("value")))
-    good = parsed.filter("payload IS NOT NULL").drop("value")
-    bad = parsed.filter("payload IS NULL").drop("payload").withColumn("error", F.lit("invalid JSON"))
-    return good, bad
+def split_payloads(payloads: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
+    """Read the records of ``value`` into ``items``, one VARIANT each; set the rest aside with an error.
+
+    The text is parsed once, record by record: only a single record, not a whole file,
+    has to fit in a VARIANT.
+    """
+    key = RECORD_KEY[feed]
+    if key is None:
+        items = F.from_json("value", "array<variant>")
+    else:
+        items = F.from_json("value", f"{key} array<variant>")[key]
+    parsed = payloads.withColumn("items", computed_once(items))
+    good = parsed.filter("items IS NOT NULL").drop("value")
+    # valid JSON without the record list (an error page, a changed envelope) isn't called invalid
+    known = F.coalesce(F.length("value") <= LARGEST_CHECKED, F.lit(True))
+    error = F.when(known & F.try_parse_json("value").isNull(), "invalid JSON").otherwise("no readable record list")
+    return good, parsed.filter("items IS NULL").drop("items").withColumn("error", error)
 
 
 def records(payloads: DataFrame, feed: str) -> DataFrame:
-    """Explode parsed payloads into one VARIANT ``rec`` per record with its position."""
-    items = F.try_variant_get("payload", RECORD_PATH[feed], "array<variant>")
-    kept = [c for c in payloads.columns if c != "payload"]
-    return payloads.select(*kept, F.posexplode(items).alias("pos", "rec"))
+    """Explode read payloads into one VARIANT ``rec`` per record with its position."""
+    kept = [c for c in payloads.columns if c != "items"]
+    return payloads.select(*kept, F.posexplode("items").alias("pos", "rec"))
 
 
 # ---- normalisers: fields of a record -> canonical columns -------------------
@@ -245,8 +257,15 @@ def parse_rss(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("item", F.from_xml(text, RSS_ITEM.simpleString(), options)).drop(text)
 
 
+def split_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Set aside RSS items that can't be read, each with its text and an error; keep the rest."""
+    broken = F.col("item").isNull() | F.col("item._corrupt_record").isNotNull()
+    bad = items.filter(broken).withColumn("error", F.lit("unreadable RSS item"))
+    return items.filter(~broken), bad
+
+
 def weworkremotely(items: DataFrame) -> DataFrame:
-    """Canonical postings of RSS items. The title reads "Company: Title"."""
+    """Canonical postings of readable RSS items (see :func:`split_items`). The title reads "Company: Title"."""
     item = F.col("item")
     split = items.withColumn("_split", split_title(item["title"]))
     columns = {
@@ -271,12 +290,16 @@ def searched_rss(items: DataFrame, params: Params) -> DataFrame:
 def with_page_text(postings: DataFrame, pages: DataFrame, params: Params = Params()) -> DataFrame:
     """Replace short descriptions by the longer text of the posting's own page.
 
-    ``pages``: (url, main_text), one row per url. Long descriptions can never change,
-    so they bypass the join and their text is not shuffled.
+    ``pages``: (url, main_text); of a url that was landed more than once the longest text
+    counts. Without ``min_description_chars`` every description counts as short. Long
+    ones can never change, so they bypass the join and their text is not shuffled.
     """
     length = F.length(text_or_empty(F.col("description")))
-    short = (length < params.min_description_chars) & (text_or_empty(F.col("url")) != "")
-    texts = pages.select("url", F.col("main_text").alias("_page_text"))
+    short = text_or_empty(F.col("url")) != ""
+    if params.min_description_chars is not None:
+        short = short & (length < params.min_description_chars)
+    texts = pages.filter("url IS NOT NULL").groupBy("url").agg(
+        F.max_by("main_text", F.struct(F.length("main_text"), F.col("main_text"))).alias("_page_text"))
     longer = F.length("_page_text") > length
     filled = postings.filter(short).join(texts, "url", "left").withColumn(
         "description", F.when(longer, F.col("_page_text")).otherwise(F.col("description"))

@@ -1,6 +1,7 @@
 """Exchange rates to INR from a landed rates payload."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vacantia import params as P
@@ -29,18 +30,32 @@ def cross_rates(fx: Column, params: Params = Params()) -> tuple[dict[str, Column
     return rates, label
 
 
-def fx_table(payload: DataFrame, params: Params = Params()) -> DataFrame:
-    """(currency, rate_to_inr, label): four rows per payload row, NULL rates left out."""
+def fx_table(payloads: DataFrame, params: Params = Params(), order: tuple[str, ...] = ()) -> DataFrame:
+    """(currency, rate_to_inr, label), one row per currency whatever has landed.
+
+    Of several payloads the last one in ``order`` that has all rates counts; if there
+    is none, the static table does.
+    """
     rates, label = cross_rates(F.col("fx"), params)
-    pairs = F.array(*[F.struct(F.lit(c).alias("currency"), rates[c].alias("rate_to_inr")) for c in CURRENCIES])
-    flat = payload.select(F.explode(pairs).alias("r"), label.alias("label"))
-    return flat.select("r.*", "label").filter("rate_to_inr IS NOT NULL")
+    table = lambda of: F.array(*[F.struct(F.lit(c).alias("currency"), of[c].alias("rate_to_inr")) for c in CURRENCIES])
+    static = {c: F.lit(params.fallback_fx.get(c)).cast("double") for c in CURRENCIES} | {"INR": F.lit(1.0)}
+    usable = payloads.withColumn("_label", label).filter(F.col("_label") != P.FALLBACK_FX_LABEL)
+    rank = F.struct(*order) if order else F.lit(1)
+    newest = usable.agg(F.max_by(F.struct(table(rates).alias("rates"), F.col("_label").alias("label")), rank).alias("t"))
+    one = newest.select(
+        F.coalesce("t.rates", table(static)).alias("rates"), F.coalesce("t.label", F.lit(P.FALLBACK_FX_LABEL)).alias("label"))
+    return one.select(F.explode("rates").alias("r"), "label").select("r.*", "label").filter("rate_to_inr IS NOT NULL")
 
 
 def read_fx(spark: SparkSession, path: str | None, params: Params = Params()) -> DataFrame:
-    """Rates of the landed payload at ``path``; the static table when there is none."""
-    if path is None:
-        payload = spark.range(1).select(F.lit(None).cast("string").alias("value"))
-    else:
-        payload = spark.read.option("wholetext", True).text(path)
-    return fx_table(parse_fx(payload), params)
+    """Rates of the newest usable payload at ``path`` (a file or a folder); else the static table."""
+    none = spark.createDataFrame([], "value string, at timestamp, file string")
+    payloads = none
+    if path is not None:
+        try:
+            payloads = spark.read.option("wholetext", True).text(path).select(
+                "value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return fx_table(parse_fx(payloads), params, ("at", "file"))

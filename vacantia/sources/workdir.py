@@ -1,21 +1,17 @@
 """A shared folder for tables that cut lineage."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+    """A fresh folder under ``spark.checkpoint.dir``; where that is unset, under the warehouse.
 
-    Only where that is unset and the session is local (tests) a temporary folder of
-    this machine is used.
+    Both are shared by the driver and all executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="vacantia-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,7 +1,7 @@
 """Incremental ingest: newly landed feed files go through the batch jobs once each."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.params import Params
@@ -42,9 +42,26 @@ def start_ingest(
 
 
 def landed_feed(spark: SparkSession, feed: str, path: str, params: Params = Params()) -> DataFrame:
-    """Streaming canonical postings of a JSON feed folder; unreadable files and records
-    without required fields are left to the batch quarantine job."""
-    payloads = feeds.read_payloads(spark, path, streaming=True)
-    good, _ = feeds.split_payloads(payloads)
+    """Streaming canonical postings of a JSON feed folder. What it can't use is in :func:`landed_rejects`."""
+    return _landed(spark, feed, path, params)[0]
+
+
+def landed_rejects(spark: SparkSession, feed: str, path: str, params: Params = Params()) -> DataFrame:
+    """Streaming quarantine of the same folder: (file, pos, error), files as a whole without a position."""
+    _, incomplete, broken = _landed(spark, feed, path, params)
+    whole = broken.select("file", F.lit(None).cast("int").alias("pos"), "error")
+    return whole.unionByName(incomplete.select("file", "pos", "error"))
+
+
+def start_quarantine(rejects: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append the rejects of everything that has landed as Parquet under ``out``, then stop."""
+    return (
+        rejects.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+
+
+def _landed(spark: SparkSession, feed: str, path: str, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    good, broken = feeds.split_payloads(feeds.read_payloads(spark, path, streaming=True), feed)
     recs = feeds.searched(feeds.records(good, feed), feed, params)
-    return feeds.split_bad(feeds.normalise(recs, feed))[0]
+    return *feeds.split_bad(feeds.normalise(recs, feed)), broken
