@@ -199,10 +199,10 @@ def able(posts: DataFrame) -> DataFrame:
 
     The weight tells how central a document is: how many documents have its hashes, on average.
     """
-    met = stored(posts.withColumn("k", F.count("*").over(Window.partitionBy("token"))).filter("k > 1"))
-    each = met.groupBy("doc_id").agg(F.count("*").alias("shared"), (F.sum("k") / F.first("n")).alias("weight"), F.first("n").alias("n"))
-    each = each.filter(F.col("shared") >= least_shared(F.col("n"), NEAR)).select("doc_id", "weight")
-    return stored(met.drop("k").join(each, "doc_id"))
+    met = posts.withColumn("k", F.count("*").over(Window.partitionBy("token"))).filter("k > 1")
+    mine = Window.partitionBy("doc_id")
+    counted = met.withColumn("shared", F.count("*").over(mine)).withColumn("weight", F.sum("k").over(mine) / F.col("n"))
+    return stored(counted.filter(F.col("shared") >= least_shared(F.col("n"), NEAR)).select("token", "doc_id", "n", "weight"))
 
 
 def star_pairs(posts: DataFrame) -> DataFrame:
@@ -210,8 +210,8 @@ def star_pairs(posts: DataFrame) -> DataFrame:
 
     Most central is the original of a family of copies. What this step doesn't tie together, the next ones find.
     """
-    first = posts.groupBy("token").agg(F.max(F.struct("weight", -F.col("doc_id"))).alias("top")).select("token", (-F.col("top.col2")).alias("a"))
-    shared = posts.join(first, "token").filter("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    top = F.first("doc_id").over(Window.partitionBy("token").orderBy(F.desc("weight"), "doc_id"))
+    shared = posts.withColumn("a", top).filter("doc_id <> a").groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
     best = shared.filter(F.col("k") >= least_shared(F.col("n"), NEAR)).groupBy("b").agg(F.max(F.struct("k", -F.col("a"))).alias("top"))
     return best.select((-F.col("top.col2")).alias("a"), "b")
 
@@ -306,10 +306,11 @@ def opened(posts: DataFrame, hot: int = HOT) -> DataFrame:
     """
     for _ in range(PRUNINGS):
         # documents with too few hashes of other families leave; then other hashes have one family only
-        spread = posts.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
-        posts = stored(posts.drop("groups").join(spread, "token"))
-        able = posts.groupBy("doc_id").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= least_shared(F.col("n"), NEAR))
-        posts = stored(posts.join(able.select("doc_id"), "doc_id", "left_semi"))
+        by_family = Window.partitionBy("token").orderBy("g")
+        ranked = posts.drop("groups").withColumn("rank", F.dense_rank().over(by_family))
+        spread = ranked.withColumn("groups", F.max("rank").over(Window.partitionBy("token"))).drop("rank").filter("groups > 1")
+        shared = spread.withColumn("shared", F.count("*").over(Window.partitionBy("doc_id")))
+        posts = stored(shared.filter(F.col("shared") >= least_shared(F.col("n"), NEAR)).drop("shared"))
     posts = posts.withColumn("hot", F.col("groups") > hot).drop("groups")
     load = posts.groupBy("doc_id").agg(F.count_if("hot").alias("h"), F.first("n").alias("n"))
     load = stored(load.withColumn("heavy", F.col("h") >= least_shared(F.col("n"), NEAR)))
