@@ -25,8 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a generation of kept chunks or pre-tokens, the longest of these, and text taken together.
-CACHE = 450_000
+#: Entries of a generation of kept chunks (some 200 bytes each, and a quarter as many pre-tokens), the
+#: longest of these, and text taken together.
+CACHE = 1_000_000
 KEPT_CHARS = 64
 BLOCK_CHARS = 4_000_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -75,7 +76,8 @@ class RankQueue:
 class Kept:
     """The entries met last: when a generation is full, the one before it goes."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int) -> None:
+        self.size = size
         self.fresh: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
 
@@ -85,7 +87,7 @@ class Kept:
 
     def put(self, key: str, ids: bytes) -> None:
         if len(key) <= KEPT_CHARS:
-            if len(self.fresh) >= CACHE:
+            if len(self.fresh) >= self.size:
                 self.aged, self.fresh = self.fresh, {}
             self.fresh[key] = ids
 
@@ -97,37 +99,43 @@ class Bpe:
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
+        self.pairs = np.full(1 << 16, -1)
+        for piece, rank in self.ranks.items():
+            if len(piece) == 2:
+                self.pairs[piece[0] << 8 | piece[1]] = rank
         self.find: Callable[[str], list[str]] = regex.compile(pattern).findall
-        self.chunks, self.tokens = Kept(), Kept()
+        self.chunks, self.tokens = Kept(CACHE), Kept(CACHE // 4)
 
     def merge(self, tokens: list[bytes]) -> list[bytes]:
         """Ids of each pre-token, as little-endian unsigned 32-bit integers."""
+        if not tokens:
+            return []
         ranks = self.ranks
         get = ranks.get
         data = b"\0".join(tokens) + b"\0"  # a gap after each
         n = len(data)
-        stop = list(range(1, n + 1))  # of the piece that starts here; 0 inside a piece and in a gap
-        before = list(range(-1, n - 1))  # start of the piece before; -1 at a pre-token's start
-        waits = [-1] * n  # the rank of the pair that starts here, as of now
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        gaps = np.cumsum(sizes + 1) - 1
+        inner = np.ones(n, bool)
+        inner[gaps] = False
+        stop_at = np.arange(1, n + 1)  # of the piece that starts here; 0 inside a piece and in a gap
+        stop_at[gaps] = 0
+        before_at = np.arange(-1, n - 1)  # start of the piece before; -1 at a pre-token's start
+        before_at[gaps - sizes] = -1
+        byte = np.frombuffer(data, np.uint8).astype(np.int64)
+        waits_at = np.full(n, -1)  # the rank of the pair that starts here, as of now
+        both = np.flatnonzero(inner[:-1] & inner[1:])
+        waits_at[both] = self.pairs[byte[both] << 8 | byte[both + 1]]
+        stop, before, waits = stop_at.tolist(), before_at.tolist(), waits_at.tolist()
         buckets: list[list[int] | None] = [None] * len(self.pieces)
         queue = RankQueue(len(self.pieces))
         first, add, remove = queue.first, queue.add, queue.remove
-        at = 0
-        for token in tokens:
-            before[at] = -1
-            for i in range(at, at + len(token) - 1):
-                rank = get(data[i : i + 2], -1)
-                if rank >= 0:
-                    waits[i] = rank
-                    bucket = buckets[rank]
-                    if bucket is None:
-                        buckets[rank] = [i]
-                        add(rank)
-                    else:
-                        bucket.append(i)
-            at += len(token)
-            stop[at] = 0
-            at += 1
+        paired = np.flatnonzero(waits_at >= 0)
+        paired = paired[np.argsort(waits_at[paired], kind="stable")]
+        heads = np.flatnonzero(np.diff(waits_at[paired], prepend=-1))
+        for rank, low, high in zip(waits_at[paired[heads]].tolist(), heads.tolist(), np.append(heads[1:], len(paired)).tolist(), strict=False):
+            buckets[rank] = paired[low:high].tolist()
+            add(rank)
         while (rank := first()) >= 0:
             bucket = buckets[rank]
             buckets[rank] = None
@@ -201,7 +209,10 @@ class Bpe:
                 new.append(token)
             else:
                 found[token] = ids
-        found.update(zip(new, self.merge([t.encode("utf-8", "surrogatepass") for t in new]), strict=True))
+        data = [t.encode("utf-8", "surrogatepass") for t in new]
+        whole = [self.ranks.get(d) for d in data]  # a piece of the vocabulary is its own id
+        merged = iter(self.merge([d for d, w in zip(data, whole, strict=True) if w is None]))
+        found.update((t, next(merged) if w is None else w.to_bytes(4, "little")) for t, w in zip(new, whole, strict=True))
         return found
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
