@@ -3,14 +3,70 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vacantia.operators.dedup import distinct_first, distinct_last
 from vacantia.params import Params
+from vacantia.schema import CANONICAL
+from vacantia.sources import feeds
 
 # --- Fixed values: arrival order of the sources ---
 SOURCE_ORDER = ("himalayas", "remoteok", "weworkremotely", "jsearch", "adzuna", "arbeitnow")
+# which record of a URL that several keyword searches found counts
+FIRST_OF_URL = ("himalayas", "jsearch")
+LAST_OF_URL = ("adzuna",)
 # --- end of fixed values ---
 
+ARRIVAL = ("keyword_ord", "page", "file", "pos")
+REJECTS = "source string, file string, pos int, error string"
+
+
+def landed_source(spark: SparkSession, name: str, path: str, params: Params, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(canonical postings with their arrival columns, rejects) of one source's folder.
+
+    Runs the searches and de-duplicates across keywords as the source asks for.
+    ``pages`` (url, main_text) fills in short RSS descriptions.
+    """
+    if name == "weworkremotely":
+        good, bad = feeds.split_items(feeds.read_rss(spark, path).withColumn("file", F.input_file_name()))
+        found = feeds.weworkremotely(feeds.searched_rss(good, params))
+        found = found if pages is None else feeds.with_page_text(found, pages, params)
+        arrival = {"keyword_ord": "int", "page": "int", "pos": "int"}
+        found = found.select("file", *[F.lit(None).cast(t).alias(c) for c, t in arrival.items()], *CANONICAL)
+        return found, bad.select(F.lit(name).alias("source"), "file", F.lit(None).cast("int").alias("pos"), "error")
+    good, broken = feeds.split_payloads(feeds.read_payloads(spark, path), name)
+    recs = feeds.searched(feeds.records(good, name), name, params)
+    found, incomplete = feeds.split_bad(feeds.normalise(recs, name))
+    found = found.select(*ARRIVAL, *CANONICAL)
+    if name in FIRST_OF_URL:
+        found = distinct_first(found, ["url"], ARRIVAL)
+    elif name in LAST_OF_URL:
+        found = distinct_last(found, "url", ARRIVAL).select(*found.columns)
+    rejects = broken.select("file", F.lit(None).cast("int").alias("pos"), "error").unionByName(incomplete.select("file", "pos", "error"))
+    return found, rejects.select(F.lit(name).alias("source"), "file", "pos", "error")
+
+
+def ingest_sources(
+    spark: SparkSession, landing: str, params: Params = Params(), pages: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """All enabled sources under ``<landing>/<source>``: (postings with ``source_ord``, rejects).
+
+    A source whose folder is missing or can't be read is one reject with the reason; the
+    others go on. Order the postings by ``source_ord`` and the arrival columns.
+    """
+    found: dict[str, DataFrame] = {}
+    rejects = [spark.createDataFrame([], REJECTS)]
+    for name in (n for n in SOURCE_ORDER if n in params.enabled_sources):
+        try:
+            found[name], bad = landed_source(spark, name, f"{landing}/{name}", params, pages)
+            rejects.append(bad)
+        except AnalysisException as error:
+            rejects.append(spark.createDataFrame([(name, None, None, error.getCondition() or "unreadable source")], REJECTS))
+    if not found:
+        raise ValueError("no enabled source has data")
+    return union_sources(found, params), reduce(lambda a, b: a.unionByName(b), rejects)
+
 
 def union_sources(feeds: dict[str, DataFrame], params: Params) -> DataFrame:
     """UNION ALL of the enabled sources; ``source_ord`` keeps their order."""
