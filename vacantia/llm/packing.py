@@ -15,14 +15,16 @@ a null doc_id stays null in the list of ids; other columns are not read; an empt
 """
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.bpe import loaded
 
 LENGTH = 2048
 #: Tokens that are packed together.
@@ -30,6 +32,14 @@ CHUNK = 2_000_000
 SCHEMA = "pack long, ids binary, ends array<int>, resets array<int>, doc_ids array<long>, starts array<long>"
 
 
+@lru_cache(4)
+def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
+    """One per worker process."""
+    with open(rank_file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class FreeSpace:
     """Rows by their free space; a segment tree finds the least space that is enough."""
 
@@ -105,14 +115,14 @@ def matrices(docs: DataFrame, rank_file: str, pattern: str, end_id: int, length:
                 ["pack", "ids", "ends", "resets", "doc_ids", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(rank_file, pattern)
+        encode = encoding(rank_file, pattern).encode_to_numpy
         end = np.array([end_id], "<u4").tobytes()
         ids: list[bytes] = []
         names: list[int | None] = []
         size = pack = 0
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), bpe.encode_all(batch.column("text").to_pylist()), strict=True):
-                ids.append(text + end)
+            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids.append(encode(text.as_py() or "").astype("<u4").tobytes() + end)
                 names.append(name)
                 size += len(ids[-1]) // 4
                 if size >= CHUNK:
