@@ -6,20 +6,21 @@ is exact: each link between different sets is found or runs inside one component
 
 1. Equal sets meet by digest; only the smallest id of each goes on ("head").
 2. In hash order, let the prefix of a set of n hold its first n - ceil(0.75 n) + l(n) hashes. Linked
-   sets share at least l hashes of their prefixes, l being that of the smaller one (l is 1 + n / 16
+   sets share at least l hashes of their prefixes, l being that of the smaller one (l is 1 + n / 8
    here, 1 + n / 4 in the later steps, where few texts are left). Heads with fewer
    prefix hashes in common with all other texts together are alone, and their texts aren't read again.
    Tasks count hashes of a chunk of documents before anything is shuffled, so a hash in a third of all
    documents makes one row per chunk.
 3. Each remaining head is tied to the most central head it shares many hashes with; what hangs together
-   so is a family, the group of the method. Only the tied pairs are compared here.
-4. Inside a family that these links don't join already, the sets are compared in blocks by matrix
-   products, and a block pair gives only the links that join components, never all pairs.
-   Between families stands the token-group matrix: for each family the union of its members' prefix
-   hashes. A document's overlap with a union bounds its overlap with every member; families below the
-   bound stay closed; documents that open a family are compared with its members, again in blocks. Hashes
-   of more than ``HOT`` families open nothing, unless they are so many of a document's prefix that a link
-   could rest on them alone; such documents are matched among each other by these hashes as well.
+   so is a family, the group of the method.
+4. The token-group matrix holds for each family the union of its members' prefix hashes. A document's
+   overlap with a union bounds its overlap with every member; families below the bound stay closed.
+   Hashes of more than ``HOT`` families open nothing, unless they are so many of a document's prefix that a
+   link could rest on them alone; such documents are matched among each other by these hashes as well.
+   Sets are compared in blocks, by matrix products: each block of a family with itself and with the heads
+   its members are tied to, then the block pairs of families that this leaves in several components, and
+   documents with the members of the families they open. A product gives only the links that join
+   components, never all pairs.
 5. Components over all links, by rounds of smallest neighbour and pointer jumping.
 
 Defined cases: null and blank texts have an empty set, link with nothing and are their own
@@ -52,7 +53,7 @@ PRUNINGS = 2
 
 #: One of so many hashes of a set that a linked pair must share in its prefixes: over all texts, where
 #: a short prefix costs least, and over the few texts that are left, where a long one tells more.
-FAR, NEAR = 16, 4
+FAR, NEAR = 8, 4
 
 
 def prefix(n: int, part: int) -> int:
@@ -164,23 +165,6 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [_long(tokens), _long(np.repeat(batch.column(0).to_numpy(), times)), _long(np.repeat(sizes, times))], ["token", "doc_id", "n"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for n, m, s, t in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "s", "t")), strict=True):
-            both = len(np.intersect1d(_unpacked(s), _unpacked(t), assume_unique=True))
-            keep.append(100 * both >= 75 * (n + m - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), "n", F.col("tokens").alias("s"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("t"))
-    fits = (4 * F.least("n", "m") >= 3 * F.greatest("n", "m"))
-    return pairs.join(right, "b").join(left, "a").filter(fits).select("a", "b", "n", "m", "s", "t").mapInArrow(_similar, "a long, b long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(v, c) for each linked id: the smallest id that links lead to."""
     both = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
@@ -216,29 +200,27 @@ def star_pairs(posts: DataFrame) -> DataFrame:
     return best.select((-F.col("top.col2")).alias("a"), "b")
 
 
-def _rows() -> Column:
-    return F.struct("doc_id", "c", "n", "tokens").alias("row")
+def block_of(rows: DataFrame) -> DataFrame:
+    """``rows`` (f, doc_id, n) with a block number, so that a block of a family has some ``BLOCK_TOKENS``."""
+    plan = rows.groupBy("f").agg(F.ceil(F.sum(F.col("n") + ROW_TOKENS) / BLOCK_TOKENS).alias("blocks"))
+    return rows.join(plan, "f").select("f", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
 
 
-def family_blocks(members: DataFrame) -> DataFrame:
-    """(id, f, c, rows): the sets of each family that isn't one component yet, in blocks of some ``BLOCK_TOKENS``.
+def assigned(sizes: DataFrame, families: DataFrame, stars: DataFrame, asked: DataFrame) -> DataFrame:
+    """(kind, f, block, doc_id): which sets have to come together.
 
-    A component that fills blocks by itself has its own blocks, marked by c; the others share blocks.
+    Kind 0: a family's members in blocks, with the central documents they are tied to.
+    Kind 1: the documents that ask a family. Kind 2: families of one document that are asked.
     """
-    parts = stored(members.groupBy("f", "c").agg(F.sum(F.col("n") + ROW_TOKENS).alias("size")).withColumn("large", F.col("size") >= BLOCK_TOKENS))
-    mixed = parts.groupBy("f").agg(F.count("*").alias("parts"), F.sum(F.when(~F.col("large"), F.col("size"))).alias("rest")).filter("parts > 1")
-    plan = parts.join(mixed, "f").select(
-        "f", "c", "large", F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("rest")) / BLOCK_TOKENS).alias("blocks"))
-    placed = members.join(plan, ["f", "c"])
-    return placed.select("f", F.when(F.col("large"), F.col("c")).alias("c"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), _rows()).groupBy(
-        "f", "c", "block").agg(F.collect_list("row").alias("rows")).withColumn("id", F.xxhash64("f", F.coalesce("c", F.lit(-1)), "block"))
-
-
-def plain_blocks(rows: DataFrame, name: str) -> DataFrame:
-    """(f, rows as ``name``): rows (f, doc_id, c, n, tokens) in blocks of some ``BLOCK_TOKENS``."""
-    plan = rows.groupBy("f").agg(F.ceil(F.sum(F.col("n") + ROW_TOKENS) / BLOCK_TOKENS).alias("blocks"))
-    placed = rows.join(plan, "f").select("f", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), _rows())
-    return placed.groupBy("f", "block").agg(F.collect_list("row").alias(name)).drop("block")
+    own = block_of(families.select(F.col("v").alias("doc_id"), F.col("c").alias("f")).join(sizes, "doc_id"))
+    tied = stars.withColumnRenamed("b", "doc_id").join(own, "doc_id").select("f", F.col("a").alias("doc_id"), "block")
+    asks = block_of(asked.join(sizes, "doc_id"))
+    alone = asked.select("f").distinct().join(families.select(F.col("c").alias("f")).distinct(), "f", "left_anti")
+    alone = alone.select("f", F.col("f").alias("doc_id"), F.lit(0).cast("long").alias("block"))
+    kinds = [own.unionByName(tied).distinct(), asks, alone]
+    named = [df.select(F.lit(k).alias("kind"), "f", F.col("block").cast("long").alias("block"), "doc_id") for k, df in enumerate(kinds)]
+    out = named[0].unionByName(named[1]).unionByName(named[2])
+    return out.withColumn("id", F.xxhash64("kind", "f", "block"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -265,15 +247,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between different components of two blocks, no more than it takes to join what they join."""
+    """Links between the documents of two blocks, no more than it takes to join what they join."""
     for batch in batches:
         ones, twos = [], []
         for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
             both = overlaps([_unpacked(r["tokens"]) for r in left], [_unpacked(r["tokens"]) for r in right])
             n, m = np.array([r["n"] for r in left]), np.array([r["n"] for r in right])
             near = 100 * both >= 75 * (n[:, None] + m[None, :] - both)
-            near &= np.array([r["c"] for r in left])[:, None] != np.array([r["c"] for r in right])[None, :]
-            head = {r["c"]: r["c"] for r in (*left, *right)}
+            head = {r["doc_id"]: r["doc_id"] for r in (*left, *right)}
 
             def root(c: int, head: dict[int, int] = head) -> int:
                 while head[c] != c:
@@ -281,7 +262,7 @@ def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 return c
 
             for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                a, b = root(left[i]["c"]), root(right[j]["c"])
+                a, b = root(left[i]["doc_id"]), root(right[j]["doc_id"])
                 if a != b:
                     head[a] = b
                     ones.append(left[i]["doc_id"])
@@ -289,13 +270,21 @@ def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], ["a", "b"])
 
 
-def family_links(blocks: DataFrame) -> DataFrame:
-    """Links inside families: each two blocks meet once, but for blocks of one component."""
-    names = blocks.select("f", "c", "id")
-    one, two = (names.select("f", F.col("c").alias(f"c{k}"), F.col("id").alias(f"id{k}")) for k in (1, 2))
-    pairs = one.join(two, "f").filter("id1 <= id2").filter(~F.coalesce(F.col("c1") == F.col("c2"), F.lit(False)))
-    left, right = (blocks.select(F.col("id").alias(f"id{k}"), F.col("rows").alias(side)) for k, side in ((1, "left"), (2, "right")))
-    return pairs.select("id1", "id2").join(left, "id1").join(right, "id2").select("left", "right").mapInArrow(_linked_blocks, "a long, b long")
+def linked_blocks(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b) of the block pairs (id1, id2); left and right: (id, rows)."""
+    one = left.select(F.col("id").alias("id1"), F.col("rows").alias("left"))
+    two = right.select(F.col("id").alias("id2"), F.col("rows").alias("right"))
+    return pairs.join(one, "id1").join(two, "id2").select("left", "right").mapInArrow(_linked_blocks, "a long, b long")
+
+
+def block_pairs(parts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id1, id2) of each two blocks of a family, but for those that are in one component already."""
+    label = groups.select(F.col("v").alias("doc_id"), "c")
+    held = parts.join(label, "doc_id", "left").groupBy("f", "id").agg(
+        F.min(F.coalesce("c", "doc_id")).alias("low"), F.max(F.coalesce("c", "doc_id")).alias("high"))
+    one, two = (held.select("f", *[F.col(c).alias(f"{c}{k}") for c in ("id", "low", "high")]) for k in (1, 2))
+    joined = (F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2"))
+    return one.join(two, "f").filter("id1 < id2").filter(~joined).select("id1", "id2")
 
 
 def opened(posts: DataFrame, hot: int = HOT) -> DataFrame:
@@ -341,19 +330,22 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     going = shared.join(head, "doc_id").filter(F.col("w") >= least_shared(F.col("n"), FAR)).select("doc_id").distinct()
     sets = stored(texts.join(stored(going), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_whole, "doc_id long, n long, tokens binary"))
     posts = able(sets.mapInArrow(_prefixes, "token long, doc_id long, n long"))
-    sets = stored(sets.join(posts.select("doc_id").distinct(), "doc_id", "left_semi"))
     stars = stored(star_pairs(posts))
-    near = stored(verified(stars, sets))
-    families, groups = components(stars), components(near)
-    label = lambda table, name: table.select(F.col("v").alias("doc_id"), F.col("c").alias(name))
-    members = sets.join(label(families, "f"), "doc_id", "left").join(label(groups, "c"), "doc_id", "left")
-    members = stored(members.withColumn("f", F.coalesce("f", "doc_id")).withColumn("c", F.coalesce("c", "doc_id")))
-    inside = stored(family_links(stored(family_blocks(members))))
-    grouped = posts.drop("weight").join(members.select("doc_id", F.col("f").alias("g")), "doc_id")
+    families = components(stars)
+    family = families.select(F.col("v").alias("doc_id"), F.col("c").alias("g"))
+    grouped = posts.drop("weight").join(family, "doc_id", "left").withColumn("g", F.coalesce("g", "doc_id"))
     asked = stored(opened(grouped, hot))
-    asking = plain_blocks(asked.join(members.drop("f"), "doc_id"), "left")
-    asked_for = plain_blocks(members.join(asked.select("f").distinct(), "f"), "right")
-    across = stored(asking.join(asked_for, "f").select("left", "right").mapInArrow(_linked_blocks, "a long, b long"))
+
+    parts = stored(assigned(sets.select("doc_id", "n"), families, stars, asked))
+    row = F.struct("doc_id", "n", "tokens").alias("row")
+    blocks = stored(parts.select("kind", "f", "id", "doc_id").join(sets, "doc_id").select("kind", "f", "id", row).groupBy("kind", "f", "id").agg(
+        F.collect_list("row").alias("rows")))
+    own = blocks.filter("kind = 0")
+    near = stored(own.select(F.col("rows").alias("left"), F.col("rows").alias("right")).mapInArrow(_linked_blocks, "a long, b long"))
+    pairs = block_pairs(parts.filter("kind = 0"), components(near))
+    inside = stored(linked_blocks(own, own, pairs))
+    asking = parts.filter("kind = 1").select("f", F.col("id").alias("id1")).distinct()
+    across = stored(linked_blocks(blocks, blocks, asking.join(parts.filter("kind <> 1").select("f", F.col("id").alias("id2")).distinct(), "f").select("id1", "id2")))
 
     joined = components(equal.filter("a <> b").select("a", "b").union(near).union(inside).union(across))
     return sized.join(joined, F.col("doc_id") == F.col("v"), "left").select(

@@ -17,7 +17,6 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.columns import unwrapped, wrapped
 from vacantia.llm.words import words_of
 
 #: Size of the hashed n-gram tables; both fit in memory anywhere.
@@ -140,8 +139,9 @@ def scored(docs: DataFrame, ratios: Column, threshold: float = THRESHOLD, bucket
 
 def reject(docs: DataFrame, ratios: Column, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and the ratio test, columns unchanged."""
-    size = F.size("_keys")
-    kept = (
-        keyed(wrapped(docs, F.col("text"))).filter(size >= MIN_WORDS)
-        .filter(100 * repeated_words(F.col("_pairs")) <= MAX_REPEAT * size).filter(mean_ratio(ratios) >= threshold))
-    return unwrapped(kept, docs.columns)
+    # one expression, in which each array is bound once: a filter is pushed down and would copy columns
+    def verdict(keys: Column, pairs: Column) -> Column:
+        mean = bound(grams(keys, pairs), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.size(g))
+        return (F.size(keys) >= MIN_WORDS) & (100 * repeated_words(pairs) <= MAX_REPEAT * F.size(keys)) & (mean >= threshold)
+
+    return docs.filter(bound(word_keys(words_of(F.col("text"))), lambda k: bound(paired(k, 1), lambda p: verdict(k, p))))
