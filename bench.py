@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,6 +25,7 @@ HEADLINES = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    shared = tempfile.mkdtemp(prefix="bench-")  # one machine here; on a cluster a folder all executors see
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.ui.enabled", "false")
@@ -30,6 +33,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", shared)
         # no call-site bookkeeping for each of the many column expressions
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -49,6 +53,7 @@ def main() -> None:
         "rows_per_sec": {n: round(orders / seconds[n]) for n in ("score_postings", "posting_upsert", "salary_cascade")},
     }))
     spark.stop()
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 if __name__ == "__main__":

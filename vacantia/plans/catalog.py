@@ -681,21 +681,30 @@ def posting_upsert(spark, sf):
     return upserted2(spark, sf)
 
 
-def _rescored(spark: SparkSession, sf: str) -> DataFrame:
-    """Match rows for every posting the second batch touched."""
-    touched = upserted2(spark, sf).filter("is_new IS NOT NULL").drop("is_new", "sightings")
-    return score_queue(touched, empty(spark, MATCHES), ts(SECOND_RUN), PARAMS)
+def staged_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Postings after the first batch, and upserted with the second: written tables, as between two runs."""
+    root = work_dir(spark, "batches")
+    first = stage(state1(spark, sf), root, 1, "postings")
+    second = upsert.upsert_postings(first, batches(spark, sf)[1], ts(SECOND_RUN), ARRIVAL)
+    return first, stage(second, root, 2, "upserted")
 
 
 @query
 def match_upsert(spark, sf):
-    return upsert.upsert_by_key(matches1(spark, sf), _rescored(spark, sf), "url_hash")
+    # scored anew: every posting that the second batch touched
+    first, second = staged_batches(spark, sf)
+    touched = second.filter("is_new IS NOT NULL").drop("is_new", "sightings")
+    old = score_queue(first, empty(spark, MATCHES), ts(FIRST_RUN), PARAMS)
+    return upsert.upsert_by_key(old, score_queue(touched, empty(spark, MATCHES), ts(SECOND_RUN), PARAMS), "url_hash")
 
 
 @query
 def status_on_match(spark, sf):
-    new = score_queue(state2(spark, sf), matches1(spark, sf), ts(SECOND_RUN), PARAMS)
-    return upsert.status_on_match(state2(spark, sf), new).select("url_hash", "status")
+    first, second = staged_batches(spark, sf)
+    postings = second.drop("is_new", "sightings")
+    old = score_queue(first, empty(spark, MATCHES), ts(FIRST_RUN), PARAMS)
+    new = score_queue(postings, old, ts(SECOND_RUN), PARAMS)
+    return upsert.status_on_match(postings, new).select("url_hash", "status")
 
 
 @query
