@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia import params as P
 from vacantia.functions.text import (
-    computed_once, contains_any, first_phrase, first_word, phrase_hits, quoted, spaced, text_or_empty,
+    computed_once, contains_any, filled, first_phrase, first_word, phrase_hits, quoted, spaced, text_or_empty,
 )
 from vacantia.params import Params
 
@@ -56,11 +56,7 @@ def product_hits(lowered_description: Column) -> Column:
 
 
 def marketing_reason(marketing: Column, product: Column) -> Column:
-    text = F.concat(
-        F.lit("heuristic: marketing-signal density ("), marketing.cast("string"),
-        F.lit(") exceeds product-signal density ("), product.cast("string"),
-        F.lit(") despite the title"),
-    )
+    text = filled(P.MARKETING_TEXT, marketing.cast("string"), product.cast("string"))
     return F.when((marketing >= P.MARKETING_MIN_HITS) & (marketing > product), text)
 
 
@@ -105,7 +101,7 @@ def seniority_of(title: Column, years: Column, params: Params) -> Column:
 
 
 def seniority_reason(seniority: Column, prefix: str = "heuristic ") -> Column:
-    text = F.concat(F.lit(f"{prefix}seniority mismatch ("), seniority, F.lit(")"))
+    text = filled(prefix + P.SENIORITY_TEXT, seniority)
     return F.when(seniority.isin("junior", "senior"), text)
 
 
@@ -140,10 +136,7 @@ def sponsorship_reason(tier: Column, confidence: Column, params: Params, prefix:
     for name, value in P.CONFIDENCE_RANK.items():
         rank = F.when(confidence == name, value).otherwise(rank)
     needed = P.CONFIDENCE_RANK.get(params.min_confidence, 1)
-    text = F.concat(
-        F.lit(f"{prefix}international listing with sponsorship_confidence="), quoted(confidence),
-        F.lit(", below required "), quoted(F.lit(params.min_confidence)),
-    )
+    text = filled(prefix + P.SPONSORSHIP_TEXT, quoted(confidence), quoted(F.lit(params.min_confidence)))
     return F.when((tier == 3) & (rank < needed), text)
 
 
@@ -164,10 +157,7 @@ def employer_penalty(score: Column, employer: Column, params: Params) -> Column:
 
 
 def match_reason(hits: Column, seniority: Column, employer: Column) -> Column:
-    return F.concat(
-        F.lit("Heuristic match: "), hits.cast("string"), F.lit(" product/SaaS keyword hit(s), seniority="),
-        seniority, F.lit(", employer_type="), employer,
-    )
+    return filled(P.MATCH_TEXT, hits.cast("string"), seniority, employer)
 
 
 def score_postings(postings: DataFrame, params: Params = Params()) -> DataFrame:

@@ -36,6 +36,12 @@ def computed_once(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
+def filled(template: str, *values: Column) -> Column:
+    """A fixed text with a column in place of each ``{}``; NULL if one is NULL."""
+    first, *rest = template.split("{}")
+    return F.concat(F.lit(first), *[x for value, part in zip(values, rest, strict=True) for x in (value, F.lit(part))])
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -16,7 +16,7 @@ from vacantia import params as P
 from vacantia.functions import variant as V
 from vacantia.functions.rules import hard_filter_reason, score_postings
 from vacantia.functions.salary import LAKH, format_span
-from vacantia.functions.text import text_or_empty
+from vacantia.functions.text import filled, text_or_empty
 from vacantia.operators.verdicts import apply_verdicts
 from vacantia.params import Params
 from vacantia.sources.workdir import work_dir
@@ -201,10 +201,7 @@ def parse_estimates(df: DataFrame, reply: str = "reply") -> DataFrame:
         format_span(F.when(both, "estimated"), F.lit(""), low, high).alias("salary_display"),
         F.when(both, low * LAKH).alias("salary_min_inr"),
         F.when(both, high * LAKH).alias("salary_max_inr"),
-        F.when(both, F.concat(
-            F.lit("AI-estimated ("), f["basis"].shown(missing=P.DEFAULT_BASIS),
-            F.lit(") - not a live Glassdoor/AmbitionBox/Levels.fyi query"),
-        )).alias("source_note"),
+        F.when(both, filled(P.ESTIMATE_NOTE, f["basis"].shown(missing=P.DEFAULT_BASIS))).alias("source_note"),
     )
 
 

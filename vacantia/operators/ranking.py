@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vacantia import params as P
 from vacantia.functions.report import posting_block, run_stamp
+from vacantia.functions.text import filled
 from vacantia.params import Params
 
 MATCH_FIELDS = [
@@ -100,12 +101,7 @@ def document(rows: DataFrame, fx_label: Column, now: Column) -> DataFrame:
 
     header = total.select(
         F.lit(0).alias("section"), F.lit(0).alias("part"), F.lit(0).alias("score"), no_key,
-        F.concat(
-            F.lit("# Job Digest — "), run_stamp(now), F.lit("\n\n"),
-            F.col("n").cast("string"),
-            F.lit(" posting(s) matched above threshold. All compensation figures are in INR; "
-                  "foreign-currency conversions use "), fx_label, F.lit("."),
-        ).alias("text"),
+        filled(P.REPORT_HEAD, run_stamp(now), F.col("n").cast("string"), fx_label).alias("text"),
     )
     tiers = spark.createDataFrame(list(P.TIER_HEADINGS.items()), "location_tier INT, heading STRING")
     headings = tiers.join(counts, "location_tier", "left").select(

@@ -90,6 +90,16 @@ REPORTABLE_STATUSES = ("matched", "queued_for_review")
 # Texts that appear in results.
 REASON_ROLE = "heuristic: title/lede doesn't read as a product management/ownership role"
 REASON_NOT_PRODUCT = "not a product management/ownership role"
+# ({} = a value of the row)
+MARKETING_TEXT = "heuristic: marketing-signal density ({}) exceeds product-signal density ({}) despite the title"
+SENIORITY_TEXT = "seniority mismatch ({})"
+SPONSORSHIP_TEXT = "international listing with sponsorship_confidence={}, below required {}"
+MATCH_TEXT = "Heuristic match: {} product/SaaS keyword hit(s), seniority={}, employer_type={}"
+ESTIMATE_NOTE = "AI-estimated ({}) - not a live Glassdoor/AmbitionBox/Levels.fyi query"
+REPORT_HEAD = (
+    "# Job Digest — {}\n\n{} posting(s) matched above threshold. All compensation figures are in INR; "
+    "foreign-currency conversions use {}."
+)
 REASON_MARKETING = "responsibilities skew marketing despite title"
 TIER_HEADINGS = {
     1: "## \U0001F3E0 Remote",
