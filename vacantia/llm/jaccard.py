@@ -214,7 +214,7 @@ def assigned(sizes: DataFrame, families: DataFrame, stars: DataFrame, asked: Dat
     """
     own = block_of(families.select(F.col("v").alias("doc_id"), F.col("c").alias("f")).join(sizes, "doc_id"))
     tied = stars.withColumnRenamed("b", "doc_id").join(own, "doc_id").select("f", F.col("a").alias("doc_id"), "block")
-    asks = block_of(asked.join(sizes, "doc_id"))
+    asks = block_of(asked)
     alone = asked.select("f").distinct().join(families.select(F.col("c").alias("f")).distinct(), "f", "left_anti")
     alone = alone.select("f", F.col("f").alias("doc_id"), F.lit(0).cast("long").alias("block"))
     kinds = [own.unionByName(tied).distinct(), asks, alone]
@@ -288,7 +288,7 @@ def block_pairs(parts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def opened(posts: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, f): the families but their own that the token-group matrix can't rule out for a document.
+    """(doc_id, f, n): the families but their own that the token-group matrix can't rule out for a document.
 
     ``posts``: (token, doc_id, n, g), the hashes of each document's prefix and its family. Of two
     families the one with the larger number asks the other.
@@ -300,16 +300,15 @@ def opened(posts: DataFrame, hot: int = HOT) -> DataFrame:
         spread = ranked.withColumn("groups", F.max("rank").over(Window.partitionBy("token"))).drop("rank").filter("groups > 1")
         shared = spread.withColumn("shared", F.count("*").over(Window.partitionBy("doc_id")))
         posts = stored(shared.filter(F.col("shared") >= least_shared(F.col("n"), NEAR)).drop("shared"))
+    # h: hot hashes of the document; a link could rest on as many as l of them
     posts = posts.withColumn("hot", F.col("groups") > hot).drop("groups")
-    load = posts.groupBy("doc_id").agg(F.count_if("hot").alias("h"), F.first("n").alias("n"))
-    load = stored(load.withColumn("heavy", F.col("h") >= least_shared(F.col("n"), NEAR)))
-    cool = posts.filter("NOT hot").select("token", "doc_id", "g")
-    warm = posts.filter("hot").join(load.filter("heavy").select("doc_id"), "doc_id", "left_semi").select("token", "doc_id", "g")
+    posts = stored(posts.withColumn("h", F.count_if("hot").over(Window.partitionBy("doc_id"))))
+    cool, warm = posts.filter("NOT hot"), posts.filter("hot").filter(F.col("h") >= least_shared(F.col("n"), NEAR))
 
     def by(p: DataFrame, slack: Column) -> DataFrame:
         union = p.select("token", F.col("g").alias("f")).distinct()
-        bound = p.join(union, "token").filter("f < g").groupBy("doc_id", "f").agg(F.count("*").alias("k"))
-        return bound.join(load, "doc_id").filter(F.col("k") + slack >= least_shared(F.col("n"), NEAR)).select("doc_id", "f")
+        bound = p.join(union, "token").filter("f < g").groupBy("doc_id", "f").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("h").alias("h"))
+        return bound.filter(F.col("k") + slack >= least_shared(F.col("n"), NEAR)).select("doc_id", "f", "n")
 
     return by(cool, F.col("h")).union(by(warm, F.col("n"))).distinct()
 
