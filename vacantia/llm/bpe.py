@@ -99,6 +99,7 @@ class Bpe:
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
+        self.packed = {piece: rank.to_bytes(4, "little") for piece, rank in self.ranks.items()}
         self.pairs = np.full(1 << 16, -1)
         for piece, rank in self.ranks.items():
             if len(piece) == 2:
@@ -110,8 +111,8 @@ class Bpe:
         """Ids of each pre-token, as little-endian unsigned 32-bit integers."""
         if not tokens:
             return []
-        ranks = self.ranks
-        get = ranks.get
+        packed = self.packed
+        get = self.ranks.get
         data = b"\0".join(tokens) + b"\0"  # a gap after each
         n = len(data)
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -193,9 +194,10 @@ class Bpe:
             i, last = at, at + len(token)
             ids = []
             while i < last:
-                ids.append(ranks[data[i : stop[i]]])
-                i = stop[i]
-            out.append(b"".join([x.to_bytes(4, "little") for x in ids]))
+                end = stop[i]
+                ids.append(packed[data[i:end]])
+                i = end
+            out.append(b"".join(ids))
             at = last + 1
         return out
 
@@ -210,9 +212,9 @@ class Bpe:
             else:
                 found[token] = ids
         data = [t.encode("utf-8", "surrogatepass") for t in new]
-        whole = [self.ranks.get(d) for d in data]  # a piece of the vocabulary is its own id
+        whole = [self.packed.get(d) for d in data]  # a piece of the vocabulary is its own id
         merged = iter(self.merge([d for d, w in zip(data, whole, strict=True) if w is None]))
-        found.update((t, next(merged) if w is None else w.to_bytes(4, "little")) for t, w in zip(new, whole, strict=True))
+        found.update((t, next(merged) if w is None else w) for t, w in zip(new, whole, strict=True))
         return found
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
@@ -227,11 +229,12 @@ class Bpe:
         whole: dict[str, list[str]] = {}
         known: dict[str, bytes] = {}
         kept = self.chunks
+        fresh, aged = kept.fresh.get, kept.aged.get
         for text in texts:
             chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-            for chunk in set(chunks):
-                if chunk not in known and chunk not in new:
-                    ids = kept.get(chunk)
+            for chunk in set(chunks).difference(known):
+                if chunk not in new:
+                    ids = fresh(chunk) or aged(chunk)
                     if ids is not None:
                         known[chunk] = ids
                         continue
@@ -253,7 +256,7 @@ class Bpe:
                         if self.tokens.get(token) is None:
                             self.tokens.put(token, ids_of[token])
         joined = {text: b"".join([ids_of[t] for t in tokens]) for text, tokens in whole.items()}
-        return [joined[text] if chunks is None else b"".join([known[c] for c in chunks]) for text, chunks in zip(texts, split, strict=True)]
+        return [joined[text] if chunks is None else b"".join(map(known.__getitem__, chunks)) for text, chunks in zip(texts, split, strict=True)]
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         held: list[str] = []
