@@ -10,6 +10,7 @@ from tests.compare import bag, connect
 from tests.llm.conftest import near, sentence
 from vacantia.llm import ann, jaccard, mixing, urls
 from vacantia.llm.queries import ORACLE, QUERIES
+from vacantia.llm.words import word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,6 +88,24 @@ def test_jaccard_small_blocks(spark, monkeypatch):
     assert linked(table) == plain_links(texts)
 
 
+def test_hashes_rest_on_own_bytes_only():
+    """A text hashes alike alone and beside a 5,000-byte word; words that differ past 4,096 bytes stay apart."""
+    text, long = b"kalo mi resu one", b"x" * 5_000
+    alone = word_hashes(text)[0]
+    beside, owner = word_hashes(b"\n".join([text, long, text]))
+    assert (beside[owner == 0] == alone).all() and (beside[owner == 2] == alone).all()
+    assert beside[owner == 1] == word_hashes(long)[0]
+    turned = b"a" + b"x" * 4_095 + b"b", b"b" + b"x" * 4_095 + b"a"
+    assert word_hashes(turned[0])[0] != word_hashes(turned[1])[0]
+
+
+def test_sets_of_copies_beside_long_words():
+    rng = random.Random(14)
+    base = sentence(rng, 60)
+    alone, beside = next(jaccard.shingle_sets([base])), list(jaccard.shingle_sets(["y" * 5_000 + " " + sentence(rng, 20), base]))[1]
+    assert jaccard.digest(alone) == jaccard.digest(beside) and (alone == beside).all()
+
+
 def test_one_of_each(docs, clashing, rows):
     want = plain_links({r[0]: r[1] for r in rows if r[0] is not None})
     keep = sorted({c for _, c in want.values()})

@@ -69,8 +69,10 @@ def word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     firsts = np.cumsum(lengths) - lengths
     place = np.arange(len(letters)) - np.repeat(firsts, lengths)
     value = _BYTE[letters] * _PLACE[place & 4095]
-    if len(place) and lengths.max() > 4096:
-        value = mix(value + (place >> 12).astype(np.uint64))
+    # a word's hash rests on its own bytes only: letters of a short word stay as they are beside a long one
+    far = np.flatnonzero(place >= 4096)
+    if len(far):
+        value[far] = mix(value[far] + (place[far] >> 12).astype(np.uint64))
     hashes = mix(np.add.reduceat(value, firsts) + lengths.astype(np.uint64))
     return hashes, np.searchsorted(np.flatnonzero(data == 10), starts)
 
