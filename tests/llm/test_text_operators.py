@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+from tests.llm.conftest import sentence
 from vacantia.llm import bpe, licenses, lm, packing, quality, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -269,6 +270,28 @@ def test_every_notice_is_found():
             assert (name, 0) in [(n, d) for n, _, d in scanner.scan(notice)]
 
 
+def in_text(scanner, text):
+    """The licenses of a text, scanned as the query does."""
+    return sorted({name for block in licenses.candidates(text) for name, _, _ in scanner.scan(block)})
+
+
+def test_notices_in_long_lines():
+    """What stands on the same line or in the lines beside it doesn't hide a notice."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rng = random.Random(21)
+    for name, (_, notices) in licenses.TEMPLATES.items():
+        for notice in notices:
+            for size in (30, 200):
+                assert in_text(scanner, f"{sentence(rng, size)} {notice} {sentence(rng, size)}") == [name]
+            assert in_text(scanner, notice.upper()) == [name]
+    firsts = [notices[0] for _, notices in licenses.TEMPLATES.values()]
+    for sep in ("\n", " "):
+        assert in_text(scanner, sep.join(firsts)) == sorted(licenses.TEMPLATES)
+        for _ in range(40):
+            some = rng.sample(sorted(licenses.TEMPLATES), 4)
+            assert in_text(scanner, sep.join(licenses.TEMPLATES[n][1][0] for n in some)) == sorted(some)
+
+
 # --- language model
 
 def test_lm_counts_and_base_score(docs, no_docs, rows):

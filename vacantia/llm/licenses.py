@@ -1,12 +1,12 @@
 """License scans by conditional compression.
 
 A text's lines that hold a word stem of license notices are candidates; neighbouring candidate
-lines make one block. Each block is compressed alone and with each template as a raw zstandard
-dictionary: the size a template saves says how much of the block's wording it knows. The best
-templates by saved share are then confirmed by their exact wording: the words of the closest notice
-of the template are aligned with the block's words, and the block is a match if no key word (a name
-or version that tells the template from the others) is missing, no other template's was put in, and
-the differences stay under ``MAX_DIFFERENCE`` of the notice's words.
+lines make one block. Each notice is aligned with all stretches of a block's words: a stretch has its
+wording if no key word (a name or version that tells the template from the others) is missing, no
+other template's was put in, and the differences stay under ``MAX_DIFFERENCE`` of the notice's words.
+The stretch alone, so that what stands around it doesn't matter, is then compressed without and with
+the template as a raw zstandard dictionary: the share of the size that the template saves says how
+much of the wording it knows, and ``MIN_SAVED`` of it confirms the license.
 
 Defined cases: null and blank texts have no candidates and no license; a text may hold several
 licenses and each is reported once; equal savings go by template name; repeated rows are scanned
@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -47,7 +47,9 @@ TEMPLATES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 }
 #: Every notice above holds one of these.
 STEMS = ("licens", "redistribut", "copyright", "permission")
-RANKED, MIN_SAVED, MAX_DIFFERENCE = 3, 0.2, 0.25
+MIN_SAVED, MAX_DIFFERENCE = 0.2, 0.25
+#: The price of a difference that rules a match out.
+NEVER = 10_000
 SCHEMA = "doc_id long, n_candidates long, licenses array<string>, best_license string, saved double, n_differences long"
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
@@ -76,46 +78,66 @@ class Scanner:
     def __init__(self, templates: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> None:
         self.templates = {k: (keys, [words(n) for n in notices]) for k, (keys, notices) in templates.items()}
         self.named = {key for keys, _ in templates.values() for key in keys}
+        every = {w for _, notices in self.templates.values() for notice in notices for w in notice} | self.named
+        self.number = {w: at for at, w in enumerate(sorted(every))}
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self.primed = {
             name: zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
-                "\n".join(notices).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for name, (_, notices) in templates.items()}
+                "\n".join(" ".join(n) for n in notices).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            for name, (_, notices) in self.templates.items()}
+        self.saved = lru_cache(65536)(self._saved)
         self.scan = lru_cache(65536)(self._scan)
 
+    def _saved(self, stretch: str, name: str) -> float:
+        """The share of a stretch's compressed size that the template saves."""
+        data = stretch.encode()
+        return 1 - len(self.primed[name].compress(data)) / len(self.plain.compress(data))
+
     def _scan(self, block: str) -> tuple[tuple[str, float, int], ...]:
         """(license, saved share, differing words) of each confirmed license of a block, the best first."""
-        data = block.encode("utf-8", "surrogatepass")
-        alone = len(self.plain.compress(data))
-        saved = sorted(((1 - len(c.compress(data)) / alone, name) for name, c in self.primed.items()), key=lambda x: (-x[0], x[1]))
-        found = []
-        for share, name in saved:
-            # a block of several notices is saved on by several templates: all above the bar are confirmed
-            if share < MIN_SAVED or (len(block) < 400 and len(found) >= RANKED):
-                break
-            apart = self.differences(words(block), name)
-            if apart is not None:
-                found.append((name, share, apart))
+        text = words(block)
+        numbers = np.array([self.number.get(w, -1) for w in text], np.int64)
+        held, found = set(text), []
+        for name, (keys, notices) in self.templates.items():
+            hits = []
+            for notice in notices:
+                if any(k in notice and k not in held for k in keys):
+                    continue
+                for first, last, apart in self.stretches(numbers, notice, keys):
+                    share = self.saved(" ".join(text[first:last]), name)
+                    if share >= MIN_SAVED:
+                        hits.append((apart, -share))
+            if hits:
+                apart, share = min(hits)
+                found.append((name, -share, apart))
         return tuple(sorted(found, key=lambda x: (x[2], -x[1], x[0])))
 
-    def differences(self, text: list[str], name: str) -> int | None:
-        """Words missing from or put into the closest notice; None if the wording isn't the template's."""
-        keys, notices = self.templates[name]
-        best = None
-        for notice in notices:
-            runs = SequenceMatcher(None, notice, text, autojunk=False).get_matching_blocks()
-            held = [k for a, _, n in runs for k in notice[a : a + n]]
-            if not held or any(k in notice and k not in held for k in keys):
-                continue
-            real = [r for r in runs if r.size]
-            span = real[-1].b + real[-1].size - real[0].b
-            added = set(text[real[0].b : real[0].b + span]) - set(notice)
-            if added & self.named:
-                continue  # it names another license
-            apart = len(notice) - len(held) + span - len(held)
-            if apart <= MAX_DIFFERENCE * len(notice) and (best is None or apart < best):
-                best = apart
-        return best
+    def stretches(self, text: np.ndarray, notice: list[str], keys: tuple[str, ...]) -> Iterator[tuple[int, int, int]]:
+        """(first, last, words missing or put in) of the stretches of a text that have the notice's wording."""
+        wanted = np.array([self.number[w] for w in notice])
+        # no key word may be missing, and no other license's name be put in
+        missing = np.where(np.isin(notice, keys), NEVER, 1)
+        others = [self.number[w] for w in self.named if w not in notice]
+        added = np.where(np.isin(text, others), NEVER, 1)
+        apart = aligned(wanted, missing, text, added, False)
+        after = np.append(apart[1:], NEVER)
+        before = np.append(NEVER, apart[:-1])
+        for last in np.flatnonzero((apart <= MAX_DIFFERENCE * len(notice)) & (apart <= before) & (apart < after)):
+            part = slice(max(0, last - 2 * len(notice)), last)
+            back = aligned(wanted[::-1], missing[::-1], text[part][::-1], added[part][::-1], True)
+            yield int(last - np.argmin(back)), int(last), int(apart[last])
+
+
+def aligned(notice: np.ndarray, missing: np.ndarray, text: np.ndarray, added: np.ndarray, anchored: bool) -> np.ndarray:
+    """For each place of the text, the least cost of the notice in a stretch that ends there and starts anywhere (``anchored``: at 0)."""
+    put_in = np.concatenate(([0], np.cumsum(added)))
+    cost = put_in if anchored else np.zeros(len(text) + 1, np.int64)
+    for word, price in zip(notice, missing, strict=True):
+        here = cost + price
+        same = np.flatnonzero(text == word)
+        here[same + 1] = np.minimum(here[same + 1], cost[same])
+        cost = np.minimum.accumulate(here - put_in) + put_in
+    return cost
 
 
 def scanned(docs: DataFrame, templates: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = TEMPLATES) -> DataFrame:
