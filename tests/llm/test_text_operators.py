@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -292,6 +293,21 @@ def test_notices_in_long_lines():
             assert in_text(scanner, sep.join(licenses.TEMPLATES[n][1][0] for n in some)) == sorted(some)
 
 
+def test_wrapped_notices(spark):
+    """Every notice over several lines, alone and between prose, as comment lines too."""
+    rng = random.Random(22)
+    texts, want = [], {}
+    for name, (_, notices) in licenses.TEMPLATES.items():
+        for notice in notices:
+            for prose in ("", sentence(rng, 7), sentence(rng, 90)):
+                for width, mark in ((72, ""), (72, "# "), (30, " * ")):
+                    text = textwrap.fill(f"{prose} {notice} {prose}", width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False)
+                    want[len(texts)] = [name]
+                    texts.append((len(texts), text))
+    got = {r.doc_id: r.licenses for r in licenses.scanned(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # --- language model
 
 def test_lm_counts_and_base_score(docs, no_docs, rows):

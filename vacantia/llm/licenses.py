@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
-A text's lines that hold a word stem of license notices are candidates; neighbouring candidate
-lines make one block. Each notice is aligned with all stretches of a block's words: a stretch has its
+A text's lines that hold a word stem of license notices are candidates, neighbouring ones count as
+one. A notice may run over more lines than these, so a block takes as many words before and after
+each stem as the longest notice can have. Each notice is aligned with all stretches of a block's words: a stretch has its
 wording if no key word (a name or version that tells the template from the others) is missing, no
 other template's was put in, and the differences stay under ``MAX_DIFFERENCE`` of the notice's words.
 The stretch alone, so that what stands around it doesn't matter, is then compressed without and with
@@ -85,8 +86,25 @@ class Scanner:
             name: zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
                 "\n".join(" ".join(n) for n in notices).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for name, (_, notices) in self.templates.items()}
+        # a match with all the differences allowed is no longer than this
+        self.reach = max((int((1 + MAX_DIFFERENCE) * len(n)) for _, notices in self.templates.values() for n in notices), default=0)
         self.saved = lru_cache(65536)(self._saved)
-        self.scan = lru_cache(65536)(self._scan)
+        self.scan = lru_cache(4096)(self._scan)
+
+    def blocks(self, text: str) -> list[str]:
+        """The words around stems, so far that the lines of a notice that hold none are in; what overlaps is one block."""
+        if not any(stem in text.lower() for stem in STEMS):
+            return []
+        found = words(text)
+        spans: list[list[int]] = []
+        for at, word in enumerate(found):
+            if any(stem in word for stem in STEMS):
+                first, last = max(0, at - self.reach), at + self.reach + 1
+                if spans and first <= spans[-1][1]:
+                    spans[-1][1] = last
+                else:
+                    spans.append([first, last])
+        return [" ".join(found[a:b]) for a, b in spans]
 
     def _saved(self, stretch: str, name: str) -> float:
         """The share of a stretch's compressed size that the template saves."""
@@ -141,16 +159,15 @@ def aligned(notice: np.ndarray, missing: np.ndarray, text: np.ndarray, added: np
 
 
 def scanned(docs: DataFrame, templates: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = TEMPLATES) -> DataFrame:
-    """doc_id, candidate blocks, licenses found, and the best one with its figures, for every row."""
+    """doc_id, number of candidates, licenses found, and the best one with its figures, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in batches:
             counts, names, best = [], [], []
             for text in batch.column("text").to_pylist():
-                blocks = candidates(text or "")
-                found = sorted({hit for block in blocks for hit in scanner.scan(block)}, key=lambda x: (x[2], -x[1], x[0]))
-                counts.append(len(blocks))
+                found = sorted({hit for block in scanner.blocks(text or "") for hit in scanner.scan(block)}, key=lambda x: (x[2], -x[1], x[0]))
+                counts.append(len(candidates(text or "")))
                 names.append(sorted({name for name, _, _ in found}))
                 best.append(found[0] if found else (None, None, None))
             yield pa.RecordBatch.from_arrays(
