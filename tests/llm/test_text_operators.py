@@ -91,6 +91,26 @@ def test_quality_reject_is_the_same_decision(docs, clashing, no_docs, labels):
     assert {r.ratio for r in none.collect()} == {0.0}
 
 
+def test_lm_keeps_all_contexts(spark):
+    """What the model gathers grows with the texts: in 150,000 letters at random, seen twice, hardly a context is met by others."""
+    rng = random.Random(31)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150_000))
+    table = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    bits = -lm.scored(table, lm.learned(table)).first().score / math.log10(2) / len(text)
+    assert bits < 0.6
+
+
+@pytest.mark.parametrize(("head", "a_task"), [(0, 300), (40, 1 << 16)])
+def test_lm_runs_met_in_a_join(docs, monkeypatch, head, a_task):
+    """Scores don't depend on how many runs are broadcast or how many stand in a task."""
+    counts = lm.learned(lm.training_rows(docs))
+    want = {r.doc_id: r.score for r in lm.scored(docs, counts).collect()}
+    monkeypatch.setattr(lm, "HEAD_RUNS", head)
+    monkeypatch.setattr(lm, "RUNS_A_TASK", a_task)
+    got = {r.doc_id: r.score for r in lm.scored(docs, counts).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+
+
 # --- toxicity
 
 @pytest.fixture(scope="module")

@@ -1,15 +1,18 @@
 """LM scoring: logistic mixing of hashed-context bit predictors over bytes, and a unigram base score.
 
 A text is its UTF-8 bytes and one end mark (0xFF, which no UTF-8 text holds). Each byte is eight
-binary decisions. For each of the orders 0 to 4, a predictor looks up how often the decision fell
-either way after the same preceding bytes, in a hashed table of fixed size. A gate (how much the two
-longest contexts have been seen, and which bit it is) picks a vector of weights; the predictors'
-log-odds are summed by it, and the outcome is refined by a table of what such predictions came true
-to. Everything is learned from all training rows: one pass counts decisions and words, a second runs
-the mixer online through each task's text, leaving out the occurrence that is being predicted, and
-the tasks' weights are averaged. Scoring uses the finished model, so that a text's score depends
-on no other row. Contexts reach four bytes back, hence a byte's cost is a function of five bytes:
-it is computed once for each different run of five.
+binary decisions. For each of the orders 0 to 4, a predictor tells how often the decision fell either
+way after the same preceding bytes. A gate (how much the two longest contexts have been seen, and which
+bit it is) picks a vector of weights; the predictors' log-odds are summed by it, and the outcome is
+refined by a table of what such predictions came true to. Everything is learned from all training rows,
+and what is gathered grows with them: the count of every different run of five bytes is kept, in a table
+dealt by the two bytes before the last, so that all runs after the same two, three or four bytes stand
+in one task, which counts their decisions exactly. Orders 0 and 1 have 65,792 different decisions
+at most, which every task gets. The mixer is trained online through each task's runs, leaving out the
+occurrence that is being predicted, and the tasks' weights are averaged. Scoring uses the finished
+model, so that a text's score depends on no other row. A byte's cost is a function of five bytes: it is
+computed once for each different run of five in the scored rows, met with the training's table. The
+``HEAD_RUNS`` most frequent runs' costs are broadcast; a text's other runs meet theirs in a join.
 
 The base score needs each word's count in the training rows. The ``HEAD`` most frequent words are
 broadcast; a text's other words meet their counts in a join.
@@ -31,18 +34,18 @@ from pyspark.sql import functions as F
 from vacantia.llm.stored import stored
 from vacantia.llm.words import mix, word_hashes
 
-#: Slots of the predictor of each order (a power of two), words broadcast, text taken together.
-SLOTS = (9, 16, 18, 19, 19)
+#: Orders, words and runs broadcast at most, text taken together, different runs in a task.
+ORDERS = 5
 HEAD = 1 << 18
+HEAD_RUNS = 1 << 20
 BLOCK = 4_000_000
+RUNS_A_TASK = 1 << 16
+#: Times the mixer goes through a task's runs.
+PASSES = 3
 PARTS, LEFT_OUT = 7, 2
-#: Tasks that turn counted runs into the predictors' tables, each as large as ``SLOTS`` say.
-COMBINE = 16
 END = 0xFF
 _PAD = bytes([END]) * 4
-_OFFSET = np.concatenate(([0], np.cumsum([1 << b for b in SLOTS])))
-TOTAL = int(_OFFSET[-1])
-GATES, INPUTS, LEVELS = 16, len(SLOTS) + 1, 33
+GATES, INPUTS, LEVELS = 16, ORDERS + 1, 33
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: The hash that stands for the end of a text among the words.
 END_WORD = 0x5EED_0F_7E97
@@ -84,50 +87,65 @@ def real(runs: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return runs[keep]
 
 
-def slots(runs: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The slot and the outcome of each of the eight decisions."""
+def decisions(runs: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The number of each of the eight decisions after its context, and its outcome."""
     byte = (runs & np.uint64(255)).astype(np.int64)
-    context = (runs >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-    key = mix(context + np.uint64(order << 40))
+    context = ((runs >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)).astype(np.int64)
     for j in range(8):
-        node = (1 << j) | (byte >> (8 - j))
-        outcome = (byte >> (7 - j)) & 1
-        if order == 0:
-            yield node, outcome
-        else:
-            place = ((key ^ node.astype(np.uint64)) * _SPREAD) >> np.uint64(64 - SLOTS[order])
-            yield place.astype(np.int64) + int(_OFFSET[order]), outcome
+        yield context << 8 | (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
 
 
 @dataclass
-class Model:
-    zeros: np.ndarray
-    ones: np.ndarray
+class Mixer:
+    low: list[tuple[np.ndarray, np.ndarray]]  # zeros and ones of the decisions of orders 0 and 1
     weights: np.ndarray  # (8, GATES, INPUTS)
     refined: np.ndarray  # (256, LEVELS) chances
 
 
+@dataclass
+class Model:
+    mixer: Mixer
+    runs: DataFrame  # (key, a): every training run's count
+    n_runs: int
+
+
 def start_weights() -> np.ndarray:
     w = np.zeros((8, GATES, INPUTS))
-    w[:, :, : len(SLOTS)] = np.linspace(0.05, 0.5, len(SLOTS))
+    w[:, :, :ORDERS] = np.linspace(0.05, 0.5, ORDERS)
     return w
 
 
-def inputs(model: Model, runs: np.ndarray, left_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def fallen(mixer: Mixer, runs: np.ndarray, times: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each order and each of the eight decisions of the runs: how often it fell either way. Holds
+    for the orders from 2 if all runs after the same two bytes are among ``runs``."""
+    out = []
+    for order in range(ORDERS):
+        each = []
+        for place, outcome in decisions(runs, order):
+            if order < 2:
+                zeros, ones = mixer.low[order]
+            else:
+                _, place = np.unique(place, return_inverse=True)
+                ones = np.bincount(place, times * outcome)
+                zeros = np.bincount(place, times) - ones
+            each.append((zeros[place], ones[place]))
+        out.append(each)
+    return out
+
+
+def inputs(runs: np.ndarray, counts: list[list[tuple[np.ndarray, np.ndarray]]], which: np.ndarray | slice,
+           left_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each decision: log-odds of the predictors, gate, node and outcome. ``left_out``: as if not seen this once."""
-    each = [slots(runs, order) for order in range(len(SLOTS))]
-    for _ in range(8):
-        x = np.ones((INPUTS, len(runs)))
+    part = runs[which]
+    for j, (node, outcome) in enumerate(decisions(part, 0)):
+        x = np.ones((INPUTS, len(part)))
         seen = []
-        for order, places in enumerate(each):
-            place, outcome = next(places)
-            zeros, ones = model.zeros[place], model.ones[place]
+        for order in range(ORDERS):
+            zeros, ones = (c[which] for c in counts[order][j])
             if left_out:
                 ones, zeros = np.maximum(ones - outcome, 0), np.maximum(zeros - (1 - outcome), 0)
             x[order] = np.log((ones + 0.02) / (zeros + 0.02))
             seen.append(ones + zeros)
-            if order == 0:
-                node = place
         gate = np.searchsorted([1, 4, 32], seen[-1], side="right") * 4 + np.searchsorted([1, 4, 32], seen[-2], side="right")
         yield x, gate, node, outcome
 
@@ -140,11 +158,15 @@ def _level(odds: np.ndarray) -> np.ndarray:
     return ((odds.clip(-8, 8) + 8) * ((LEVELS - 1) / 16) + 0.5).astype(np.int64)
 
 
-def trained(model: Model, runs: np.ndarray, times: np.ndarray, weights: np.ndarray, steps: int, rate: float = 0.1) -> int:
+def trained(runs: np.ndarray, times: np.ndarray, counts: list[list[tuple[np.ndarray, np.ndarray]]], weights: np.ndarray,
+            steps: int, rate: float = 0.1) -> int:
     """Moves ``weights`` through the runs, part by part. Returns the steps made so far."""
+    # in an order that isn't that of the bytes
+    order = np.argsort(mix(runs))
     for a in range(0, len(runs), 4096):
-        part, share = runs[a : a + 4096], times[a : a + 4096].astype(float)
-        for j, (x, gate, _, outcome) in enumerate(inputs(model, part, True)):
+        which = order[a : a + 4096]
+        share = times[which]
+        for j, (x, gate, _, outcome) in enumerate(inputs(runs, counts, which, True)):
             miss = share * (outcome - _chance((weights[j, gate].T * x).sum(0)))
             total = np.bincount(gate, share, GATES) + 1e-9
             for i in range(INPUTS):
@@ -153,24 +175,65 @@ def trained(model: Model, runs: np.ndarray, times: np.ndarray, weights: np.ndarr
     return steps
 
 
-def costs(model: Model, runs: np.ndarray) -> np.ndarray:
-    """-log10 of the chance of each run's last byte."""
-    out = np.zeros(len(runs))
-    for a in range(0, len(runs), 65536):
-        part = runs[a : a + 65536]
-        for j, (x, gate, node, outcome) in enumerate(inputs(model, part, False)):
-            odds = (model.weights[j, gate].T * x).sum(0)
-            p = (_chance(odds) + model.refined[node, _level(odds)]) / 2
+def _costs(mixer: Mixer, runs: np.ndarray, times: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """-log10 of the chance of the last byte of the runs at ``wanted``."""
+    out = np.zeros(len(wanted))
+    counts = fallen(mixer, runs, times)
+    for a in range(0, len(wanted), 65536):
+        for j, (x, gate, node, outcome) in enumerate(inputs(runs, counts, wanted[a : a + 65536], False)):
+            odds = (mixer.weights[j, gate].T * x).sum(0)
+            p = (_chance(odds) + mixer.refined[node, _level(odds)]) / 2
             p = p.clip(1 / 65536, 1 - 1 / 65536)
             out[a : a + 65536] -= np.log10(np.where(outcome == 1, p, 1 - p))
     return out
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of a task, with how often they stand in the training rows and in the others."""
+    held = list(batches)
+    column = lambda name: np.concatenate([b.column(name).to_numpy() for b in held]) if held else np.empty(0, np.int64)
+    return column("key").view(np.uint64), column("a").astype(float), column("t")
+
+
+def dealt(runs: DataFrame, n: int) -> DataFrame:
+    """Runs after the same two bytes in one task."""
+    return runs.repartition(n // RUNS_A_TASK + 1, F.shiftright("key", 8).bitwiseAND(0xFFFF))
+
+
+def priced(model: Model, asked: DataFrame, n: int) -> DataFrame:
+    """(key, cost, t) of the n different runs (key, t)."""
+    shipped = asked.sparkSession.sparkContext.broadcast(model.mixer)
+    none = F.lit(0).cast("long")
+    both = model.runs.select("key", "a", none.alias("t")).union(asked.select("key", none.alias("a"), "t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, times, t = _whole(batches)
+        wanted = np.flatnonzero(t)
+        cost = _costs(shipped.value, runs, times, wanted)
+        for a in range(0, len(wanted), 100_000):
+            at = wanted[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(runs[at].view(np.int64)), pa.array(cost[a : a + 100_000]), pa.array(t[at])], ["key", "cost", "t"])
+
+    return dealt(both.groupBy("key").agg(F.sum("a").alias("a"), F.sum("t").alias("t")), model.n_runs + n).mapInArrow(
+        run, "key long, cost double, t long")
+
+
+def costs(model: Model, runs: np.ndarray) -> np.ndarray:
+    """-log10 of the chance of each run's last byte."""
+    keys, back = np.unique(runs, return_inverse=True)
+    asked = model.runs.sparkSession.createDataFrame(pa.table({"key": keys.view(np.int64), "t": np.ones(len(keys), np.int64)}))
+    got = priced(model, asked, len(keys)).toArrow()
+    out = np.empty(len(keys))
+    out[np.searchsorted(keys, got.column("key").to_numpy().view(np.uint64))] = got.column("cost").to_numpy()
+    return out[back]
+
+
 class Costs:
-    """What runs cost, kept in a hashed table of fixed size."""
+    """What the runs broadcast cost, kept in a hashed table of fixed size; not a number for the others."""
 
-    def __init__(self, model: Model, bits: int = 21) -> None:
-        self.model, self.shift = model, np.uint64(64 - bits)
+    def __init__(self, runs: np.ndarray, values: np.ndarray, bits: int = 21) -> None:
+        self.known, self.cost, self.shift = runs, values, np.uint64(64 - bits)
         self.keys = np.full(1 << bits, np.uint64(0xFFFF_FFFF_FFFF_FFFF))
         self.values = np.zeros(1 << bits)
 
@@ -180,18 +243,22 @@ class Costs:
         other = np.flatnonzero(self.keys[place] != runs)
         if len(other):
             new, back = np.unique(runs[other], return_inverse=True)
-            cost = costs(self.model, new)
+            cost = np.full(len(new), np.nan)
+            at = np.searchsorted(self.known, new)
+            at[at == len(self.known)] = 0
+            if len(self.known):
+                cost = np.where(self.known[at] == new, self.cost[at], np.nan)
             out[other] = cost[back]
             place = ((new * _SPREAD) >> self.shift).astype(np.int64)
             self.keys[place], self.values[place] = new, cost
         return out
 
 
-def _rows(kind: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(keys), 100_000):
         k = keys[a : a + 100_000]
-        columns = [np.full(len(k), kind, np.int8), k.view(np.int64), *(v[a : a + 100_000].astype(np.int64) for v in values)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "a", "b"])
+        columns = [np.full(len(k), kind, np.int8), k.view(np.int64), counts[a : a + 100_000].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "a"])
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +270,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (0, run, count, 0) and (1, word, count, 0), summed in the task as far as they fit."""
+def _counted(batches: Iterator[pa.RecordBatch], words: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows (0, run, count) and (1, word, count), summed in the task as far as they fit."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
     seen = 0
 
@@ -213,35 +280,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, counts = _merged(held[kind])
             held[kind] = [(keys, counts)] if len(keys) <= keep else []
             if not held[kind]:
-                yield from _rows(kind, keys, counts, np.zeros(len(keys)))
+                yield from _rows(kind, keys, counts)
 
     for batch in batches:
         for texts in text_blocks(batch.column("text").to_pylist()):
             seen += len(texts)
-            for kind, keys in ((0, real(*grams(texts))), (1, _words(texts)[0])):
+            for kind, keys in ((0, real(*grams(texts))), *([(1, _words(texts)[0])] if words else [])):
                 keys, counts = np.unique(keys, return_counts=True)
                 held[kind].append((keys, counts.astype(float)))
                 if sum(len(k) for k, _ in held[kind]) > 3_000_000:
                     yield from emptied(kind, 1_500_000)
-    if seen:
+    if seen and words:
         held[1].append((np.array([END_WORD], np.uint64), np.array([float(seen)])))
     yield from emptied(0)
     yield from emptied(1)
 
 
-def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (0, slot, zeros, ones): how the decisions of the counted runs fell."""
-    zeros, ones = np.zeros(TOTAL), np.zeros(TOTAL)
-    for batch in batches:
-        runs, times = batch.column("key").to_numpy().view(np.uint64), batch.column("a").to_numpy().astype(float)
-        for order in range(len(SLOTS)):
-            for place, outcome in slots(runs, order):
-                np.add.at(zeros, place, times * (1 - outcome))
-                np.add.at(ones, place, times * outcome)
-    used = np.flatnonzero(zeros + ones)
-    yield from _rows(0, used.astype(np.uint64), zeros[used], ones[used])
-
-
 @dataclass
 class Counts:
     model: Model
@@ -253,66 +307,97 @@ class Counts:
 def learned(training: DataFrame) -> Counts:
     """The model and the word counts of all training rows."""
     spark = training.sparkSession
-    rows = training.select("text").mapInArrow(_counted, "kind byte, key long, a long, b long")
+    rows = training.select("text").mapInArrow(_counted, "kind byte, key long, a long")
     sums = stored(rows.groupBy("kind", "key").agg(F.sum("a").alias("a")))
     words = sums.filter("kind = 1").select("key", "a")
     total = words.agg(F.count("*").alias("v"), F.sum("a").alias("n")).first()
-    decided = sums.filter("kind = 0").select("key", "a").repartition(COMBINE).mapInArrow(_decisions, "kind byte, key long, a long, b long")
-    table = decided.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # at most one row per slot
-    model = Model(np.zeros(TOTAL, np.float32), np.zeros(TOTAL, np.float32), start_weights(), np.empty(0))
-    at = table.column("key").to_numpy()
-    model.zeros[at], model.ones[at] = table.column("a").to_numpy(), table.column("b").to_numpy()
-    shipped = spark.sparkContext.broadcast(model)
+    runs = sums.filter("kind = 0").select("key", "a")
+    pairs = runs.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.count("*").alias("n"), F.sum("a").alias("a")).toArrow()  # 65,536 at most
+    low = []
+    for order in range(2):
+        zeros, ones = np.zeros(1 << 8 * (order + 1)), np.zeros(1 << 8 * (order + 1))
+        for place, outcome in decisions(pairs.column("key").to_numpy().view(np.uint64), order):
+            np.add.at(ones, place, pairs.column("a").to_numpy() * outcome)
+            np.add.at(zeros, place, pairs.column("a").to_numpy() * (1 - outcome))
+        low.append((zeros, ones))
+    mixer = Mixer(low, start_weights(), np.empty(0))
+    model = Model(mixer, runs, int(pairs.column("n").to_numpy().sum()))
+    shipped = spark.sparkContext.broadcast(mixer)
 
     def tuned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, steps, share = start_weights(), 0, 0
+        runs, times, _ = _whole(batches)
+        if not len(runs):
+            return
+        weights, steps, share = start_weights(), 0, times.sum()
         hits = np.zeros((256 * LEVELS, 2))
-        for batch in batches:
-            for texts in text_blocks(batch.column("text").to_pylist()):
-                runs, times = np.unique(real(*grams(texts)), return_counts=True)
-                # in an order that isn't that of the bytes
-                order = np.argsort(mix(runs))
-                runs, times = runs[order], times[order]
-                steps = trained(shipped.value, runs, times, weights, steps)
-                share += int(times.sum())
-                for a in range(0, len(runs), 65536):
-                    for j, (x, gate, node, outcome) in enumerate(inputs(shipped.value, runs[a : a + 65536], True)):
-                        cell = node * LEVELS + _level((weights[j, gate].T * x).sum(0))
-                        hits[:, 1] += np.bincount(cell, times[a : a + 65536] * outcome, len(hits))
-                        hits[:, 0] += np.bincount(cell, times[a : a + 65536] * (1 - outcome), len(hits))
-        if share:
-            flat = weights.reshape(-1) * share
-            place = np.concatenate((np.arange(len(flat)), len(flat) + np.arange(hits.size), [-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate((flat, hits.reshape(-1), [share])))], ["place", "value"])
-
-    tuning = training.select("text").mapInArrow(tuned, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        counts = fallen(shipped.value, runs, times)
+        for _ in range(PASSES):
+            steps = trained(runs, times, counts, weights, steps)
+        for a in range(0, len(runs), 65536):
+            which = slice(a, a + 65536)
+            for j, (x, gate, node, outcome) in enumerate(inputs(runs, counts, which, True)):
+                cell = node * LEVELS + _level((weights[j, gate].T * x).sum(0))
+                hits[:, 1] += np.bincount(cell, times[which] * outcome, len(hits))
+                hits[:, 0] += np.bincount(cell, times[which] * (1 - outcome), len(hits))
+        flat = weights.reshape(-1) * share
+        place = np.concatenate((np.arange(len(flat)), len(flat) + np.arange(hits.size), [-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate((flat, hits.reshape(-1), [share])))], ["place", "value"])
+
+    tuning = dealt(runs.withColumn("t", F.lit(0)), model.n_runs).mapInArrow(tuned, "place long, value double").groupBy("place").agg(
+        F.sum("value").alias("value")).toArrow()
     found = dict(zip(tuning.column("place").to_pylist(), tuning.column("value").to_pylist(), strict=True))
-    size = model.weights.size
+    size = mixer.weights.size
     hits = np.array([found.get(size + i, 0.0) for i in range(256 * LEVELS * 2)]).reshape(256, LEVELS, 2)
     centre = _chance(np.linspace(-8, 8, LEVELS))[None, :]
-    model.refined = (hits[:, :, 1] + 50 * centre) / (hits.sum(2) + 50)
+    mixer.refined = (hits[:, :, 1] + 50 * centre) / (hits.sum(2) + 50)
     if found.get(-1):
-        model.weights = np.array([found[i] for i in range(size)]).reshape(model.weights.shape) / found[-1]
+        mixer.weights = np.array([found[i] for i in range(size)]).reshape(mixer.weights.shape) / found[-1]
     return Counts(model, words, int(total["n"] or 0), int(total["v"] or 0))
 
 
+def _head(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent runs, in order, and their costs: as many levels of frequency as have ``HEAD_RUNS`` at most."""
+    level = F.floor(F.log2("t") * 8)
+    left, least = HEAD_RUNS, None
+    for row in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        left -= row["n"]
+        if left < 0:
+            break
+        least = row["level"]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0)
+    got = table.filter(level >= least).select("key", "cost").toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column("cost").to_numpy()[order]
+
+
 def scored(docs: DataFrame, counts: Counts) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     top = counts.words.orderBy(F.desc("a"), "key").limit(HEAD).toArrow()
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shipped = spark.sparkContext.broadcast((counts.model, keys[order], np.log10(top.column("a").to_numpy()[order] + 1.0)))
+    asked = stored(docs.select("text").mapInArrow(lambda batches: _counted(batches, False), "kind byte, key long, a long").groupBy("key").agg(
+        F.sum("a").alias("t")))
+    table = stored(priced(counts.model, asked, asked.count()))
+    shipped = spark.sparkContext.broadcast((_head(table), keys[order], np.log10(top.column("a").to_numpy()[order] + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, logs = shipped.value
-        priced = Costs(model)
+        known_runs, keys, logs = shipped.value
+        kept = Costs(*known_runs)
         for batch in batches:
-            scores, sizes, known, sums, rest = [], [], [], [], []
+            scores, sizes, known, sums, rest, rare = [], [], [], [], [], []
             for texts in text_blocks(batch.column("text").to_pylist()):
                 runs, first, stop = grams(texts)
-                cost = priced.of(runs)
+                cost = kept.of(runs)
                 cuts = np.column_stack((first, stop)).reshape(-1)
+                unknown = np.flatnonzero(np.isnan(cost))
+                cost[unknown] = 0.0
+                # those between texts have no row of their own
+                far = runs[unknown].view(np.int64)
+                at = np.searchsorted(unknown, cuts)
+                rare += [far[a:b] for a, b in zip(at[::2], at[1::2], strict=True)]
                 scores.append(-np.add.reduceat(np.append(cost, 0.0), cuts)[::2])
                 words, owner = _words(texts)
                 words = np.concatenate((words, np.full(len(texts), END_WORD, np.uint64)))
@@ -330,22 +415,25 @@ def scored(docs: DataFrame, counts: Counts) -> DataFrame:
             join = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), join(sizes, np.int64), join(known, np.int64),
-                 join(sums, np.float64), join(scores, np.float64), pa.array(rest, pa.list_(pa.int64()))],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rest"])
+                 join(sums, np.float64), join(scores, np.float64), pa.array(rest, pa.list_(pa.int64())),
+                 pa.array(rare, pa.list_(pa.int64()))],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rest", "rare"])
 
     ids = F.col("doc_id").cast("long")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), ids.alias("doc_id"),
         F.coalesce(remainder(ids) == LEFT_OUT, F.lit(False)).alias("held_out"), "text")
     first = stored(rows.mapInArrow(
-        run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rest array<long>"))
+        run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rest array<long>, rare array<long>"))
     met = first.select("row", F.explode("rest").alias("key")).join(counts.words, "key")
     tail = met.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("a") + 1.0)).alias("l"))
+    cost = first.select("row", F.explode("rare").alias("key")).join(table, "key").groupBy("row").agg(F.sum("cost").alias("cost"))
     whole = F.lit(float(np.log10(counts.n + counts.v + 1)))
-    return first.join(tail, "row", "left").select(
+    return first.join(tail, "row", "left").join(cost, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(counts.n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"), "score")
+        (F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"),
+        (F.col("score") - F.coalesce("cost", F.lit(0.0))).alias("score"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
