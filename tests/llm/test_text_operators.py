@@ -159,6 +159,15 @@ def test_toxicity_cases(docs, clashing, no_docs, labels, insults):
     assert {r.predicted for r in toxicity.scored(docs, toxicity.learned(docs, labels.filter("toxic = 1"))).collect()} == {1}
 
 
+def test_toxicity_sample_keeps_the_balance(insults, monkeypatch):
+    """Where a bound cuts one class of the sample, the base rate stays that of all training labels."""
+    table, marks = insults
+    base = toxicity.learned(table, marks).bias
+    whole = toxicity.sample
+    monkeypatch.setattr(toxicity, "sample", lambda labels: whole(labels, clean_rows=60))
+    assert toxicity.learned(table, marks).bias == pytest.approx(base, abs=0.35)
+
+
 def test_label_model_finds_the_better_voters():
     rng = np.random.default_rng(1)
     truth = rng.random(3000) < 0.2

@@ -2,7 +2,7 @@
 
 A text's terms are its words (lower case, ASCII punctuation cut off) and their stems of 4 and 6
 bytes, each once. From labelled rows, a bounded sample with at most ``TOXIC_ROWS`` and
-``CLEAN_ROWS`` rows by hash of their id, terms that tell the classes apart become voters: a lexicon
+``CLEAN_ROWS`` rows by hash of their id, in which each class weighs what it does in all training labels, terms that tell the classes apart become voters: a lexicon
 voter is a word, a pattern voter a stem ("any word that begins so"). These vote toxic or abstain, and
 one more voter votes clean where all of them abstain; the row's own label is the last voter.
 
@@ -79,10 +79,15 @@ def _terms(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owners)
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of all training rows."""
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(remainder(F.col("doc_id")) != 0)
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample(labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
     """(doc_id, toxic) of training rows, so many of each class at most."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(remainder(F.col("doc_id")) != 0)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = training_labels(labels)
     part = lambda value, rows: known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return part(1, toxic_rows).union(part(0, clean_rows))
 
@@ -105,21 +110,23 @@ class Model:
     bias: float
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Posterior chance of the label being 1 for each row of a 0/1 vote matrix."""
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15, weight: np.ndarray | None = None) -> np.ndarray:
+    """Posterior chance of the label being 1 for each row of a 0/1 vote matrix, whose rows count ``weight`` times."""
     votes = np.column_stack((votes, votes.sum(1) == 0))  # the voter for clean
     chance = start.astype(float)
-    n, m = votes.shape
+    weight = np.ones(len(votes)) if weight is None else weight
+    n, m = weight.sum(), votes.shape[1]
     evidence = np.ones(m)
     for turn in range(rounds):
-        ones, zeros = chance.sum(), n - chance.sum()
-        rate1 = (chance @ votes + 0.5) / (ones + 1)
-        rate0 = ((1 - chance) @ votes + 0.5) / (zeros + 1)
+        part1, part0 = weight * chance, weight * (1 - chance)
+        ones, zeros = part1.sum(), n - part1.sum()
+        rate1 = (part1 @ votes + 0.5) / (ones + 1)
+        rate0 = (part0 @ votes + 0.5) / (zeros + 1)
         if turn == rounds // 3:
             # what is left of the votes once the labels are known
             left = votes - (chance[:, None] * rate1 + (1 - chance)[:, None] * rate0)
-            spread = np.sqrt((left**2).mean(0)) + 1e-9
-            related = ((left.T @ left) / n / spread[:, None] / spread[None, :]) ** 2
+            spread = np.sqrt(weight @ left**2 / n) + 1e-9
+            related = ((left.T @ (left * weight[:, None])) / n / spread[:, None] / spread[None, :]) ** 2
             evidence[:-1] = 1 / related[:-1, :-1].sum(0).clip(1)
         odds = np.log(ones + 1) - np.log(zeros + 1) + votes @ (evidence * np.log(rate1 / rate0))
         odds = odds + (2 * start - 1) * np.log(LABEL_RIGHT / (1 - LABEL_RIGHT))
@@ -146,15 +153,23 @@ def regression(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int], go
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier, from the bounded sample of labelled rows."""
-    chosen = F.broadcast(sample(labels))  # TOXIC_ROWS + CLEAN_ROWS rows at most
+    chosen = sample(labels)
+    # a class cut to its bound counts as often as in all training labels
+    share = dict.fromkeys((0, 1), 1.0)
+    for rows, sign in ((training_labels(labels), 1), (chosen, -1)):
+        for row in rows.filter("toxic IN (0, 1)").groupBy("toxic").count().collect():
+            share[row["toxic"]] *= float(row["count"]) ** sign
+    chosen = F.broadcast(chosen)  # TOXIC_ROWS + CLEAN_ROWS rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
     seen = stored(texts.mapInArrow(_sets, "doc_id long, toxic int, terms array<long>"))
     sums = seen.agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).first()
     n, n1 = int(sums["n"]), int(sums["n1"] or 0)
     if not 0 < n1 < n:
-        share = n1 / n if n else 0.0
-        return Model(np.empty(0, np.uint64), np.empty(0), 30.0 if share else -30.0)
+        return Model(np.empty(0, np.uint64), np.empty(0), 30.0 if n1 else -30.0)
     n0 = n - n1
+    even = n / (n1 * share[1] + n0 * share[0])
+    heavy1, heavy0 = even * share[1], even * share[0]
+    base = float(np.log((n1 * heavy1 + 0.5) / (n0 * heavy0 + 0.5)))
     counts = seen.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
         F.sum("toxic").alias("k1"), (F.count("*") - F.sum("toxic")).alias("k0"))
     r1, r0 = (F.col("k1") + 0.5) / (n1 + 1), (F.col("k0") + 0.5) / (n0 + 1)
@@ -163,7 +178,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
         counts.filter(F.col("k1") + F.col("k0") >= max(3, n // 1000)).withColumn("z", (r1 - r0) / spread)
         .orderBy(F.abs("z").desc(), "term").limit(TERMS).collect())
     if not terms:
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        return Model(np.empty(0, np.uint64), np.empty(0), base)
     # a voter: frequent among toxic rows, rare among the others
     odds = lambda t: ((t["k1"] + 0.5) / (n1 + 1)) / ((t["k0"] + 0.5) / (n0 + 1))
     voters = [t["term"] for t in terms if odds(t) >= 8 and t["k1"] >= max(3, 0.01 * n1)][:VOTERS]
@@ -171,14 +186,15 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(int(k),) for k in keys.view(np.int64)], "term long"))
     rows, columns, gold = _matrix(seen, wanted, keys)
     if not len(gold):
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        return Model(np.empty(0, np.uint64), np.empty(0), base)
     place = np.full(len(keys), -1)
     place[np.searchsorted(keys, np.array(voters, np.int64).view(np.uint64))] = np.arange(len(voters))
     votes = np.zeros((len(gold), max(1, len(voters))))
     cast = place[columns] >= 0
     votes[rows[cast], place[columns[cast]]] = 1
-    goal = label_model(votes, gold) if voters else gold.astype(float)
-    weights, bias = regression(rows, columns, (len(gold), len(keys)), goal, np.ones(len(gold)))
+    weight = np.where(gold == 1, heavy1, heavy0)
+    goal = label_model(votes, gold, weight=weight) if voters else gold.astype(float)
+    weights, bias = regression(rows, columns, (len(gold), len(keys)), goal, weight)
     return Model(keys, weights, bias)
 
 
