@@ -6,11 +6,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import ann, bpe, jaccard, licenses, lm, mixing, packing, quality, toxicity, urls
+from vacantia.llm import align, ann, bpe, jaccard, licenses, lm, mixing, packing, pii, quality, spelling, toxicity, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 END_ID = 50_256  # free in this vocabulary
 PATTERN = public_tokenizers.PATTERN
+TOKENIZERS = align.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), PATTERN)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +85,19 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm.scored(docs, lm.learned(lm.training_rows(docs)))
+
+
+@query
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.found(docs, pii.learned(pii.stretches(docs)))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digests(align.aligned(table(spark, sf_dir, "documents"), TOKENIZERS))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
