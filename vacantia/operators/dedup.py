@@ -5,34 +5,89 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vacantia.functions.text import url_key
 from vacantia.schema import REFRESHED
 
 
-def _position(order: Sequence[str]):
+#: Bits of the types a position can be packed from; a timestamp's microseconds up to the year 9999 take 60.
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64, "date": 32, "timestamp": 60, "timestamp_ntz": 60}
+_MOST = 10**38  # what a 38-digit decimal can hold
+
+
+def _position(order: Sequence[str]) -> Column:
+    """The order columns as a value of the output."""
     return F.struct(*order) if len(order) > 1 else F.col(order[0])
 
 
+def _whole(name: str, kind: str) -> Column:
+    """A date or time as a whole number, whatever the session time zone."""
+    c = F.col(name)
+    if kind == "date":
+        return F.unix_date(c)
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":
+        micros = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+        return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + (F.hour(c) * 60 + F.minute(c)).cast("long") * 60_000_000 + micros
+    return c
+
+
+def packed_position(df: DataFrame, order: Sequence[str]) -> Column:
+    """One value that orders rows as the ``order`` columns do, NULL before all others.
+
+    Whole numbers, dates and times are packed into one number, which a hash aggregation can hold in
+    place; anything else (a file name) or too much of it stays a struct.
+    """
+    kinds = dict(df.dtypes)
+    widths = [2 ** _BITS.get(kinds[name], 200) + 1 for name in order]
+    total = reduce(lambda a, b: a * b, widths)
+    if total > _MOST:
+        return F.struct(*order)
+    if len(order) == 1:
+        return F.coalesce(_whole(order[0], kinds[order[0]]).cast("long"), F.lit(-(2**63)))
+    exact = lambda n: F.lit(Decimal(n)).cast("decimal(38,0)")
+    number = exact(0)
+    for name, width in zip(order, widths):
+        above = _whole(name, kinds[name]).cast("decimal(38,0)") + exact((width + 1) // 2)  # 1 for the lowest value
+        number = (number * exact(width) + F.coalesce(above, exact(0))).cast("decimal(38,0)")
+    return number.cast("long") if total < 2**63 else number
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Inner join on equal values (NULL equals NULL); of the columns only the left ones stay.
+
+    The right side is narrow, with a row for a left row at most, so its hash table is a small part of what
+    the task reads of the left side, which is streamed and never sorted.
+    """
+    renamed = right.withColumnsRenamed({name: f"_r{name}" for name in columns}).hint("shuffle_hash")
+    on = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"_r{name}")) for name in columns])
+    return left.join(renamed, on).drop(*[f"_r{name}" for name in columns])
+
+
 def distinct_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key: the first. Aggregation (not a window), so a hot key shrinks map-side."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys).agg(F.min_by(F.struct(*rest), _position(order)).alias("_row"))
-        .select(*keys, "_row.*").select(*df.columns)
-    )
+    """One row per key: the first. ``order`` has to be unique within a key.
+
+    Narrow first: the position of the first row of a key is a hash aggregation of (key, number), whose
+    partial step leaves one row per key and task; the rows themselves are met by (key, position), so that
+    a hot key's rows spread over all tasks and no text is sorted.
+    """
+    placed = df.withColumn("_at", packed_position(df, order))
+    ends = placed.groupBy(*keys).agg(F.min("_at").alias("_at"))
+    return _same(placed, ends, [*keys, "_at"]).select(*df.columns)
 
 
 def distinct_last(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row per non-blank key: the last, with ``first_pos`` = position of the first."""
-    rest = [c for c in df.columns if c != key]
-    return (
-        df.filter(F.col(key) != "").groupBy(key)
-        .agg(F.max_by(F.struct(*rest), _position(order)).alias("_row"), F.min(_position(order)).alias("first_pos"))
-        .select(key, "_row.*", "first_pos")
-    )
+    """One row per non-blank key: the last, with ``first_pos`` = position of the first. As :func:`distinct_first`."""
+    placed = df.filter(F.col(key) != "").withColumn("_at", packed_position(df, order))
+    ends = placed.groupBy(key).agg(F.max("_at").alias("_at"), F.min("_at").alias("_first"))
+    last = _same(placed, ends, [key, "_at"])
+    first = placed.select(key, F.col("_at").alias("_first"), _position(order).alias("first_pos"))
+    return _same(last, _same(first, ends.select(key, "_first"), [key, "_first"]), [key, "_first"]).select(*df.columns, "first_pos")
 
 
 def cap_per_group(df: DataFrame, cap: int | None, group: str, order: Sequence[str]) -> DataFrame:
@@ -106,19 +161,22 @@ def with_key(postings: DataFrame) -> DataFrame:
 
 
 def collapse_batch(sightings: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Sightings of one batch -> one row per ``url_hash``.
+    """Sightings of one batch -> one row per ``url_hash``. ``order`` has to be unique within a key.
 
-    url and source come from the first sighting, every refreshed field from the
-    last. Both ends are found in one aggregation whose partial step leaves one row
-    per key and task, so a URL seen a billion times shuffles one row per task.
+    url and source come from the first sighting, every refreshed field from the last. Narrow first: both
+    ends and the count are one hash aggregation of (key, number), whose partial step leaves one row per key
+    and task; the texts are then met by (key, position). A key with a third of all rows spreads over all
+    tasks there, texts are never sorted, and only the last sighting's texts go on.
     """
     at = _position(order)
-    return (
-        sightings.groupBy("url_hash").agg(
-            F.min_by(F.struct("url", "source"), at).alias("_first"),
-            F.max_by(F.struct(*REFRESHED, at.alias("last_pos")), at).alias("_last"),
-            F.min(at).alias("first_pos"),
-            F.count(F.lit(1)).alias("sightings"),
-        )
-        .select("url_hash", "_first.*", "_last.*", "first_pos", "sightings")
-    )
+    placed = sightings.withColumn("_at", packed_position(sightings, order))
+    ends = placed.groupBy("url_hash").agg(
+        F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("sightings"))
+    first = _same(
+        placed.select("url_hash", "_at", "url", "source", at.alias("first_pos")),
+        ends.select("url_hash", F.col("_first").alias("_at")), ["url_hash", "_at"]).drop("_at")
+    last = _same(
+        placed.select("url_hash", "_at", *REFRESHED, at.alias("last_pos")),
+        ends.select("url_hash", F.col("_last").alias("_at"), "sightings"), ["url_hash", "_at"]).drop("_at")
+    return last.join(first.hint("shuffle_hash"), "url_hash").select(
+        "url_hash", "url", "source", *REFRESHED, "last_pos", "first_pos", "sightings")

@@ -123,41 +123,70 @@ def ask(df: DataFrame, key: str, fn: ReplyFunction, chunk: int = 16) -> DataFram
     return df.select(key, "prompt").mapInPandas(run, f"{key} string, reply string, error string")
 
 
+#: Prompts of a wave that one task asks.
+ASKED_A_TASK = 256
+_ROW_BITS = 33  # of monotonically_increasing_id: the row within its task
+
+
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, list[tuple[int, int]], int]:
+    """``df`` in order of the key as a written table with ``_id``, the first id and size of each task, and the row count.
+
+    Ids ascend with the key; within a task they have no gaps, so a range of ordinals is a range of ids,
+    and a scan for it reads the row groups it needs. The list has an entry per task of the sort.
+    """
+    spark, path = df.sparkSession, work_dir(df.sparkSession, "queue")
+    df.select(key, "prompt").orderBy(key).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    queue = spark.read.parquet(path)
+    task = F.shiftright("_id", _ROW_BITS)
+    sizes = queue.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()
+    return queue, [(r.task << _ROW_BITS, r.n) for r in sizes], sum(r.n for r in sizes)
+
+
+def _id_at(tasks: list[tuple[int, int]], ordinal: int) -> int:
+    """The id of the row with this ordinal (from 0); one beyond all ids, if there is none."""
+    for first, n in tasks:
+        if ordinal < n:
+            return first + ordinal
+        ordinal -= n
+    return tasks[-1][0] + tasks[-1][1] if tasks else 0
+
+
 def ask_until_failing(
-    df: DataFrame, key: str, fn: ReplyFunction, max_failures: int, chunk: int = 16, most: int = 100_000,
+    df: DataFrame, key: str, fn: ReplyFunction, max_failures: int, chunk: int = 16, a_task: int = ASKED_A_TASK,
 ) -> DataFrame:
     """As :func:`ask`, but stops after ``max_failures`` failures in a row, in order of the key.
 
-    Prompts are asked in waves that are written before the next one starts. A wave is no
-    longer than failures are left to the limit, and doubles for every wave without a
-    failure (up to ``most``); so a broken service is asked ``max_failures`` times however
-    the rows are partitioned. The rows that weren't asked come back as not tried.
+    Prompts are asked in waves, ranges of ordinals that are written before the next one starts, each over as
+    many tasks as it needs. The first wave is as long as the limit; a wave that ends with an answer lets the
+    next one be twice as long; one that ends with failures is followed by a wave no longer than failures are
+    left to the limit, and an answer there brings the length back. So a broken service is asked
+    ``max_failures`` times however the rows are partitioned, and the number of waves grows with the logarithm
+    of the queue. The rows that weren't asked come back as not tried.
     """
+    queue, tasks, total = numbered(df, key)
     spark, root = df.sparkSession, work_dir(df.sparkSession, "waves")
-    queue = df.select(key, "prompt")
-    queue.write.parquet(f"{root}/queue")
-    queue = spark.read.schema(queue.schema).parquet(f"{root}/queue")
-    last, in_row, size, number = None, 0, max_failures, 0
+    asked, in_row, size, number = 0, 0, max_failures, 0
     answered: list[DataFrame] = []
-    while in_row < max_failures:
-        open_rows = queue if last is None else queue.filter(F.col(key) > last)
-        wave = open_rows.orderBy(key).limit(min(size, most))
-        ask(wave, key, fn, chunk).write.parquet(f"{root}/wave={number}")
-        done = spark.read.schema(f"{key} string, reply string, error string").parquet(f"{root}/wave={number}")
-        ends = done.agg(
-            F.count(F.lit(1)).alias("n"), F.max(key).alias("last"),
-            F.max(F.when(F.col("error").isNull(), F.col(key))).alias("good")).first()
-        if not ends["n"]:
-            break
-        # failures after the wave's last answer count on
-        after = done.filter(F.col(key) > ends["good"]).count() if ends["good"] is not None else in_row + ends["n"]
-        clean = ends["good"] is not None and after == 0
+    while asked < total and in_row < max_failures:
+        length = min(size if in_row == 0 else max_failures - in_row, total - asked)
+        first, behind = _id_at(tasks, asked), _id_at(tasks, asked + length)
+        wave = queue.filter((F.col("_id") >= first) & (F.col("_id") < behind)).select(F.col("_id").cast("string").alias("_id"), "prompt")
+        path = f"{root}/wave={number}"
+        ask(wave.repartition(-(-length // a_task)), "_id", fn, chunk).write.parquet(path)
+        done = spark.read.schema("_id string, reply string, error string").parquet(path).withColumn("_id", F.col("_id").cast("long"))
+        good = done.filter("error IS NULL").agg(F.max("_id")).first()[0]
+        # failures behind the wave's last answer count on
+        in_row = in_row + length if good is None else done.filter(F.col("_id") > good).count()
+        if good is not None and length == size:
+            size *= 2
         answered.append(done)
-        last, in_row, number = ends["last"], after, number + 1
-        size = size * 2 if clean else max(1, max_failures - in_row)
-    tried = reduce(lambda a, b: a.unionAll(b), answered) if answered else done
-    rest = queue if last is None else queue.filter(F.col(key) > last)
-    return tried.unionByName(rest.select(key, F.lit(None).cast("string").alias("reply"), F.lit(NOT_TRIED).alias("error")))
+        asked, number = asked + length, number + 1
+    rest = queue.filter(F.col("_id") >= _id_at(tasks, asked)).select(
+        key, F.lit(None).cast("string").alias("reply"), F.lit(NOT_TRIED).alias("error"))
+    if not answered:
+        return rest
+    tried = reduce(lambda a, b: a.unionAll(b), answered)
+    return queue.select(key, "_id").join(tried, "_id").select(key, "reply", "error").unionByName(rest)
 
 
 def score(

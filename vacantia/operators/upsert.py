@@ -11,33 +11,38 @@ from vacantia.schema import POSTINGS, REFRESHED
 from vacantia.sources.feeds import valid
 
 
-def upsert_postings(state: DataFrame, batch: DataFrame, now: Column, order: Sequence[str]) -> DataFrame:
-    """State after a batch of sightings, with ``is_new`` and ``sightings`` per touched key.
+def _merged(old: DataFrame, fresh: DataFrame, now: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """Old postings and collapsed sightings side by side, and the content of each posting after them.
 
-    A known key keeps url, source, status and first_seen_at; the other content is
-    refreshed. One full outer join on the (unique on both sides) key.
+    A known key keeps url, source and first_seen_at; the other content is refreshed. One full outer join
+    on the (unique on both sides) key.
     """
-    fresh = collapse_batch(with_key(valid(batch)), order).withColumn("_seen", F.lit(True))
-    old = state.select("url_hash", F.struct(*[f.name for f in POSTINGS if f.name != "url_hash"]).alias("o"))
-    both = old.join(fresh, "url_hash", "full_outer")
+    kept = [f.name for f in POSTINGS if f.name in old.columns and f.name != "url_hash"]
+    both = old.select("url_hash", F.struct(*kept).alias("o")).join(fresh.withColumn("_seen", F.lit(True)), "url_hash", "full_outer")
     known, seen = F.col("o").isNotNull(), F.col("_seen").isNotNull()
+    first = {"url": F.col("url"), "source": F.col("source"), "first_seen_at": now}
+    values = {name: F.when(seen, F.col(name)).otherwise(F.col(f"o.{name}")) for name in REFRESHED}
+    values |= {name: F.when(known, F.col(f"o.{name}")).otherwise(new) for name, new in first.items()}
+    values |= {"url_hash": F.col("url_hash"), "last_seen_at": F.when(seen, now).otherwise(F.col("o.last_seen_at"))}
+    return both, values
+
+
+def merged(old: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
+    """Postings without their status after a batch of collapsed sightings."""
+    both, values = _merged(old, fresh, now)
+    return both.select(*[values[f.name].alias(f.name) for f in POSTINGS if f.name != "status"])
 
-    def kept(name: str, new: Column) -> Column:
-        return F.when(known, F.col(f"o.{name}")).otherwise(new).alias(name)
 
-    def refreshed(name: str) -> Column:
-        return F.when(seen, F.col(name)).otherwise(F.col(f"o.{name}")).alias(name)
+def upsert_postings(state: DataFrame, batch: DataFrame, now: Column, order: Sequence[str]) -> DataFrame:
+    """State after a batch of sightings, with ``is_new`` and ``sightings`` per touched key; a new key's status is new.
 
-    values = {name: refreshed(name) for name in REFRESHED} | {
-        "url_hash": F.col("url_hash"),
-        "url": kept("url", F.col("url")),
-        "source": kept("source", F.col("source")),
-        "status": kept("status", F.lit("new")),
-        "first_seen_at": kept("first_seen_at", now),
-        "last_seen_at": F.when(seen, now).otherwise(F.col("o.last_seen_at")).alias("last_seen_at"),
-    }
+    For tables that aren't kept in buckets; a run merges by bucket (:func:`vacantia.plans.daily.upsert_batch`).
+    """
+    both, values = _merged(state, collapse_batch(with_key(valid(batch)), order), now)
+    known, seen = F.col("o").isNotNull(), F.col("_seen").isNotNull()
+    values["status"] = F.when(known, F.col("o.status")).otherwise("new")
     return both.select(
-        *[values[f.name] for f in POSTINGS],
+        *[values[f.name].alias(f.name) for f in POSTINGS],
         F.when(seen, ~known).alias("is_new"),
         F.coalesce("sightings", F.lit(0)).alias("sightings"),
     )
@@ -70,7 +75,7 @@ def upsert_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def status_on_match(postings: DataFrame, new_matches: DataFrame) -> DataFrame:
-    """``new`` -> ``skipped``/``matched`` for rows scored now; other states stay."""
+    """``new`` -> ``skipped``/``matched`` for rows scored now; other states stay. A (url_hash, status) table is enough."""
     scored = new_matches.select("url_hash", F.col("hard_filtered").alias("_filtered"))
     moved = F.when(F.col("_filtered"), "skipped").otherwise("matched")
     status = F.when((F.col("status") == "new") & F.col("_filtered").isNotNull(), moved).otherwise(F.col("status"))
@@ -92,7 +97,7 @@ def set_status(postings: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def mark_queued(postings: DataFrame, reported: DataFrame) -> DataFrame:
-    """``queued_for_review`` for every reported key."""
+    """``queued_for_review`` for every reported key. A (url_hash, status) table is enough."""
     keys = reported.select("url_hash", F.lit(True).alias("_reported"))
     joined = postings.join(keys, "url_hash", "left")
     status = F.when(F.col("_reported"), "queued_for_review").otherwise(F.col("status"))

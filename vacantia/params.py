@@ -180,18 +180,28 @@ _CONFIG_PATHS = {
     "cache_ttl_days": "salary.cache_ttl_days",
     "search_words": "search.keywords",
     "per_source_cap": "search.results_per_source_per_run",
+    "max_pages": "search.max_pages",
+    "min_description_chars": "search.min_description_chars",
+    "role_text_chars": "matching.role_text_chars",
+    "max_failures_in_row": "matching.max_failures_in_row",
 }
+# a configuration that doesn't name these means the fixed values; NULL means no cut
+_FIXED_CUTS = ("max_pages", "min_description_chars", "role_text_chars", "max_failures_in_row")
 
 
 def params_from_config(config: dict[str, Any]) -> Params:
     """Parameters from a nested mapping; keys that are absent keep their default."""
-    found: dict[str, Any] = {}
+    found: dict[str, Any] = {name: CUTS[name] for name in _FIXED_CUTS}
     for name, path in _CONFIG_PATHS.items():
         node: Any = config
-        for key in path.split("."):
+        *folders, last = path.split(".")
+        for key in folders:
             node = node.get(key) if isinstance(node, dict) else None
-        if node is not None:
-            found[name] = tuple(node) if isinstance(node, list) else node
+        if not isinstance(node, dict) or last not in node:
+            continue
+        value = node[last]
+        if value is not None or name in _FIXED_CUTS:
+            found[name] = tuple(value) if isinstance(value, list) else value
     # a configuration without a mode means the model scorer
     found["mode"] = (config.get("matching") or {}).get("mode", "llm")
     if "sources" in config:

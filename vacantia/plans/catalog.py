@@ -4,13 +4,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vacantia import params as P
 from vacantia.functions import html_pages, report, rules, salary, text as X, variant as V
 from vacantia.operators import dedup, enrich, plugins, ranking, upsert, verdicts
 from vacantia.params import Params
-from vacantia.plans.daily import score_queue, stage, ts
+from vacantia.plans.daily import score_queue, stage, ts, upsert_batch
 from vacantia.plans.views import spread, table, view
 from vacantia.schema import CANONICAL, MATCHES, MATCH_COLUMNS, POSTINGS, SALARIES, SALARY_CACHE
 from vacantia.sources import feeds, fx as FX, registry, state as S
@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PARAMS = Params(**P.CUTS)   # the queries show the cuts; a run has none unless asked
 ARRIVAL = ["seen_at", "ord"]
+LANDED_PAGE = 20_000   # sightings a landed page spans
 SPLIT_DAY = "1996-01-01 00:00:00"   # sightings before it are the first batch
 FIRST_RUN = "1996-01-01 00:00:00"
 SECOND_RUN = "2001-08-15 00:00:00"
@@ -137,12 +138,46 @@ def src_remoteok(spark, sf):
     return feeds.normalise(recs, "remoteok").select("ord", *FEED_COLUMNS)
 
 
+ANY_TITLE = PARAMS.with_(search_words=("",), per_source_cap=None, max_pages=None)
+
+
+def landing(spark: SparkSession, sf: str, *names: str) -> str:
+    """The raw records of sources written as their payload files, as a client would land them.
+
+    A file holds the records of one search and page, in order; records cut off while they were sent make a
+    file of their own in JSON, and stand among the others in RSS.
+    """
+    root = work_dir(spark, "landing")
+    for name in names:
+        rows = view(spark, sf, f"raw_{name}" if name in feeds.RECORD_KEY else "raw_rss").withColumn(
+            "page", F.floor(c("ord") / LANDED_PAGE).cast("int"))
+        if name in feeds.RECORD_KEY:
+            key = feeds.RECORD_KEY[name]
+            rows = rows.withColumn("part", F.when(F.try_parse_json("raw").isNull(), "cut").otherwise("whole"))
+            head, gap, tail = ("[", ",", "]") if key is None else (f'{{"{key}":[', ",", "]}")
+        else:
+            rows = rows.withColumn("part", F.lit("whole")).withColumnRenamed("item_xml", "raw")
+            head, gap, tail = "<rss><channel>", "\n", "</channel></rss>"
+        files = rows.groupBy("keyword_ord", "page", "part").agg(F.array_sort(F.collect_list(F.struct("ord", "raw"))).alias("r"))
+        text = F.concat(F.lit(head), F.array_join("r.raw", gap), F.lit(tail)).alias("value")
+        files.select("keyword_ord", "page", "part", text).write.partitionBy("keyword_ord", "page", "part").text(f"{root}/{name}")
+    return root
+
+
 @query
 def src_weworkremotely(spark, sf):
     items = feeds.parse_rss(view(spark, sf, "raw_rss"), "item_xml")
     return feeds.weworkremotely(items).select("ord", *FEED_COLUMNS)
 
 
+@query
+def landed_rss(spark, sf):
+    path = f"{landing(spark, sf, 'weworkremotely')}/weworkremotely"
+    rows = feeds.parsed(feeds.read_landed(spark, "weworkremotely", path), "weworkremotely", ANY_TITLE).filter("error IS NULL")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("pos"))
+    return rows.select("keyword_ord", "page", place.alias("place"), *FEED_COLUMNS)
+
+
 @query
 def src_jsearch(spark, sf):
     return _source(spark, sf, "jsearch")
@@ -175,24 +210,33 @@ def union_sources(spark, sf):
     found = {feed: feeds.normalise(df, feed) for feed, df in recs.items()}
     found["weworkremotely"] = feeds.weworkremotely(feeds.parse_rss(view(spark, sf, "raw_rss"), "item_xml"))
     narrow = {name: df.select("ord", *FEED_COLUMNS) for name, df in found.items()}
-    return registry.union_sources(narrow, PARAMS).select("ord", "source_ord", "source", "title", "company", "url", "remote_type")
+    return registry.union_sources(narrow, PARAMS).select(
+        "ord", c("source_ord").cast("int").alias("source_ord"), "source", "title", "company", "url", "remote_type")
+
+
+@query
+def landed_sources(spark, sf):
+    found, _ = registry.ingest_sources(spark, landing(spark, sf, *ANY_TITLE.enabled_sources), ANY_TITLE)
+    return found.select(c("source_ord").cast("int").alias("source_ord"), "source", "title", "company", "url", "remote_type")
 
 
 @query
 def quarantine(spark, sf):
-    payloads = view(spark, sf, "raw_himalayas").withColumnRenamed("raw", "value")
-    rec = X.computed_once(F.try_parse_json("value"))
-    parsed = payloads.withColumn("rec", rec)
-    broken = parsed.filter("rec IS NULL").withColumn("error", F.lit("invalid JSON"))
-    recs = parsed.filter("rec IS NOT NULL").drop("value")
-    _, incomplete = feeds.split_bad(feeds.normalise(recs, "himalayas"))
-    return broken.select("ord", "error").unionByName(incomplete.select("ord", "error"))
+    names = ("himalayas", "weworkremotely")
+    _, rejects = registry.ingest_sources(spark, landing(spark, sf, *names), ANY_TITLE.with_(enabled_sources=names))
+    asked = [F.regexp_extract("file", f"/{name}=([^/]+)/", 1).cast("int").alias(name) for name in ("keyword_ord", "page")]
+    # the place of an RSS item is an offset, which only its order means
+    return rejects.select("source", *asked, F.when(c("source") == "himalayas", c("pos")).alias("pos"), "error")
 
 
 @query
 def state_read(spark, sf):
+    # both batches as runs upsert them, by bucket
     root = work_dir(spark, "state_read")
-    S.write_state(_tables(spark, sf) | {"postings": state2(spark, sf)}, root, SECOND_RUN)
+    for rows, now in zip(batches(spark, sf), (FIRST_RUN, SECOND_RUN)):
+        new = S.Generation(spark, root)
+        upsert_batch(new, rows, ARRIVAL, ts(now))
+        new.commit(now)
     return S.read_state(spark, root)["postings"]
 
 
@@ -207,8 +251,7 @@ def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 def state_write(spark, sf):
     root = work_dir(spark, "state_write")
     S.write_state(_tables(spark, sf), root, FIRST_RUN)
-    current = S.read_state(spark, root)
-    S.write_state(current | {"postings": state2(spark, sf)}, root, SECOND_RUN)
+    S.write_state({"postings": state2(spark, sf)}, root, SECOND_RUN)   # the other tables keep their files
     current = S.read_state(spark, root)
     counts = [
         current[name].agg(F.count(F.lit(1)).alias("stored")).select(F.lit(name).alias("state_table"), "stored")
@@ -272,7 +315,7 @@ def keyword_exclude(spark, sf):
 
 @query
 def product_role_gate(spark, sf):
-    words = sightings(spark, sf).select("ord", rules.role_text(c("title"), c("description")).alias("words"))
+    words = sightings(spark, sf).select("ord", rules.role_text(c("title"), c("description"), PARAMS).alias("words"))
     return words.select("ord", rules.is_product_role(c("words"), PARAMS).alias("is_product_role"))
 
 
@@ -442,7 +485,9 @@ def posting_lookup(spark, sf):
     wanted = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'")
     url = F.concat(F.lit("https://jobs.example.com/j/"), c("c_custkey"))
     keys = wanted.select(X.url_key(url).alias("url_hash"))
-    return S.lookup(state2(spark, sf), keys).select("url_hash", "url", "title", "status")
+    root = work_dir(spark, "posting_lookup")
+    S.write_state({"postings": state2(spark, sf)}, root, SECOND_RUN)
+    return S.lookup(S.snapshot(spark, root), keys).select("url_hash", "url", "title", "status")
 
 
 # ---- aggregations -------------------------------------------------------------
@@ -475,8 +520,8 @@ def digest_totals(spark, sf):
 
 @query
 def distinct_url_first(spark, sf):
-    rows = sightings(spark, sf).select("url", "ord", (c("ord") % 4).alias("keyword_ord"), "title", "source")
-    return dedup.distinct_first(rows, ["url"], ["keyword_ord", "ord"])
+    rows = sightings(spark, sf).select("url", "ord", (c("ord") % 4).cast("int").alias("keyword_ord"), "title", "source")
+    return dedup.distinct_first(rows, ["url"], ["keyword_ord", "ord"]).withColumn("keyword_ord", c("keyword_ord").cast("bigint"))
 
 
 @query
@@ -704,7 +749,7 @@ def status_on_match(spark, sf):
     postings = second.drop("is_new", "sightings")
     old = score_queue(first, empty(spark, MATCHES), ts(FIRST_RUN), PARAMS)
     new = score_queue(postings, old, ts(SECOND_RUN), PARAMS)
-    return upsert.status_on_match(postings, new).select("url_hash", "status")
+    return upsert.status_on_match(postings.select("url_hash", "status"), new)
 
 
 @query
@@ -720,7 +765,7 @@ def cache_upsert(spark, sf):
 @query
 def mark_queued(spark, sf):
     state = run_state(spark, sf, 2)
-    return upsert.mark_queued(state["postings"], ranking.report_rows(state, PARAMS)).select("url_hash", "status")
+    return upsert.mark_queued(state["postings"].select("url_hash", "status"), ranking.report_rows(state, PARAMS))
 
 
 @query
@@ -730,7 +775,7 @@ def set_status(spark, sf):
     url = F.concat(F.lit("https://jobs.example.com/j/"), c("c_custkey"))
     changes = people.select(
         X.url_key(url).alias("url_hash"), F.when(c("c_acctbal") < 0, "rejected").otherwise("applied").alias("status"))
-    return upsert.set_status(state2(spark, sf), changes).select("url_hash", "status")
+    return upsert.set_status(state2(spark, sf).select("url_hash", "status"), changes)
 
 
 # ---- report -----------------------------------------------------------------------

@@ -427,19 +427,33 @@ def all_checks() -> dict[str, str]:
 
     for name, (raw, ctes) in FEEDS.items():
         out[f"src_{name}"] = f"{check_views(raw)},\n{ctes}\nSELECT * FROM {name}"
+    page = "CAST(floor(ord / 20000) AS INTEGER)"
     out["src_weworkremotely"] = f"{check_views('raw_rss')},\n{_rss()}\nSELECT * FROM weworkremotely"
+    out["landed_rss"] = f"""{check_views('raw_rss')},\n{_rss()}\nSELECT CAST(ord % 4 AS INTEGER) AS keyword_ord, {page} AS page,
+ CAST(row_number() OVER (PARTITION BY ord % 4, {page} ORDER BY ord) AS INTEGER) AS place, * EXCLUDE (ord) FROM weworkremotely"""
     enabled = [("himalayas", 0), ("remoteok", 1), ("weworkremotely", 2), ("arbeitnow", 5)]
     out["union_sources"] = (
         check_views("raw_himalayas", "raw_remoteok", "raw_rss", "raw_arbeitnow") + ",\n"
         + ",\n".join(FEEDS[n][1] for n in ("himalayas", "remoteok", "arbeitnow")) + f",\n{_rss()}\n"
         + " UNION ALL ".join(f"SELECT ord, {i} AS source_ord, source, title, company, url, remote_type FROM {n}" for n, i in enabled)
     )
+    out["landed_sources"] = (
+        check_views("raw_himalayas", "raw_remoteok", "raw_rss", "raw_arbeitnow") + ",\n"
+        + ",\n".join(FEEDS[n][1] for n in ("himalayas", "remoteok", "arbeitnow")) + f",\n{_rss()},\n"
+        + f"first_of AS (SELECT * FROM himalayas WHERE company IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord % 4, {page}, ord) = 1)\n"
+        + " UNION ALL ".join(
+            f"SELECT {i} AS source_ord, source, title, company, url, remote_type FROM {'first_of' if n == 'himalayas' else n} WHERE title IS NOT NULL" for n, i in enabled)
+    )
     out["page_cutoff"] = f"""{S}, p AS (SELECT CAST(floor(ord / 500) AS BIGINT) AS run, CAST(floor(ord % 500 / 50) AS INTEGER) + 1 AS page FROM sightings),
 g AS (SELECT run, page, count(*) FILTER (WHERE NOT (run % 5 = 0 AND page = 2)) AS n_jobs, CASE run % 3 WHEN 0 THEN 2 WHEN 2 THEN 5 END AS last_page FROM p GROUP BY run, page)
 SELECT * FROM g a WHERE page <= 3 AND NOT EXISTS (SELECT 1 FROM g b WHERE b.run = a.run AND b.page <= a.page AND b.n_jobs = 0)
  AND NOT EXISTS (SELECT 1 FROM g b WHERE b.run = a.run AND b.page < a.page AND b.page >= b.last_page)"""
-    out["quarantine"] = f"""{check_views('raw_himalayas')} SELECT ord, 'invalid JSON' AS error FROM raw_himalayas WHERE NOT json_valid(raw)
-UNION ALL SELECT ord, 'company is null' FROM raw_himalayas WHERE json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END, '$.companyName') = 'NULL'"""
+    out["quarantine"] = f"""{check_views('raw_himalayas', 'raw_rss')},
+placed AS (SELECT *, row_number() OVER (PARTITION BY ord % 4, {page} ORDER BY ord) - 1 AS pos FROM raw_himalayas WHERE json_valid(raw)),
+bad AS (SELECT DISTINCT 'himalayas' AS source, ord % 4 AS k, {page} AS page, CAST(NULL AS BIGINT) AS pos, 'invalid JSON' AS error FROM raw_himalayas WHERE NOT json_valid(raw)
+ UNION ALL SELECT 'himalayas', ord % 4, {page}, pos, 'company is null' FROM placed WHERE json_type(raw, '$.companyName') = 'NULL'
+ UNION ALL SELECT 'weworkremotely', ord % 4, {page}, NULL, 'unreadable RSS item' FROM raw_rss WHERE item_xml NOT LIKE '%</item>')
+SELECT source, CAST(k AS INTEGER) AS keyword_ord, page, pos, error FROM bad"""
     out["state_read"] = f"{ST} SELECT {POST} FROM st2"
     out["state_write"] = f"""{STC} SELECT 'postings' AS state_table, count(*) AS stored, 2 AS generation FROM st2 UNION ALL SELECT 'matches', count(*), 2 FROM st1
 UNION ALL SELECT 'salaries', 0, 2 UNION ALL SELECT 'salary_lookup_cache', count(*), 2 FROM cache"""

@@ -30,39 +30,59 @@ REMOTEOK_URL = "https://remoteok.com/remote-jobs/"
 ADZUNA_COUNTRIES = ("in", "gb", "us")
 # --- end of fixed values ---
 
-#: Longer texts without a record list aren't parsed again to name their fault.
-LARGEST_CHECKED = 10_000_000
 _PARTITIONS = {"country": "string", "keyword_ord": "int", "page": "int"}
+#: What a landed file or record gives, beside the canonical columns: where it lay, and why it can't be used.
+ARRIVED = ["file", *_PARTITIONS, "pos"]
 
 
-def read_payloads(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """One row per landed file: text, path, and the request columns (NULL if not in the path)."""
-    reader = spark.readStream if streaming else spark.read
-    files = reader.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-    df = files.load(path).select("value", F.col("_metadata.file_path").alias("file"))
+def _requested(df: DataFrame) -> DataFrame:
+    """The request columns a file's path names; NULL if it doesn't."""
     for name, dtype in _PARTITIONS.items():
         found = F.nullif(F.regexp_extract("file", f"/{name}=([^/]+)/", 1), F.lit(""))
         df = df.withColumn(name, found.cast(dtype))
     return df
 
 
-def split_payloads(payloads: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
-    """Read the records of ``value`` into ``items``, one VARIANT each; set the rest aside with an error.
+def read_payloads(spark: SparkSession, path: str | list[str], streaming: bool = False) -> DataFrame:
+    """One row per landed file: text, path, and the request columns (NULL if not in the path)."""
+    reader = spark.readStream if streaming else spark.read
+    files = reader.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+    return _requested(files.load(path).select("value", F.col("_metadata.file_path").alias("file")))
+
+
+def read_items(spark: SparkSession, path: str | list[str], streaming: bool = False) -> DataFrame:
+    """One row per piece of a landed RSS file that ends with an item, with the offset its split begins at.
 
-    The text is parsed once, record by record: only a single record, not a whole file,
-    has to fit in a VARIANT.
+    The text is cut at the end tags while it is read, so a file of any size is read by many tasks.
     """
+    reader = spark.readStream if streaming else spark.read
+    pieces = reader.format("text").option("lineSep", "</item>").option("recursiveFileLookup", True).load(path)
+    return _requested(pieces.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")))
+
+
+def read_landed(spark: SparkSession, feed: str, path: str | list[str], streaming: bool = False) -> DataFrame:
+    return (read_payloads if feed in RECORD_KEY else read_items)(spark, path, streaming)
+
+
+def _items_of(value: str, feed: str) -> Column:
+    """The records of a payload, one VARIANT each; NULL if there is no record list. The text is parsed once,
+    record by record: only a single record, not a whole file, has to fit in a VARIANT."""
     key = RECORD_KEY[feed]
     if key is None:
-        items = F.from_json("value", "array<variant>")
-    else:
-        items = F.from_json("value", f"{key} array<variant>")[key]
-    parsed = payloads.withColumn("items", computed_once(items))
-    good = parsed.filter("items IS NOT NULL").drop("value")
+        return F.from_json(value, "array<variant>")
+    return F.from_json(value, f"{key} array<variant>")[key]
+
+
+def _payload_error(value: str) -> Column:
     # valid JSON without the record list (an error page, a changed envelope) isn't called invalid
-    known = F.coalesce(F.length("value") <= LARGEST_CHECKED, F.lit(True))
-    error = F.when(known & F.try_parse_json("value").isNull(), "invalid JSON").otherwise("no readable record list")
-    return good, parsed.filter("items IS NULL").drop("items").withColumn("error", error)
+    return F.when(F.get_json_object(value, "$").isNull(), "invalid JSON").otherwise("no readable record list")
+
+
+def split_payloads(payloads: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
+    """Read the records of ``value`` into ``items``; set payloads without records aside with an error."""
+    parsed = payloads.withColumn("items", computed_once(_items_of("value", feed)))
+    good = parsed.filter("items IS NOT NULL").drop("value")
+    return good, parsed.filter("items IS NULL").drop("items").withColumn("error", _payload_error("value"))
 
 
 def records(payloads: DataFrame, feed: str) -> DataFrame:
@@ -71,6 +91,40 @@ def records(payloads: DataFrame, feed: str) -> DataFrame:
     return payloads.select(*kept, F.posexplode("items").alias("pos", "rec"))
 
 
+def parsed(landed: DataFrame, feed: str, params: Params) -> DataFrame:
+    """What was landed, in one pass: the arrival and canonical columns of every record that the searches
+    want, and ``error`` for a record, or a file as a whole (without a position), that can't be used."""
+    return parsed_items(landed, params) if feed not in RECORD_KEY else parsed_payloads(landed, feed, params)
+
+
+def parsed_payloads(payloads: DataFrame, feed: str, params: Params) -> DataFrame:
+    read = payloads.withColumn("items", computed_once(_items_of("value", feed)))
+    read = read.withColumn("error", F.when(F.col("items").isNull(), _payload_error("value")))
+    kept = [c for c in payloads.columns if c != "value"]
+    recs = read.select(*kept, "error", F.posexplode_outer("items").alias("pos", "rec")).filter("error IS NOT NULL OR pos IS NOT NULL")
+    recs = searched(recs, feed, params, keep=F.col("error").isNotNull())
+    return normalise(recs, feed).withColumn("error", F.coalesce("error", _incomplete())).select(*ARRIVED, *CANONICAL, "error")
+
+
+def parsed_items(pieces: DataFrame, params: Params) -> DataFrame:
+    """A piece is one item and what stands before it. An item that isn't closed before the next one
+    begins, or before the channel ends, is unreadable.
+
+    Items take at least as many bytes as they count, so the offset of a split plus the number of the
+    piece within its task orders the items of a file, however it was split.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    parts = pieces.withColumn("pos", F.col("start") + row).select(
+        "file", *_PARTITIONS, "pos", F.split("value", r"(?=<item[\s>/])").alias("parts"))
+    cut = parts.select("*", F.posexplode("parts").alias("n", "part")).filter(F.col("part").startswith("<item"))
+    closed = (F.col("n") == F.size("parts") - 1) & ~F.col("part").contains("</channel>")
+    items = parse_rss(cut.withColumn("xml", F.when(closed, F.concat("part", F.lit("</item>")))), "xml").drop("parts", "n", "part")
+    broken = F.col("item").isNull() | F.col("item._corrupt_record").isNotNull()
+    items = items.withColumn("error", F.when(broken, "unreadable RSS item"))
+    wanted = searched_rss(items, params, keep=F.col("error").isNotNull())
+    return weworkremotely(wanted, every=True).withColumn("error", F.coalesce("error", _incomplete())).select(*ARRIVED, *CANONICAL, "error")
+
+
 # ---- normalisers: fields of a record -> canonical columns -------------------
 
 def _salary(low: Column, high: Column, currency: Column, period: Column) -> Column:
@@ -209,28 +263,35 @@ def normalise(recs: DataFrame, feed: str) -> DataFrame:
     return canonical(read, columns, keep=[c for c in recs.columns if c != "rec"])
 
 
-def jobs_only(recs: DataFrame) -> DataFrame:
+def jobs_only(recs: DataFrame, keep: Column | None = None) -> DataFrame:
     """RemoteOK only: drop the leading notice and entries without a position."""
     read, f = V.with_fields(recs, "rec", ["legal", "position"])
-    return read.filter(f["legal"].missing & f["position"].truthy()).select(*recs.columns)
+    return read.filter(_or_kept(f["legal"].missing & f["position"].truthy(), keep)).select(*recs.columns)
 
 
-def searched(recs: DataFrame, feed: str, params: Params) -> DataFrame:
-    """Client-side keyword search for the feeds that cannot search themselves."""
+def _or_kept(wanted: Column, keep: Column | None) -> Column:
+    return wanted if keep is None else keep | wanted
+
+
+def searched(recs: DataFrame, feed: str, params: Params, keep: Column | None = None) -> DataFrame:
+    """Client-side keyword search for the feeds that cannot search themselves; rows to ``keep`` stay anyway."""
     rec = F.col("rec")
     if feed == "remoteok":
         tags = F.concat_ws(" ", V.array(rec, "tags", "string"))
         wanted = F.concat_ws(" ", text_or_empty(F.try_variant_get(rec, "$.position", "string")), tags)
-        return jobs_only(recs).filter(matches_any(wanted, params.search_words))
+        return jobs_only(recs, keep).filter(_or_kept(matches_any(wanted, params.search_words), keep))
     if feed == "arbeitnow":
-        return recs.filter(matches_any(F.try_variant_get(rec, "$.title", "string"), params.search_words))
+        return recs.filter(_or_kept(matches_any(F.try_variant_get(rec, "$.title", "string"), params.search_words), keep))
     return recs
 
 
+def _incomplete() -> Column:
+    return F.when(F.col("title").isNull(), "title is null").when(F.col("company").isNull(), "company is null")
+
+
 def split_bad(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Set aside records that lack a required field, each with its error; keep the rest."""
-    error = F.when(F.col("title").isNull(), "title is null").when(F.col("company").isNull(), "company is null")
-    marked = postings.withColumn("error", error)
+    marked = postings.withColumn("error", _incomplete())
     return marked.filter("error IS NULL").drop("error"), marked.filter("error IS NOT NULL")
 
 
@@ -264,8 +325,8 @@ def split_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items.filter(~broken), bad
 
 
-def weworkremotely(items: DataFrame) -> DataFrame:
-    """Canonical postings of readable RSS items (see :func:`split_items`). The title reads "Company: Title"."""
+def weworkremotely(items: DataFrame, every: bool = False) -> DataFrame:
+    """Canonical postings of readable RSS items (see :func:`split_items`), or of every one. The title reads "Company: Title"."""
     item = F.col("item")
     split = items.withColumn("_split", split_title(item["title"]))
     columns = {
@@ -280,11 +341,11 @@ def weworkremotely(items: DataFrame) -> DataFrame:
         "raw": F.to_json(item),
     }
     kept = [c for c in items.columns if c != "item"]
-    return canonical(split.filter(item["_corrupt_record"].isNull()), columns, keep=kept)
+    return canonical(split if every else split.filter(item["_corrupt_record"].isNull()), columns, keep=kept)
 
 
-def searched_rss(items: DataFrame, params: Params) -> DataFrame:
-    return items.filter(matches_any(F.col("item.title"), params.search_words))
+def searched_rss(items: DataFrame, params: Params, keep: Column | None = None) -> DataFrame:
+    return items.filter(_or_kept(matches_any(F.col("item.title"), params.search_words), keep))
 
 
 def with_page_text(postings: DataFrame, pages: DataFrame, params: Params = Params()) -> DataFrame:

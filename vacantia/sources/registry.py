@@ -3,48 +3,127 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vacantia.operators.dedup import distinct_first, distinct_last
+from vacantia.operators import dedup
 from vacantia.params import Params
 from vacantia.schema import CANONICAL
 from vacantia.sources import feeds
+from vacantia.sources.workdir import work_dir
 
 # --- Fixed values: arrival order of the sources ---
 SOURCE_ORDER = ("himalayas", "remoteok", "weworkremotely", "jsearch", "adzuna", "arbeitnow")
 # which record of a URL that several keyword searches found counts
-FIRST_OF_URL = ("himalayas", "jsearch")
-LAST_OF_URL = ("adzuna",)
+FIRST_OF_URL = ("himalayas",)
+LAST_OF_URL = ("jsearch", "adzuna")
 # --- end of fixed values ---
 
-ARRIVAL = ("keyword_ord", "page", "file", "pos")
-REJECTS = "source string, file string, pos int, error string"
+#: A posting's place among those of its source: the rank of its file, and its place in the file.
+ARRIVAL = ("file_ord", "pos")
+REJECTS = "source string, file string, pos long, error string"
 
 
-def landed_source(spark: SparkSession, name: str, path: str, params: Params, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def ranked_files(rows: DataFrame) -> DataFrame:
+    """(file, file_ord, round): files in the order they were asked for, and the search each answers.
+
+    One row per landed file, a list that Spark's own scan holds on the driver as well.
+    """
+    files = rows.select("file", "country", "keyword_ord", "page").distinct()
+    country = F.array_position(F.array(*[F.lit(x) for x in feeds.ADZUNA_COUNTRIES]), F.col("country"))
+    search = [country, F.col("keyword_ord")]
+    return files.select(
+        "file", F.row_number().over(Window.orderBy(*search, "page", "file")).alias("file_ord"),
+        F.dense_rank().over(Window.orderBy(*search)).alias("round"))
+
+
+def read_pages(payloads: DataFrame) -> DataFrame:
+    """(page, n_jobs, last_page) of the payloads of a paged feed."""
+    envelope = F.from_json("value", "data array<variant>, meta struct<last_page: bigint>")
+    read = payloads.select("page", envelope.alias("e"))
+    return read.groupBy("page").agg(
+        F.sum(F.greatest(F.size(F.coalesce("e.data", F.array())), F.lit(0))).alias("n_jobs"), F.max("e.meta.last_page").alias("last_page"))
+
+
+def settled(rows: DataFrame, name: str, params: Params, page_texts: DataFrame | None = None, listing: DataFrame | None = None) -> DataFrame:
+    """Postings of a source's parsed rows with their arrival columns, cut and de-duplicated as the source asks for.
+
+    ``page_texts`` (url, main_text) fills in short RSS descriptions; ``listing`` (:func:`read_pages`) tells
+    where a paged feed ends. The limits act only where the parameters set them.
+    """
+    found = rows.filter("error IS NULL").join(ranked_files(rows), "file")
+    if name == "weworkremotely" and page_texts is not None:
+        found = feeds.with_page_text(found, page_texts, params)
+    if listing is not None and params.max_pages is not None:
+        read = dedup.page_cutoff(listing.withColumn("run", F.lit(0)), "run", params.max_pages)
+        found = found.join(read.select("page"), "page", "left_semi")
+    cap = params.per_source_cap
+    columns = [*ARRIVAL, "file", *CANONICAL]
+    if name in FIRST_OF_URL + LAST_OF_URL:
+        keep = "first" if name in FIRST_OF_URL else "last"
+        if cap is not None:
+            placed = found.withColumns({"all": F.lit(0), "at": dedup.packed_position(found, ARRIVAL)})
+            found = dedup.cap_by_round(placed, cap, "all", "url", "round", "at", keep)
+        elif keep == "first":
+            found = dedup.distinct_first(found, ["url"], ARRIVAL)
+        else:
+            found = dedup.distinct_last(found, "url", ARRIVAL)
+    elif cap is not None:
+        found = dedup.cap_per_group(found.withColumn("all", F.lit(0)), cap, "all", ARRIVAL)
+    return found.select(*columns)
+
+
+def rejects_of(rows: DataFrame, name: str) -> DataFrame:
+    return rows.filter("error IS NOT NULL").select(F.lit(name).alias("source"), "file", F.col("pos").cast("long"), "error")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    path = work_dir(df.sparkSession, "landed")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _readable(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """(files that can be read to their end, the others as rejects): names only, as a scan lists them."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))
+    texts = spark.read.format("text").options(wholetext=True, recursiveFileLookup=True, ignoreCorruptFiles=True).load(path)
+    whole = staged(texts.select(F.col("_metadata.file_path").alias("file"), F.length("value").alias("n")))
+    bad = every.join(whole, "file", "left_anti")
+    return [r.file for r in whole.collect()], bad.select("file", F.lit(None).cast("long").alias("pos"), F.lit("unreadable file").alias("error"))
+
+
+def landed_source(
+    spark: SparkSession, name: str, path: str, params: Params, pages: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(canonical postings with their arrival columns, rejects) of one source's folder.
 
-    Runs the searches and de-duplicates across keywords as the source asks for.
-    ``pages`` (url, main_text) fills in short RSS descriptions.
+    The folder is read once, into a written table. If reading fails, the files that can't be read to
+    their end become rejects and the others are read.
     """
-    if name == "weworkremotely":
-        good, bad = feeds.split_items(feeds.read_rss(spark, path).withColumn("file", F.input_file_name()))
-        found = feeds.weworkremotely(feeds.searched_rss(good, params))
-        found = found if pages is None else feeds.with_page_text(found, pages, params)
-        arrival = {"keyword_ord": "int", "page": "int", "pos": "int"}
-        found = found.select("file", *[F.lit(None).cast(t).alias(c) for c, t in arrival.items()], *CANONICAL)
-        return found, bad.select(F.lit(name).alias("source"), "file", F.lit(None).cast("int").alias("pos"), "error")
-    good, broken = feeds.split_payloads(feeds.read_payloads(spark, path), name)
-    recs = feeds.searched(feeds.records(good, name), name, params)
-    found, incomplete = feeds.split_bad(feeds.normalise(recs, name))
-    found = found.select(*ARRIVAL, *CANONICAL)
-    if name in FIRST_OF_URL:
-        found = distinct_first(found, ["url"], ARRIVAL)
-    elif name in LAST_OF_URL:
-        found = distinct_last(found, "url", ARRIVAL).select(*found.columns)
-    rejects = broken.select("file", F.lit(None).cast("int").alias("pos"), "error").unionByName(incomplete.select("file", "pos", "error"))
-    return found, rejects.select(F.lit(name).alias("source"), "file", "pos", "error")
+    broken = None
+    try:
+        rows = staged(feeds.parsed(feeds.read_landed(spark, name, path), name, params))
+    except AnalysisException:
+        raise
+    except (PySparkException, Py4JJavaError):
+        files, broken = _readable(spark, path)
+        if broken.isEmpty():
+            raise
+        if not files:
+            return spark.createDataFrame([], _found_schema()), broken.select(F.lit(name).alias("source"), "*")
+        path = files
+        rows = staged(feeds.parsed(feeds.read_landed(spark, name, path), name, params))
+    paged = params.max_pages is not None and name == "arbeitnow"
+    listing = read_pages(feeds.read_payloads(spark, path)) if paged else None
+    bad = rejects_of(rows, name)
+    if broken is not None:
+        bad = bad.unionByName(broken.select(F.lit(name).alias("source"), "*"))
+    return settled(rows, name, params, pages, listing), bad
+
+
+def _found_schema() -> str:
+    return "file_ord int, pos long, file string, " + ", ".join(f"{n} {t.simpleString()}" for n, t in feeds.CANONICAL_FIELDS)
 
 
 def ingest_sources(
@@ -52,8 +131,8 @@ def ingest_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """All enabled sources under ``<landing>/<source>``: (postings with ``source_ord``, rejects).
 
-    A source whose folder is missing or can't be read is one reject with the reason; the
-    others go on. Order the postings by ``source_ord`` and the arrival columns.
+    Each source is read on its own. One whose folder is missing or can't be read is one reject with the
+    reason; the others go on. Order the postings by ``source_ord`` and the arrival columns.
     """
     found: dict[str, DataFrame] = {}
     rejects = [spark.createDataFrame([], REJECTS)]
@@ -61,8 +140,9 @@ def ingest_sources(
         try:
             found[name], bad = landed_source(spark, name, f"{landing}/{name}", params, pages)
             rejects.append(bad)
-        except AnalysisException as error:
-            rejects.append(spark.createDataFrame([(name, None, None, error.getCondition() or "unreadable source")], REJECTS))
+        except (PySparkException, Py4JJavaError) as error:
+            reason = error.getCondition() if isinstance(error, PySparkException) else None
+            rejects.append(spark.createDataFrame([(name, None, None, reason or "unreadable source")], REJECTS))
     if not found:
         raise ValueError("no enabled source has data")
     return union_sources(found, params), reduce(lambda a, b: a.unionByName(b), rejects)
@@ -73,7 +153,7 @@ def union_sources(feeds: dict[str, DataFrame], params: Params) -> DataFrame:
     enabled = [name for name in SOURCE_ORDER if name in params.enabled_sources and name in feeds]
     if not enabled:
         raise ValueError("no enabled source has data")
-    parts = [feeds[name].withColumn("source_ord", F.lit(SOURCE_ORDER.index(name))) for name in enabled]
+    parts = [feeds[name].withColumn("source_ord", F.lit(SOURCE_ORDER.index(name)).cast("tinyint")) for name in enabled]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -6,62 +6,67 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.params import Params
 from vacantia.plans.daily import ingest_and_score, ts
-from vacantia.sources import feeds, state as S
+from vacantia.sources import feeds, registry, state as S
 
 
 def apply_batch(
     spark: SparkSession, batch: DataFrame, order: list[str], state_root: str, now: str, params: Params = Params(),
+    stream: str | None = None, batch_id: int | None = None,
 ) -> int:
-    """Upsert and score one batch of canonical postings as a new generation."""
-    old = S.read_state(spark, state_root)
-    generation = (S.current_generation(spark, state_root) or 0) + 1
-    scored = ingest_and_score(old, batch, order, state_root, generation, ts(now), params)
-    for name in ("salaries", "salary_lookup_cache"):
-        S.write_table(old[name], state_root, generation, name)
-    S.write_table(scored.postings, state_root, generation, "postings")
-    S.commit(spark, state_root, generation, now)
-    return generation
+    """Upsert and score one batch of canonical postings as a new generation.
 
-
-def start_ingest(
-    spark: SparkSession, stream: DataFrame, order: list[str], state_root: str, checkpoint: str, now: str,
-    params: Params = Params(),
-) -> StreamingQuery:
-    """Drain everything that has landed, then stop.
-
-    The checkpoint records which files were read. If a batch is delivered again after
-    a failure the keyed upsert gives the same state, so nothing is counted twice.
+    Only the buckets the batch touches are written. A stream's batch is committed with its id: one that
+    is delivered again writes nothing.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch.sparkSession, batch, order, state_root, now, params)
+    new = S.Generation(spark, state_root)
+    if stream is not None and batch_id <= new.streams.get(stream, -1):
+        return new.number - 1
+    ingest_and_score(new, batch, order, ts(now), params)
+    if stream is not None:
+        new.streams[stream] = batch_id
+    return new.commit(now)
+
 
+def _drained(stream: DataFrame, handle, checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def landed_feed(spark: SparkSession, feed: str, path: str, params: Params = Params()) -> DataFrame:
-    """Streaming canonical postings of a JSON feed folder. What it can't use is in :func:`landed_rejects`."""
-    return _landed(spark, feed, path, params)[0]
+def start_ingest(
+    spark: SparkSession, stream: DataFrame, order: list[str], state_root: str, checkpoint: str, now: str,
+    params: Params = Params(),
+) -> StreamingQuery:
+    """Drain a stream of canonical postings, then stop. The checkpoint records what was read."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        apply_batch(batch.sparkSession, batch, order, state_root, now, params, checkpoint, batch_id)
 
+    return _drained(stream, handle, checkpoint)
 
-def landed_rejects(spark: SparkSession, feed: str, path: str, params: Params = Params()) -> DataFrame:
-    """Streaming quarantine of the same folder: (file, pos, error), files as a whole without a position."""
-    _, incomplete, broken = _landed(spark, feed, path, params)
-    whole = broken.select("file", F.lit(None).cast("int").alias("pos"), "error")
-    return whole.unionByName(incomplete.select("file", "pos", "error"))
 
+def start_feed(
+    spark: SparkSession, feed: str, path: str, state_root: str, rejects: str, checkpoint: str, now: str,
+    params: Params = Params(), pages: DataFrame | None = None,
+) -> StreamingQuery:
+    """Drain everything that has landed in a feed's folder, JSON or RSS, then stop.
 
-def start_quarantine(rejects: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append the rejects of everything that has landed as Parquet under ``out``, then stop."""
-    return (
-        rejects.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    One query per folder: a micro-batch is read and parsed once, into a written table. Its postings are
+    de-duplicated and cut as a batch run does it and go into the state; what can't be used goes to
+    ``<rejects>/batch=<id>``, which a batch delivered again replaces by the same rows.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        rows = registry.staged(feeds.parsed(batch, feed, params))
+        registry.rejects_of(rows, feed).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        listing = registry.read_pages(batch) if params.max_pages is not None and feed == "arbeitnow" else None
+        found = registry.settled(rows, feed, params, pages, listing)
+        apply_batch(session, found, list(registry.ARRIVAL), state_root, now, params, checkpoint, batch_id)
+
+    return _drained(feeds.read_landed(spark, feed, path, streaming=True), handle, checkpoint)
 
 
-def _landed(spark: SparkSession, feed: str, path: str, params: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
-    good, broken = feeds.split_payloads(feeds.read_payloads(spark, path, streaming=True), feed)
-    recs = feeds.searched(feeds.records(good, feed), feed, params)
-    return *feeds.split_bad(feeds.normalise(recs, feed)), broken
+def read_rejects(spark: SparkSession, rejects: str) -> DataFrame:
+    """(source, file, pos, error, batch) of a feed's folder."""
+    return spark.read.schema(f"{registry.REJECTS}, batch long").option("basePath", rejects).parquet(rejects).select(
+        "source", "file", "pos", "error", F.col("batch").cast("long"))
