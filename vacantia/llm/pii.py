@@ -289,9 +289,15 @@ def learned(stretches: list[str], precision: float = PRECISION, seed: int = 11)
 def stretches(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[str]:
     """One stretch of each of the rows of smallest hash; at most ``rows`` times ``chars`` characters."""
     order = F.xxhash64("doc_id", "text")
+    texts = docs.filter(F.length("text") > 0)
     place = F.pmod(order, F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
-    picked = docs.filter(F.length("text") > 0).select(order.alias("o"), F.substr("text", place, F.lit(chars)).alias("s"))
-    found = [r.s for r in picked.orderBy("o", "s").limit(rows).collect()]
+    picked = texts.select(order.alias("o"), F.substr("text", place, F.lit(chars)).alias("s"))
+    # twice as many as are wanted lie below this hash, so that no task hands on its own smallest rows
+    share = min(1.0, 2 * rows / max(1, texts.count()))
+    for below in (int((share - 0.5) * 2**64), 2**63):
+        found = [r.s for r in picked.filter(F.col("o") < min(below, 2**63 - 1)).orderBy("o", "s").limit(rows).collect()]
+        if len(found) == rows:
+            break
     # a small corpus lends its stretches several times over
     return found * -(-rows // len(found)) if found else []
 
