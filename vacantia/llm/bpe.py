@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,11 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a generation of kept chunks (some 200 bytes each, and a quarter as many pre-tokens), the
-#: longest of these, and text taken together.
-CACHE = 1_000_000
+#: Bytes of a generation of kept chunks (and a quarter as many of pre-tokens), what an entry takes besides its
+#: letters and ids, the longest of these, text taken together, and bytes of pre-tokens merged together.
+CACHE = 64 << 20
+ENTRY = 160
 KEPT_CHARS = 64
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
+MERGED = 256 << 10
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -74,22 +77,29 @@ class RankQueue:
 
 
 class Kept:
-    """The entries met last: when a generation is full, the one before it goes."""
+    """The entries met last, in two generations of so many bytes: when one is full, the one before it goes.
+    What is met again in the older one moves to the younger."""
 
     def __init__(self, size: int) -> None:
         self.size = size
+        self.held = 0
         self.fresh: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
 
     def get(self, key: str) -> bytes | None:
         found = self.fresh.get(key)
-        return self.aged.get(key) if found is None else found
+        if found is None:
+            found = self.aged.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
 
     def put(self, key: str, ids: bytes) -> None:
         if len(key) <= KEPT_CHARS:
-            if len(self.fresh) >= self.size:
-                self.aged, self.fresh = self.fresh, {}
+            if self.held >= self.size:
+                self.aged, self.fresh, self.held = self.fresh, {}, 0
             self.fresh[key] = ids
+            self.held += ENTRY + len(key) + len(ids)
 
 
 class Bpe:
@@ -108,7 +118,19 @@ class Bpe:
         self.chunks, self.tokens = Kept(CACHE), Kept(CACHE // 4)
 
     def merge(self, tokens: list[bytes]) -> list[bytes]:
-        """Ids of each pre-token, as little-endian unsigned 32-bit integers."""
+        """Ids of each pre-token, as little-endian unsigned 32-bit integers; so many bytes at a time share a queue."""
+        out: list[bytes] = []
+        held: list[bytes] = []
+        size = 0
+        for token in tokens:
+            held.append(token)
+            size += len(token)
+            if size >= MERGED:
+                out += self.merged(held)
+                held, size = [], 0
+        return out + self.merged(held)
+
+    def merged(self, tokens: list[bytes]) -> list[bytes]:
         if not tokens:
             return []
         packed = self.packed
@@ -127,7 +149,8 @@ class Bpe:
         waits_at = np.full(n, -1)  # the rank of the pair that starts here, as of now
         both = np.flatnonzero(inner[:-1] & inner[1:])
         waits_at[both] = self.pairs[byte[both] << 8 | byte[both + 1]]
-        stop, before, waits = stop_at.tolist(), before_at.tolist(), waits_at.tolist()
+        # four bytes a place; lists are faster, and short enough where no pre-token is long
+        stop, before, waits = (x.tolist() if n <= 2 * MERGED else array("i", x.astype(np.int32).tobytes()) for x in (stop_at, before_at, waits_at))
         buckets: list[list[int] | None] = [None] * len(self.pieces)
         queue = RankQueue(len(self.pieces))
         first, add, remove = queue.first, queue.add, queue.remove
@@ -229,12 +252,12 @@ class Bpe:
         whole: dict[str, list[str]] = {}
         known: dict[str, bytes] = {}
         kept = self.chunks
-        fresh, aged = kept.fresh.get, kept.aged.get
+        get = kept.get
         for text in texts:
             chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
             for chunk in set(chunks).difference(known):
                 if chunk not in new:
-                    ids = fresh(chunk) or aged(chunk)
+                    ids = get(chunk)
                     if ids is not None:
                         known[chunk] = ids
                         continue
