@@ -55,8 +55,8 @@ def test_jaccard_cases(docs, clashing, no_docs, rows):
     assert [r.component_id for r in jaccard.linked(docs).collect() if r.doc_id is None] == [None]
 
 
-@pytest.mark.parametrize("hot", [50, 1])
-def test_jaccard_families(spark, hot):
+@pytest.mark.parametrize(("hot", "many"), [(50, 8), (1, 8), (1, 1), (50, 1_000)])
+def test_jaccard_families(spark, hot, many):
     """A dense family that no single document holds together, chains of links, shared passages, mixed sizes."""
     rng = random.Random(11)
     texts = {}
@@ -74,7 +74,7 @@ def test_jaccard_families(spark, hot):
     for n in (200, 190, 170, 152, 151, 150, 149, 140, 120, 100):
         texts[len(texts)] = " ".join(long.split(" ")[:n])
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    assert linked(table, hot=hot) == plain_links(texts)
+    assert linked(table, hot=hot, many=many) == plain_links(texts)
 
 
 def test_jaccard_small_blocks(spark, monkeypatch):

@@ -12,7 +12,8 @@ is exact: each link between different sets is found or runs inside one component
    Tasks count hashes of a chunk of documents before anything is shuffled, so a hash in a third of all
    documents makes one row per chunk.
 3. Each remaining head is tied to the most central head it shares many hashes with; what hangs together
-   so is a family, the group of the method.
+   so is a family, the group of the method. Families whose documents open each other by hashes that stand in
+   many families are merged until nothing merges, so that a dense family is one group.
 4. The token-group matrix holds for each family the union of its members' prefix hashes. A document's
    overlap with a union bounds its overlap with every member; families below the bound stay closed.
    Hashes of more than ``HOT`` families open nothing, unless they are so many of a document's prefix that a
@@ -45,6 +46,8 @@ WIDTH = 5
 CHUNK = 2_000_000
 #: A hash of more groups than this opens no group by itself.
 HOT = 50
+#: A hash of more groups than this merges groups whose documents share many such hashes.
+MANY = 8
 #: Hashes in a block of a family, where a document counts as so many more: blocks are bounded in rows too.
 BLOCK_TOKENS, ROW_TOKENS = 200_000, 250
 #: Rounds in which documents without enough hashes of other groups leave.
@@ -313,7 +316,30 @@ def opened(posts: DataFrame, hot: int = HOT) -> DataFrame:
     return by(cool, F.col("h")).union(by(warm, F.col("n"))).distinct()
 
 
-def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def coarser(posts: DataFrame, many: int) -> DataFrame:
+    """``posts`` (token, doc_id, n, g) with families merged whose documents open each other by frequent hashes.
+
+    The hashes of a dense family of near copies stand in thousands of small families. Of each hash in more
+    than ``many``, every document meets only the largest family that holds it, so rows grow with the
+    posts; a document that the family's union can't be ruled out for merges its own family with the one it
+    shares most with. This repeats until nothing merges. Any grouping gives the same links.
+    """
+    while True:
+        sizes = posts.groupBy("doc_id").agg(F.min("g").alias("g")).groupBy("g").agg(F.count("*").alias("size"))
+        held = posts.select("token", "g").distinct().join(sizes, "g")
+        top = held.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("size", (-F.col("g")).alias("less"))).alias("top"))
+        frequent = stored(top.filter(F.col("groups") > many).select("token", (-F.col("top.less")).alias("f")))
+        met = posts.join(frequent, "token").filter("g <> f").groupBy("doc_id", "g", "f").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+        able_ = met.filter(F.col("k") >= least_shared(F.col("n"), NEAR))
+        ties = stored(able_.groupBy("g").agg(F.max(F.struct("k", (-F.col("f")).alias("less"))).alias("best")).select(
+            F.col("g").alias("a"), (-F.col("best.less")).alias("b")))
+        if ties.isEmpty():
+            return posts
+        merged = components(ties).select(F.col("v").alias("g"), "c")
+        posts = stored(posts.join(merged, "g", "left").select("token", "doc_id", "n", F.coalesce("c", "g").alias("g")))
+
+
+def linked(docs: DataFrame, hot: int = HOT, many: int = MANY) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = stored(texts.mapInArrow(_sized, "doc_id long, n long, d1 long, d2 long"))
@@ -332,7 +358,11 @@ def linked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     stars = stored(star_pairs(posts))
     families = components(stars)
     family = families.select(F.col("v").alias("doc_id"), F.col("c").alias("g"))
-    grouped = posts.drop("weight").join(family, "doc_id", "left").withColumn("g", F.coalesce("g", "doc_id"))
+    grouped = stored(posts.join(family, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("g", "doc_id").alias("g")))
+    grouped = coarser(grouped, many)
+    members = grouped.groupBy("doc_id").agg(F.min("g").alias("c"))
+    several = members.groupBy("c").agg(F.count("*").alias("docs")).filter("docs > 1").select("c")
+    families = stored(members.join(several, "c").select(F.col("doc_id").alias("v"), "c"))
     asked = stored(opened(grouped, hot))
 
     parts = stored(assigned(sets.select("doc_id", "n"), families, stars, asked))
