@@ -296,13 +296,13 @@ def test_every_notice_is_found():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     for name, (_, notices) in licenses.TEMPLATES.items():
         for notice in notices:
-            assert licenses.candidates(f"a\n{notice}\nb") == [notice]
+            assert len(scanner.blocks(f"a\n{notice}\nb")) == 1
             assert (name, 0) in [(n, d) for n, _, d in scanner.scan(notice)]
 
 
 def in_text(scanner, text):
     """The licenses of a text, scanned as the query does."""
-    return sorted({name for block in licenses.candidates(text) for name, _, _ in scanner.scan(block)})
+    return sorted({name for block in scanner.blocks(text) for name, _, _ in scanner.scan(block)})
 
 
 def test_notices_in_long_lines():
@@ -337,6 +337,55 @@ def test_wrapped_notices(spark):
     assert got == want
 
 
+def test_the_ranking_decides(monkeypatch):
+    """The wording that begins both BSD texts fits either license; the one that saves more gets it."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rng = random.Random(23)
+    two, three = (licenses.TEMPLATES[n][1][-1] for n in ("BSD-2-Clause", "BSD-3-Clause"))
+    for text, want, other in ((two, "BSD-2-Clause", "BSD-3-Clause"), (three, "BSD-3-Clause", "BSD-2-Clause")):
+        for edits in (0, 3, 6):
+            changed = text.split(" ")
+            for _ in range(edits):
+                changed[rng.randrange(8, len(changed))] = sentence(rng, 1)
+            found = licenses.words(" ".join(changed))
+            numbers = np.array([scanner.number.get(w, -1) for w in found])
+            keys, notices = scanner.templates[other]
+            assert want == "BSD-3-Clause" or any(list(scanner.stretches(numbers, n, keys)) for n in notices)      # the other fits as well
+            assert [x[0] for x in scanner.scan(" ".join(found))] == [want]
+    monkeypatch.setattr(scanner, "ranked", lambda block: licenses.Scanner.ranked(scanner, block)[::-1])
+    assert [x[0] for x in scanner.scan(" ".join(licenses.words(two)))] == ["BSD-3-Clause"]
+
+
+def test_compression_rules_out_before_words_are_compared():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    notice = " ".join(licenses.words(licenses.TEMPLATES["MPL-2.0"][1][0]))
+    ranked = scanner.ranked(notice)
+    saved = len(scanner.plain.compress(notice.encode())) - len(scanner.primed["MPL-2.0"].compress(notice.encode()))
+    assert ranked[0] == ("MPL-2.0", saved) and len(ranked) < len(licenses.TEMPLATES) // 2
+    assert scanner.ranked("the license plate of the car was stolen") == []
+
+
+def test_differences_against_plain_code():
+    """The least number of words missing or put in, over all stretches, by the plain table."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rng = random.Random(24)
+    keys, notices = scanner.templates["MPL-2.0"]
+    notice = notices[0]
+    for _ in range(30):
+        found = licenses.words(sentence(rng, 12)) + list(notice) + licenses.words(sentence(rng, 9))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(found))
+            if found[at] not in scanner.named and not licenses.is_stem(found[at]):
+                found[at : at + 1] = rng.choice([[], ["kalo"], [found[at], "mire"]])
+        row = [0] * (len(found) + 1)                # a stretch starts anywhere
+        for i, word in enumerate(notice, 1):
+            row, old = [i], row
+            for j, other in enumerate(found, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] if word == other else 10**6))
+        hits = scanner.scan(" ".join(found))
+        assert [(n, d) for n, _, d in hits] == ([("MPL-2.0", min(row))] if min(row) <= licenses.MAX_DIFFERENCE * len(notice) else [])
+
+
 # --- language model
 
 def test_lm_counts_and_base_score(docs, no_docs, rows):
