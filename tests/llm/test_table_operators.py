@@ -219,7 +219,7 @@ def plain_nearest(vectors, queries, k):
     return out
 
 
-@pytest.mark.parametrize("shard_rows, block_rows", [(16384, 4096), (300, 20)])
+@pytest.mark.parametrize("shard_rows, block_rows", [(16384, 4096), (300, 20), (40, 7)])
 def test_nearest_exact_with_ties(spark, shard_rows, block_rows):
     rng = np.random.default_rng(15)
     vectors = {i: (rng.normal(size=8) * rng.choice([0.2, 1, 5])).tolist() for i in range(700)}
