@@ -1,6 +1,7 @@
 """Narrow-first de-duplication, bucketed state, landed files and streams, against plain code and file listings."""
 import glob
 import gzip
+import io
 import json
 import os
 import random
@@ -14,7 +15,7 @@ from vacantia.operators import dedup, upsert
 from vacantia.params import Params, params_from_config
 from vacantia.plans import catalog, daily
 from vacantia.schema import POSTINGS, REFRESHED, SALARY_CACHE
-from vacantia.sources import feeds, registry, state as S
+from vacantia.sources import payload_files, registry, state as S
 from vacantia.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -282,6 +283,43 @@ def test_a_corrupt_file_is_one_reject(spark, tmp_path):
     assert [(r.source, os.path.basename(r.file), r.error) for r in rejects] == [("arbeitnow", "b.json.gz", "unreadable file")]
 
 
+def test_large_payloads_give_what_small_ones_give(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"Product Owner {n}", f"https://x/{n % 900}") for n in range(3000)]
+    payload = jobs("arbeitnow", *rows)
+    for n, job in enumerate(payload["data"]):
+        job |= {"description": "<p>" + "a}]\"{ \\ é🙂" * rng.randint(0, 200) + "</p>", "job_types": ["x", "y"], "tags": {"z": [1, {"q": None}]}}
+    payload = {"links": {"data": [1]}, **payload, "meta": {"last_page": 3}}
+    land(tmp_path, "arbeitnow/page=1/all.json", payload)
+    land(tmp_path, "arbeitnow/page=2/cut.json", json.dumps(payload)[:-9])
+    land(tmp_path, "arbeitnow/page=2/other.json", {"error": "quota"})
+    (tmp_path / "landing/arbeitnow/page=3").mkdir()
+    (tmp_path / "landing/arbeitnow/page=3/c.json.gz").write_bytes(gzip.compress(json.dumps(jobs("arbeitnow", ("Product Owner", "u3"))).encode()))
+    land(tmp_path, "remoteok/a.json", [{"legal": "x"}, {"position": "Product Owner", "url": "u9"}])
+    params = Params(enabled_sources=("remoteok", "arbeitnow"))
+    both = []
+    for large in (False, True):
+        found, rejects = registry.ingest_sources(spark, str(tmp_path / "landing"), params, large=large)
+        both.append((sorted(map(repr, found.drop("raw", "file").collect())), sorted((os.path.basename(r.file), r.pos, r.error) for r in rejects.collect())))
+    assert both[0] == both[1] and len(both[0][0]) == 3002
+    assert both[0][1] == [("cut.json", None, "invalid JSON"), ("other.json", None, "no readable record list")]
+
+
+def test_walker_at_any_cut(monkeypatch):
+    items = [1, -2.5e10, "a}]\"{\\", {"jobs": [{"b}": [True, None]}]}, [], "é🙂", {}]
+    text = json.dumps({"x": {"jobs": [7]}, "jobs": items, "meta": 12}, indent=1)
+    for size in (1, 2, 7, 10_000):
+        monkeypatch.setattr(payload_files, "READ_CHARS", size)
+        assert [json.loads(t) for t in payload_files.records(io.StringIO(text), "jobs")] == items
+        assert [json.loads(t) for t in payload_files.records(io.StringIO(json.dumps(items)), None)] == items
+        for bad in ("", "{", '{"jobs":[}', '{"jobs":[1]} x', "<html>", '{"jobs":[1,]}', '{"jobs":[NaN]}', '{"jobs":[1 2]}', '{"jobs":[1],"b":2'):
+            with pytest.raises(ValueError):
+                list(payload_files.records(io.StringIO(bad), "jobs"))
+        for other in ("{}", '{"jobs":{}}', "[1]", '{"a":1}', "12"):
+            with pytest.raises(payload_files.NoRecords):
+                list(payload_files.records(io.StringIO(other), "jobs"))
+
+
 def test_cuts_of_a_configuration():
     assert params_from_config({}).role_text_chars == P.CUTS["role_text_chars"] and Params().role_text_chars is None
     assert params_from_config({"matching": {"role_text_chars": None}, "search": {"max_pages": 7}}).role_text_chars is None

@@ -16,6 +16,7 @@ from vacantia.functions import variant as V
 from vacantia.functions.text import computed_once, matches_any, or_default, split_title, strip, strip_html, text_or_empty
 from vacantia.params import Params
 from vacantia.schema import CANONICAL, CANONICAL_FIELDS
+from vacantia.sources.payload_files import PayloadSource
 
 # --- Fixed values: the key under which each feed keeps its records (None: the whole is the list), default URLs ---
 RECORD_KEY = {
@@ -60,6 +61,17 @@ def read_items(spark: SparkSession, path: str | list[str], streaming: bool = Fal
     return _requested(pieces.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")))
 
 
+def read_records(spark: SparkSession, feed: str, path: str) -> DataFrame:
+    """One row per record of landed JSON files (file, pos, value), or per file that can't be used (error).
+
+    For payloads of any size: a file is walked by one task that holds one record at a time, where
+    :func:`read_payloads` makes it a row. Needs a store that Python can open (local or shared paths, S3, GCS).
+    """
+    spark.dataSource.register(PayloadSource)
+    found = spark.read.format("payload_records").option("key", RECORD_KEY[feed] or "").load(path)
+    return _requested(found)
+
+
 def read_landed(spark: SparkSession, feed: str, path: str | list[str], streaming: bool = False) -> DataFrame:
     return (read_payloads if feed in RECORD_KEY else read_items)(spark, path, streaming)
 
@@ -98,10 +110,19 @@ def parsed(landed: DataFrame, feed: str, params: Params) -> DataFrame:
 
 
 def parsed_payloads(payloads: DataFrame, feed: str, params: Params) -> DataFrame:
+    if "pos" in payloads.columns:  # record by record already
+        rec = computed_once(F.try_parse_json("value"))
+        recs = payloads.withColumn("rec", rec).drop("value").withColumn(
+            "error", F.coalesce("error", F.when(F.col("rec").isNull(), "unreadable record")))
+        return _settled_records(recs, feed, params)
     read = payloads.withColumn("items", computed_once(_items_of("value", feed)))
     read = read.withColumn("error", F.when(F.col("items").isNull(), _payload_error("value")))
     kept = [c for c in payloads.columns if c != "value"]
     recs = read.select(*kept, "error", F.posexplode_outer("items").alias("pos", "rec")).filter("error IS NOT NULL OR pos IS NOT NULL")
+    return _settled_records(recs, feed, params)
+
+
+def _settled_records(recs: DataFrame, feed: str, params: Params) -> DataFrame:
     recs = searched(recs, feed, params, keep=F.col("error").isNotNull())
     return normalise(recs, feed).withColumn("error", F.coalesce("error", _incomplete())).select(*ARRIVED, *CANONICAL, "error")
 

@@ -94,16 +94,19 @@ def _readable(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
 
 
 def landed_source(
-    spark: SparkSession, name: str, path: str, params: Params, pages: DataFrame | None = None,
+    spark: SparkSession, name: str, path: str, params: Params, pages: DataFrame | None = None, large: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(canonical postings with their arrival columns, rejects) of one source's folder.
 
-    The folder is read once, into a written table. If reading fails, the files that can't be read to
+    The folder is read once, into a written table; with ``large``, JSON files of any size record by record.
+    If reading fails, the files that can't be read to
     their end become rejects and the others are read.
     """
     broken = None
+    records = large and name in feeds.RECORD_KEY
     try:
-        rows = staged(feeds.parsed(feeds.read_landed(spark, name, path), name, params))
+        landed = feeds.read_records(spark, name, path) if records else feeds.read_landed(spark, name, path)
+        rows = staged(feeds.parsed(landed, name, params))
     except AnalysisException:
         raise
     except (PySparkException, Py4JJavaError):
@@ -127,7 +130,7 @@ def _found_schema() -> str:
 
 
 def ingest_sources(
-    spark: SparkSession, landing: str, params: Params = Params(), pages: DataFrame | None = None,
+    spark: SparkSession, landing: str, params: Params = Params(), pages: DataFrame | None = None, large: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """All enabled sources under ``<landing>/<source>``: (postings with ``source_ord``, rejects).
 
@@ -138,7 +141,7 @@ def ingest_sources(
     rejects = [spark.createDataFrame([], REJECTS)]
     for name in (n for n in SOURCE_ORDER if n in params.enabled_sources):
         try:
-            found[name], bad = landed_source(spark, name, f"{landing}/{name}", params, pages)
+            found[name], bad = landed_source(spark, name, f"{landing}/{name}", params, pages, large)
             rejects.append(bad)
         except (PySparkException, Py4JJavaError) as error:
             reason = error.getCondition() if isinstance(error, PySparkException) else None

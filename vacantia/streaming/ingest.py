@@ -11,12 +11,12 @@ from vacantia.sources import feeds, registry, state as S
 
 def apply_batch(
     spark: SparkSession, batch: DataFrame, order: list[str], state_root: str, now: str, params: Params = Params(),
-    stream: str | None = None, batch_id: int | None = None,
+    stream: str | None = None, batch_id: int | None = None, keep: int = 3,
 ) -> int:
     """Upsert and score one batch of canonical postings as a new generation.
 
-    Only the buckets the batch touches are written. A stream's batch is committed with its id: one that
-    is delivered again writes nothing.
+    Only the buckets the batch touches are written, and the newest ``keep`` generations stay. A stream's
+    batch is committed with its id: one that is delivered again writes nothing.
     """
     new = S.Generation(spark, state_root)
     if stream is not None and batch_id <= new.streams.get(stream, -1):
@@ -24,7 +24,9 @@ def apply_batch(
     ingest_and_score(new, batch, order, ts(now), params)
     if stream is not None:
         new.streams[stream] = batch_id
-    return new.commit(now)
+    generation = new.commit(now)
+    S.expire(spark, state_root, keep)
+    return generation
 
 
 def _drained(stream: DataFrame, handle, checkpoint: str) -> StreamingQuery:
