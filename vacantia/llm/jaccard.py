@@ -316,27 +316,30 @@ def opened(posts: DataFrame, hot: int = HOT) -> DataFrame:
     return by(cool, F.col("h")).union(by(warm, F.col("n"))).distinct()
 
 
-def coarser(posts: DataFrame, many: int) -> DataFrame:
-    """``posts`` (token, doc_id, n, g) with families merged whose documents open each other by frequent hashes.
+def coarser(posts: DataFrame, family: DataFrame, many: int) -> DataFrame:
+    """(doc_id, g) with families merged whose documents open each other by frequent hashes; both from it and ``posts``.
 
     The hashes of a dense family of near copies stand in thousands of small families. Of each hash in more
     than ``many``, every document meets only the largest family that holds it, so rows grow with the
-    posts; a document that the family's union can't be ruled out for merges its own family with the one it
-    shares most with. This repeats until nothing merges. Any grouping gives the same links.
+    posts of these hashes; a document that the family's union can't be ruled out for merges its own family with the
+    one it shares most with. This repeats until nothing merges. Any grouping gives the same links.
     """
+    held = posts.join(family, "doc_id").select("token", "g").distinct().groupBy("token").count().filter(F.col("count") > many)
+    posts = stored(posts.join(held.select("token"), "token").select("token", "doc_id", "n"))
     while True:
-        sizes = posts.groupBy("doc_id").agg(F.min("g").alias("g")).groupBy("g").agg(F.count("*").alias("size"))
-        held = posts.select("token", "g").distinct().join(sizes, "g")
-        top = held.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("size", (-F.col("g")).alias("less"))).alias("top"))
-        frequent = stored(top.filter(F.col("groups") > many).select("token", (-F.col("top.less")).alias("f")))
-        met = posts.join(frequent, "token").filter("g <> f").groupBy("doc_id", "g", "f").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+        sizes = family.groupBy("g").agg(F.count("*").alias("size"))
+        mine = posts.join(family, "doc_id")
+        top = mine.select("token", "g").distinct().join(sizes, "g").groupBy("token").agg(
+            F.count("*").alias("groups"), F.max(F.struct("size", (-F.col("g")).alias("less"))).alias("top"))
+        frequent = top.filter(F.col("groups") > many).select("token", (-F.col("top.less")).alias("f"))
+        met = mine.join(frequent, "token").filter("g <> f").groupBy("doc_id", "g", "f").agg(F.count("*").alias("k"), F.first("n").alias("n"))
         able_ = met.filter(F.col("k") >= least_shared(F.col("n"), NEAR))
         ties = stored(able_.groupBy("g").agg(F.max(F.struct("k", (-F.col("f")).alias("less"))).alias("best")).select(
             F.col("g").alias("a"), (-F.col("best.less")).alias("b")))
         if ties.isEmpty():
-            return posts
+            return family
         merged = components(ties).select(F.col("v").alias("g"), "c")
-        posts = stored(posts.join(merged, "g", "left").select("token", "doc_id", "n", F.coalesce("c", "g").alias("g")))
+        family = stored(family.join(merged, "g", "left").select("doc_id", F.coalesce("c", "g").alias("g")))
 
 
 def linked(docs: DataFrame, hot: int = HOT, many: int = MANY) -> DataFrame:
@@ -358,12 +361,11 @@ def linked(docs: DataFrame, hot: int = HOT, many: int = MANY) -> DataFrame:
     stars = stored(star_pairs(posts))
     families = components(stars)
     family = families.select(F.col("v").alias("doc_id"), F.col("c").alias("g"))
-    grouped = stored(posts.join(family, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("g", "doc_id").alias("g")))
-    grouped = coarser(grouped, many)
-    members = grouped.groupBy("doc_id").agg(F.min("g").alias("c"))
-    several = members.groupBy("c").agg(F.count("*").alias("docs")).filter("docs > 1").select("c")
-    families = stored(members.join(several, "c").select(F.col("doc_id").alias("v"), "c"))
-    asked = stored(opened(grouped, hot))
+    family = stored(posts.select("doc_id").distinct().join(family, "doc_id", "left").select("doc_id", F.coalesce("g", "doc_id").alias("g")))
+    family = coarser(posts, family, many)
+    several = family.groupBy("g").agg(F.count("*").alias("docs")).filter("docs > 1").select("g")
+    families = stored(family.join(several, "g").select(F.col("doc_id").alias("v"), F.col("g").alias("c")))
+    asked = stored(opened(posts.drop("weight").join(family, "doc_id"), hot))
 
     parts = stored(assigned(sets.select("doc_id", "n"), families, stars, asked))
     row = F.struct("doc_id", "n", "tokens").alias("row")
