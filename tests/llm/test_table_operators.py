@@ -2,8 +2,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.compare import bag, connect
@@ -88,6 +90,29 @@ def test_jaccard_small_blocks(spark, monkeypatch):
     assert linked(table) == plain_links(texts)
 
 
+def test_blocks_of_a_batch_are_opened_one_at_a_time():
+    rng = np.random.default_rng(8)
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]))
+
+    def block(first: int) -> list[dict]:
+        base = rng.integers(1 << 16, 1 << 62, 8, dtype=np.uint64)
+        sets = [np.unique(np.append(base, np.uint64(k << 16) if k % 2 else base[:1])) for k in range(100)]
+        return [{"doc_id": first + k, "n": len(t), "tokens": jaccard._packed(t)} for k, t in enumerate(sets)]
+
+    def peak(pairs: int) -> int:
+        rows = [pa.array([block(1000 * side + 10_000 * p) for p in range(pairs)], kind) for side in (0, 1)]
+        batch = pa.RecordBatch.from_arrays(rows, ["left", "right"])
+        same = pa.RecordBatch.from_arrays([rows[0], rows[0]], ["left", "right"])
+        tracemalloc.start()
+        (apart,), (links,) = jaccard._linked_blocks(iter([batch])), jaccard._linked_blocks(iter([same]))
+        high = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert apart.num_rows == 0 and links.num_rows == 99 * pairs  # a spanning tree of each block
+        return high
+
+    assert peak(100) < 2 * peak(4)
+
+
 def test_hashes_rest_on_own_bytes_only():
     """A text hashes alike alone and beside a 5,000-byte word; words that differ past 4,096 bytes stay apart."""
     text, long = b"kalo mi resu one", b"x" * 5_000

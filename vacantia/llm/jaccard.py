@@ -152,10 +152,11 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = list(shingle_sets(batch.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(t) for t in found], pa.int64()), pa.array([_packed(t) for t in found], pa.binary())],
-            ["doc_id", "n", "tokens"])
+        sizes, packed = [], []
+        for tokens in shingle_sets(batch.column(1).to_pylist()):
+            sizes.append(len(tokens))
+            packed.append(_packed(tokens))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "tokens"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,15 +250,21 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _block(rows: pa.ListScalar) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
+    """Ids, sizes and hashes of one block's sets: a batch holds many blocks, which are opened one at a time."""
+    sets = rows.values
+    return sets.field("doc_id").to_pylist(), sets.field("n").to_numpy(), [_unpacked(t) for t in sets.field("tokens").to_pylist()]
+
+
 def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between the documents of two blocks, no more than it takes to join what they join."""
     for batch in batches:
         ones, twos = [], []
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            both = overlaps([_unpacked(r["tokens"]) for r in left], [_unpacked(r["tokens"]) for r in right])
-            n, m = np.array([r["n"] for r in left]), np.array([r["n"] for r in right])
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            (ids, n, tokens), (ids2, m, tokens2) = _block(left), _block(right)
+            both = overlaps(tokens, tokens2)
             near = 100 * both >= 75 * (n[:, None] + m[None, :] - both)
-            head = {r["doc_id"]: r["doc_id"] for r in (*left, *right)}
+            head = {d: d for d in (*ids, *ids2)}
 
             def root(c: int, head: dict[int, int] = head) -> int:
                 while head[c] != c:
@@ -265,11 +272,11 @@ def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 return c
 
             for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                a, b = root(left[i]["doc_id"]), root(right[j]["doc_id"])
+                a, b = root(ids[i]), root(ids2[j])
                 if a != b:
                     head[a] = b
-                    ones.append(left[i]["doc_id"])
-                    twos.append(right[j]["doc_id"])
+                    ones.append(ids[i])
+                    twos.append(ids2[j])
         yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], ["a", "b"])
 
 
