@@ -220,6 +220,16 @@ def test_bpe_finds_the_pre_tokens_of_a_block_at_once(reference):
     assert own.pre_tokens(parts) == [own.find(c) for c in parts]
 
 
+def test_bpe_blocks_that_bring_no_new_chunk(reference, monkeypatch):
+    own = bpe.Bpe(RANKS, PATTERN)
+    assert list(own.encode_all([])) == []
+    assert own.pre_tokens([]) == []
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 8)  # blocks of one or two texts, most of them known, the last one empty
+    texts = ["one", "", None, "  ", "x\0 y", "some words", "some words", "some", "words some words", "some words"]
+    for text, ids in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text or "")
+
+
 def test_rank_queue():
     queue, rng, inside = bpe.RankQueue(70_000), random.Random(4), set()
     for _ in range(20_000):

@@ -227,6 +227,8 @@ class Bpe:
 
     def pre_tokens(self, chunks: list[str]) -> list[list[str]]:
         """Pre-tokens of chunks that begin with their only space, found in one text: each space begins a chunk."""
+        if not chunks:  # all are known, or the texts have none
+            return []
         tokens = self.find("".join(chunks))
         starts = [i for i, t in enumerate(tokens) if t[:1] == " "]
         if len(starts) != len(chunks):  # a pattern that leaves spaces out
