@@ -90,6 +90,40 @@ def test_jaccard_small_blocks(spark, monkeypatch):
     assert linked(table) == plain_links(texts)
 
 
+def test_jaccard_merges_and_opens_by_hashes_of_several_families_only(spark, monkeypatch):
+    rng = random.Random(11)
+    base, chain, texts = sentence(rng, 90), sentence(rng, 80), {}
+    for _ in range(100):
+        texts[len(texts)] = near(rng, base, rng.randint(0, 9))
+    for _ in range(25):
+        chain = near(rng, chain, 2)
+        texts[len(texts)] = chain
+    every, met = [], []
+
+    def seen(name, keep):
+        step = getattr(jaccard, name)
+
+        def run(posts, *rest):
+            out = step(posts, *rest)
+            keep.append({(r.token, r.doc_id) for r in (out if keep is every else posts).select("token", "doc_id").collect()})
+            if name == "coarser":
+                families.update({r.doc_id: r.g for r in rest[0].collect()})
+            return out
+
+        monkeypatch.setattr(jaccard, name, run)
+
+    families = {}
+    seen("able", every), seen("coarser", met), seen("opened", met)
+    got = linked(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4))
+    assert got == plain_links(texts)
+    held = collections.defaultdict(set)
+    for token, doc in every[0]:
+        held[token].add(families[doc])
+    several = {(token, doc) for token, doc in every[0] if len(held[token]) > 1}
+    assert 0 < len(several) < len(every[0])
+    assert met == [several, several]
+
+
 def test_blocks_of_a_batch_are_opened_one_at_a_time():
     rng = np.random.default_rng(8)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]))

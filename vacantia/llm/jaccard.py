@@ -297,6 +297,12 @@ def block_pairs(parts: DataFrame, groups: DataFrame) -> DataFrame:
     return one.join(two, "f").filter("id1 < id2").filter(~joined).select("id1", "id2")
 
 
+def between(posts: DataFrame) -> DataFrame:
+    """The ``posts`` (token, doc_id, n, g) of hashes that stand in several families, and in how many (groups)."""
+    ranked = posts.withColumn("rank", F.dense_rank().over(Window.partitionBy("token").orderBy("g")))
+    return ranked.withColumn("groups", F.max("rank").over(Window.partitionBy("token"))).drop("rank").filter("groups > 1")
+
+
 def opened(posts: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, f, n): the families but their own that the token-group matrix can't rule out for a document.
 
@@ -305,10 +311,7 @@ def opened(posts: DataFrame, hot: int = HOT) -> DataFrame:
     """
     for _ in range(PRUNINGS):
         # documents with too few hashes of other families leave; then other hashes have one family only
-        by_family = Window.partitionBy("token").orderBy("g")
-        ranked = posts.drop("groups").withColumn("rank", F.dense_rank().over(by_family))
-        spread = ranked.withColumn("groups", F.max("rank").over(Window.partitionBy("token"))).drop("rank").filter("groups > 1")
-        shared = spread.withColumn("shared", F.count("*").over(Window.partitionBy("doc_id")))
+        shared = between(posts.drop("groups")).withColumn("shared", F.count("*").over(Window.partitionBy("doc_id")))
         posts = stored(shared.filter(F.col("shared") >= least_shared(F.col("n"), NEAR)).drop("shared"))
     # h: hot hashes of the document; a link could rest on as many as l of them
     posts = posts.withColumn("hot", F.col("groups") > hot).drop("groups")
@@ -369,10 +372,12 @@ def linked(docs: DataFrame, hot: int = HOT, many: int = MANY) -> DataFrame:
     families = components(stars)
     family = families.select(F.col("v").alias("doc_id"), F.col("c").alias("g"))
     family = stored(posts.select("doc_id").distinct().join(family, "doc_id", "left").select("doc_id", F.coalesce("g", "doc_id").alias("g")))
-    family = coarser(posts, family, many)
-    several = family.groupBy("g").agg(F.count("*").alias("docs")).filter("docs > 1").select("g")
-    families = stored(family.join(several, "g").select(F.col("doc_id").alias("v"), F.col("g").alias("c")))
-    asked = stored(opened(posts.drop("weight").join(family, "doc_id"), hot))
+    # a hash of one family only merges and opens nothing, and merging never brings it a second one
+    several = stored(between(posts.drop("weight").join(family, "doc_id")).select("token", "doc_id", "n"))
+    family = coarser(several, family, many)
+    tied = family.groupBy("g").agg(F.count("*").alias("docs")).filter("docs > 1").select("g")
+    families = stored(family.join(tied, "g").select(F.col("doc_id").alias("v"), F.col("g").alias("c")))
+    asked = stored(opened(several.join(family, "doc_id"), hot))
 
     parts = stored(assigned(sets.select("doc_id", "n"), families, stars, asked))
     row = F.struct("doc_id", "n", "tokens").alias("row")
