@@ -7,6 +7,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -230,6 +231,22 @@ def test_bpe_blocks_that_bring_no_new_chunk(reference, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text or "")
 
 
+def test_bpe_worker_that_encodes_nothing_keeps_no_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "IDLE", 0.2)
+    with bpe.working(RANKS, PATTERN) as first:
+        first.encode("some words to keep")
+    with bpe.working(RANKS, PATTERN) as second:  # the next task comes at once and finds them
+        assert second is first and second.chunks.fresh
+        time.sleep(0.5)
+        assert bpe.loaded(RANKS, PATTERN) is first
+    first = second = None
+    for _ in range(100):
+        if not bpe._loaded:
+            break
+        time.sleep(0.05)
+    assert not bpe._loaded
+
+
 def test_rank_queue():
     queue, rng, inside = bpe.RankQueue(70_000), random.Random(4), set()
     for _ in range(20_000):

@@ -8,7 +8,8 @@ work per merge doesn't grow with a pre-token's length, and all pre-tokens that a
 newly brings share one queue, with a gap between neighbours that no pair reaches over.
 
 Texts go through Arrow batches, a block of texts at a time. Each worker keeps the ids of the chunks
-and pre-tokens it met, in two generations of bounded size; no result depends on what is kept.
+and pre-tokens it met, in two generations of bounded size; no result depends on what is kept. A worker
+that has encoded nothing for ``IDLE`` seconds gives them back, so that other stages don't run beside them.
 
 Defined cases: a null text counts as empty, and an empty text has no ids; special tokens in a text
 are ordinary text; repeated rows are encoded alike; other columns are not read.
@@ -18,8 +19,10 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import threading
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ ENTRY = 160
 KEPT_CHARS = 64
 BLOCK_CHARS = 1_000_000
 MERGED = 256 << 10
+#: Seconds for which a worker that encodes nothing keeps its encoders.
+IDLE = 5
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -324,23 +329,39 @@ class Bpe:
 
 
 _loaded: dict[tuple[str, str], Bpe] = {}
+_leaving: list[threading.Timer] = []
 
 
 def loaded(rank_file: str, pattern: str) -> Bpe:
     """One per worker process: a reused worker keeps its cache."""
-    if (rank_file, pattern) not in _loaded:
-        _loaded[rank_file, pattern] = Bpe(rank_file, pattern)
-    return _loaded[rank_file, pattern]
+    found = _loaded.get((rank_file, pattern))
+    if found is None:
+        found = _loaded[rank_file, pattern] = Bpe(rank_file, pattern)
+    return found
+
+
+@contextmanager
+def working(rank_file: str, pattern: str) -> Iterator[Bpe]:
+    """The worker's encoder for one task; unless another task asks for it soon, it goes."""
+    while _leaving:
+        _leaving.pop().cancel()
+    try:
+        yield loaded(rank_file, pattern)
+    finally:
+        timer = threading.Timer(IDLE, _loaded.clear)
+        timer.daemon = True
+        timer.start()
+        _leaving.append(timer)
 
 
 def encoded(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id and the ids (binary, little-endian unsigned 32-bit) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(rank_file, pattern)
-        for batch in batches:
-            ids = pa.array(bpe.encode_all(_texts(batch)), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+        with working(rank_file, pattern) as bpe:
+            for batch in batches:
+                ids = pa.array(bpe.encode_all(_texts(batch)), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -349,16 +370,16 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes they decode to, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(rank_file, pattern)
-        for batch in batches:
-            sizes, ids_sha, text_sha = [], [], []
-            for ids in bpe.encode_all(_texts(batch)):
-                sizes.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with working(rank_file, pattern) as bpe:
+            for batch in batches:
+                sizes, ids_sha, text_sha = [], [], []
+                for ids in bpe.encode_all(_texts(batch)):
+                    sizes.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
