@@ -5,6 +5,7 @@ import io
 import json
 import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -305,6 +306,53 @@ def test_large_payloads_give_what_small_ones_give(spark, tmp_path):
     assert both[0][1] == [("cut.json", None, "invalid JSON"), ("other.json", None, "no readable record list")]
 
 
+def size(root):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names)
+
+
+def test_landed_sources_keep_little_on_disk(spark, tmp_path, monkeypatch):
+    n, sf = 60_000, str(tmp_path / "in")
+    day = F.timestamp_seconds(F.col("id") % 1000 * 86_400).cast("timestamp_ntz")
+    spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") % 6000).alias("o_custkey"), day.alias("o_orderdate")).write.parquet(f"{sf}/orders.parquet")
+    for module in (catalog, registry):
+        monkeypatch.setattr(module, "work_dir", lambda spark, name: str(tmp_path / "work" / f"{name}-{uuid.uuid4().hex}"))
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    counts = {r.source: r["count"] for r in catalog.landed_sources(spark, sf).groupBy("source").count().collect()}
+    # one record in 211 is cut off, remoteok's notices and empty titles, nameless himalayas and their repeated links go
+    kept = [k for k in range(n) if k % 211]
+    assert counts["arbeitnow"] == counts["weworkremotely"] == len(kept)
+    assert counts["remoteok"] == sum(k % 89 != 0 and k % 500 != 1 for k in kept) and 0 < counts["himalayas"] < counts["arbeitnow"]
+    assert size(tmp_path / "work") < 150 * 4 * n     # 535 bytes a record before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+@pytest.mark.parametrize("name", ["himalayas", "remoteok", "weworkremotely", "arbeitnow"])
+def test_payload_texts_shuffle_no_record(spark, tmp_path, name):
+    day = F.timestamp_seconds(F.col("id")).cast("timestamp_ntz")
+    rows = spark.range(50_000, 90_000, 7).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), day.alias("o_orderdate"))
+    rows.unionAll(rows.limit(9)).write.parquet(f"{tmp_path}/orders.parquet")   # keys may repeat
+    files = catalog.payload_texts(spark, str(tmp_path), name)
+    steps = plan(files).splitlines()
+    at = [i for i, step in enumerate(steps) if "Exchange" in step]
+    assert len(at) == 1 and "FileScan" in steps[at[0] + 1]
+    keys = [(r.keyword_ord, r.page, r.part) for r in files.collect()]
+    assert len(keys) == len(set(keys)) == (4 * 3 if name == "weworkremotely" else 4 * 3 * 2)
+
+
+def test_rows_are_not_shuffled_for_the_list_of_files(spark, tmp_path):
+    rng = random.Random(3)
+    for k in range(3):
+        jobs_ = [{"title": f"Product Owner {n}", "company_name": rng.randbytes(90).hex(), "url": rng.randbytes(60).hex(), "description": rng.randbytes(200).hex()} for n in range(700)]
+        land(tmp_path, f"arbeitnow/page={k}/a.json", {"data": jobs_})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        found, _ = registry.ingest_sources(spark, str(tmp_path / "landing"), Params(enabled_sources=("arbeitnow",)))
+        assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+        assert sorted({r.file_ord for r in found.select("file_ord").collect()}) == [1, 2, 3] and found.count() == 2100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_walker_at_any_cut(monkeypatch):
     items = [1, -2.5e10, "a}]\"{\\", {"jobs": [{"b}": [True, None]}]}, [], "é🙂", {}]
     text = json.dumps({"x": {"jobs": [7]}, "jobs": items, "meta": 12}, indent=1)
