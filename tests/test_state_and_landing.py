@@ -400,3 +400,29 @@ def test_rss_stream_equals_batch(spark, tmp_path):
     rows = lambda df: sorted(map(repr, df.select(*columns).collect()))
     assert rows(S.read_state(spark, str(tmp_path / "state"))["postings"]) == rows(batch) and len(rows(batch)) == 2
     assert [r.error for r in ingest.read_rejects(spark, str(tmp_path / "rejects")).collect()] == ["unreadable RSS item"]
+
+
+# ---- what a query makes once ------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def odd_orders(spark, tmp_path_factory):
+    """Orders before and after the split day: repeated ones, and ones without a key, customer or day."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    made = spark.range(60).select(
+        F.when(F.col("id") % 13 != 0, F.col("id") % 50).alias("o_orderkey"), F.when(F.col("id") % 11 != 0, F.col("id") % 7).alias("o_custkey"),
+        F.when(F.col("id") % 17 != 0, F.expr("timestamp_ntz'1995-12-20 00:00:00' + make_dt_interval(cast(id % 25 as int))")).alias("o_orderdate"))
+    made.coalesce(1).write.parquet(f"{path}/orders.parquet")
+    return path
+
+
+def test_state_write_makes_each_state_once(spark, odd_orders, monkeypatch):
+    upserts, written, upserted, write_state = [], [], upsert.upsert_postings, S.write_state
+    monkeypatch.setattr(upsert, "upsert_postings", lambda *a: upserts.append(a) or upserted(*a))
+    monkeypatch.setattr(S, "write_state", lambda tables, *a: written.append(tables) or write_state(tables, *a))
+    counts = {r.state_table: r.stored for r in catalog.state_write(spark, odd_orders).collect()}
+    assert len(upserts) == 2
+    first, second = written
+    assert not [df for df in (first["postings"], first["matches"], second["postings"]) if "orders.parquet" in plan(df)]
+    for made, want in ((first["postings"], catalog.state1), (first["matches"], catalog.matches1), (second["postings"], catalog.state2)):
+        assert sorted(map(str, made.collect())) == sorted(map(str, want(spark, odd_orders).collect())) and made.count() > 0
+    assert (counts["matches"], counts["salaries"]) == (first["matches"].count(), 0)
