@@ -16,7 +16,7 @@ from vacantia.operators import dedup, upsert
 from vacantia.params import Params, params_from_config
 from vacantia.plans import catalog, daily
 from vacantia.schema import POSTINGS, REFRESHED, SALARY_CACHE
-from vacantia.sources import payload_files, registry, state as S
+from vacantia.sources import feeds, payload_files, registry, state as S
 from vacantia.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -26,6 +26,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 # ---- narrow-first collapse ---------------------------------------------------------------
 
 @pytest.mark.parametrize("name", ["batch_collapse", "distinct_url_first", "distinct_url_last", "score_postings"])
@@ -426,3 +430,23 @@ def test_state_write_makes_each_state_once(spark, odd_orders, monkeypatch):
     for made, want in ((first["postings"], catalog.state1), (first["matches"], catalog.matches1), (second["postings"], catalog.state2)):
         assert sorted(map(str, made.collect())) == sorted(map(str, want(spark, odd_orders).collect())) and made.count() > 0
     assert (counts["matches"], counts["salaries"]) == (first["matches"].count(), 0)
+
+
+def test_rss_items_are_parsed_once(spark, tmp_path):
+    whole = "<item><title>Acme: Engineer</title><link>u</link></item>"
+    texts = [None, "", " ", "<item>", "<item></item>", "<item><title>Acme</title></item>", whole, whole]
+    items = feeds.parse_rss(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ord int, text string"), "text")
+    found = feeds.weworkremotely(items)
+    assert optimized(found).count("from_xml(") == 1
+    broken = items.filter("item IS NULL OR item._corrupt_record IS NOT NULL").select("ord").collect()
+    assert sorted(r.ord for r in broken if r.ord != 0) == [1, 2, 3] and items.filter("ord = 0 AND item IS NULL").count() == 1
+    assert {r.ord: (r.company, r.title, r.url) for r in found.filter("ord > 3").collect()} == {
+        4: ("Unknown", "", ""), 5: ("Unknown", "Acme", ""), 6: ("Acme", "Engineer", "u"), 7: ("Acme", "Engineer", "u")}
+
+    (tmp_path / "feed.xml").write_text(f"<rss><channel>{whole}<item><title>cut {whole}{whole}<item><title>Acme: </title></item></channel></rss>")
+    (tmp_path / "empty.xml").write_text("")
+    rows = feeds.parsed(feeds.read_landed(spark, "weworkremotely", str(tmp_path)), "weworkremotely", catalog.ANY_TITLE)
+    text = optimized(rows)
+    assert (text.count("from_xml("), text.count("split(value")) == (1, 1)
+    assert [(r.company, r.title, r.error) for r in rows.orderBy("pos", F.col("error").isNull()).collect()] == [
+        ("Acme", "Engineer", None), ("Unknown", "", "unreadable RSS item"), ("Acme", "Engineer", None), ("Acme", "Engineer", None), ("Unknown", "Acme:", None)]
