@@ -437,7 +437,7 @@ def test_rss_items_are_parsed_once(spark, tmp_path):
     texts = [None, "", " ", "<item>", "<item></item>", "<item><title>Acme</title></item>", whole, whole]
     items = feeds.parse_rss(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ord int, text string"), "text")
     found = feeds.weworkremotely(items)
-    assert optimized(found).count("from_xml(") == 1
+    assert optimized(found).count("from_xml(") == 1 and optimized(catalog.union_sources(spark, SF)).count("from_xml(") == 1
     broken = items.filter("item IS NULL OR item._corrupt_record IS NOT NULL").select("ord").collect()
     assert sorted(r.ord for r in broken if r.ord != 0) == [1, 2, 3] and items.filter("ord = 0 AND item IS NULL").count() == 1
     assert {r.ord: (r.company, r.title, r.url) for r in found.filter("ord > 3").collect()} == {
